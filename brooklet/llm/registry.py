@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brooklet.llm import op4_sstable
+from brooklet.llm import op4_sstable, op7_decontaminate, op10_token_counts
 from brooklet.session import ship
 
 
+#: Rows and bytes that Spark hands to a Python worker at once: texts may be long, so batches are small.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        for k, v in ARROW.items():
+            spark.conf.set(k, v)
         return f(spark, sf_dir)
 
     return run
@@ -21,9 +27,13 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op4_token_id_shards": op4_sstable.query,
+        "op7_decontaminate": op7_decontaminate.query,
+        "op10_token_counts": op10_token_counts.query,
     }
     return {k: _shipped(f) for k, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_decontaminate": op7_decontaminate.SQL,
+    }
