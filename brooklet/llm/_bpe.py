@@ -102,7 +102,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.table, self.known = Table(REMEMBERED.bit_length() + 1), 0
+        self.table, self.known = Table(REMEMBERED.bit_length()), 0
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.start, self.length, self.check = (np.zeros(1 << 14, dtype=t) for t in (np.int32, np.int32, np.uint64))
 

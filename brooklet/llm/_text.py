@@ -68,7 +68,7 @@ class Hasher:
         return mix(h)
 
 
-def batches(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(column: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Pieces (first row, row after the last, bytes, offsets) of a string column; a null is an empty text.
 
     A piece holds about ``max_bytes``; a longer text makes a piece of its own.
