@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brooklet.llm import op4_sstable, op7_decontaminate, op10_token_counts
+from brooklet.llm import op4_sstable, op7_decontaminate, op8_toxicity, op10_token_counts
 from brooklet.session import ship
 
 
@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op4_token_id_shards": op4_sstable.query,
         "op7_decontaminate": op7_decontaminate.query,
+        "op8_toxicity": op8_toxicity.query,
         "op10_token_counts": op10_token_counts.query,
     }
     return {k: _shipped(f) for k, f in found.items()}
