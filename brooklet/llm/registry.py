@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brooklet.llm import op2_quality, op4_sstable, op5_jaccard, op7_decontaminate, op8_toxicity, op10_token_counts
+from brooklet.llm import op2_quality, op3_urls, op4_sstable, op5_jaccard, op7_decontaminate, op8_toxicity, op10_token_counts
 from brooklet.session import ship
 
 
@@ -27,6 +27,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
         "op2_quality_classifier": op2_quality.query,
+        "op3_url_filter": op3_urls.query,
         "op4_token_id_shards": op4_sstable.query,
         "op5_ngram_jaccard_join": op5_jaccard.query,
         "op7_decontaminate": op7_decontaminate.query,
