@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brooklet.llm import op2_quality, op3_urls, op4_sstable, op5_jaccard, op7_decontaminate, op8_toxicity, op9_html, op10_token_counts
+from brooklet.llm import op2_quality, op3_urls, op4_sstable, op5_jaccard, op6_embeddings, op7_decontaminate, op8_toxicity, op9_html, op10_token_counts
 from brooklet.session import ship
 
 
@@ -30,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_urls.query,
         "op4_token_id_shards": op4_sstable.query,
         "op5_ngram_jaccard_join": op5_jaccard.query,
+        "op6_embedding_near_dedup": op6_embeddings.query,
         "op7_decontaminate": op7_decontaminate.query,
         "op8_toxicity": op8_toxicity.query,
         "op9_html_extraction": op9_html.query,
