@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brooklet.llm import op2_quality, op3_urls, op4_sstable, op5_jaccard, op6_embeddings, op7_decontaminate, op8_toxicity, op9_html, op10_token_counts
+from brooklet.llm import op1_sentencepiece, op2_quality, op3_urls, op4_sstable, op5_jaccard, op6_embeddings, op7_decontaminate, op8_toxicity, op9_html, op10_token_counts
 from brooklet.session import ship
 
 
@@ -26,6 +26,7 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {
+        "op1_sentencepiece": op1_sentencepiece.query,
         "op2_quality_classifier": op2_quality.query,
         "op3_url_filter": op3_urls.query,
         "op4_token_id_shards": op4_sstable.query,
