@@ -14,11 +14,16 @@ from brooklet.session import ship
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Makes the package known to the workers and bounds what they are handed at once."""
+    ship(spark)
+    for k, v in ARROW.items():
+        spark.conf.set(k, v)
+
+
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship(spark)
-        for k, v in ARROW.items():
-            spark.conf.set(k, v)
+        prepare(spark)
         return f(spark, sf_dir)
 
     return run
