@@ -94,19 +94,11 @@ class Cutter:
 
     def units(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Escaped code points of a piece of texts, the starts and ends of their units, and the first unit of each text."""
-        lead = np.flatnonzero((data & 0xC0) != 0x80)
-        more = np.concatenate([data, np.zeros(3, np.uint8)])
-        b0 = data[lead].astype(np.uint32)
-        cp = b0.copy()
-        if len(high := np.flatnonzero(b0 >= 0xC0)):
-            at, b = lead[high], b0[high]
-            b1, b2, b3 = (more[at + k].astype(np.uint32) & 0x3F for k in (1, 2, 3))
-            cp[high] = np.where(b < 0xE0, (b & 0x1F) << 6 | b1, np.where(b < 0xF0, (b & 0xF) << 12 | b1 << 6 | b2, (b & 7) << 18 | b1 << 12 | b2 << 6 | b3))
+        cp, begin = code_points(data, off)
         cp[cp == 32] = BLANK
-        begin = np.searchsorted(lead, off)
-        full = np.flatnonzero(begin[1:] > begin[:-1])
-        cp = np.insert(cp, begin[full], BLANK)
-        begin = begin + np.concatenate([[0], np.cumsum(begin[1:] > begin[:-1])])
+        full = begin[1:] > begin[:-1]
+        cp = np.insert(cp, begin[:-1][full], BLANK)
+        begin = begin + np.concatenate([[0], np.cumsum(full)])
         n = self.number[cp]
         new = np.ones(len(cp), dtype=bool)
         new[1:] = ~self.joined[n[:-1] * self.wide + n[1:]]
@@ -115,6 +107,19 @@ class Cutter:
         return cp, starts, np.append(starts[1:], len(cp)), np.searchsorted(starts, begin)
 
 
+def code_points(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts, end to end, and where each text's begin."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    b0 = data[lead].astype(np.uint32)
+    cp = b0.copy()
+    if len(high := np.flatnonzero(b0 >= 0xC0)):
+        more = np.concatenate([data, np.zeros(3, np.uint8)])
+        at, b = lead[high], b0[high]
+        b1, b2, b3 = (more[at + k].astype(np.uint32) & 0x3F for k in (1, 2, 3))
+        cp[high] = np.where(b < 0xE0, (b & 0x1F) << 6 | b1, np.where(b < 0xF0, (b & 0xF) << 12 | b1 << 6 | b2, (b & 7) << 18 | b1 << 12 | b2 << 6 | b3))
+    return cp, np.searchsorted(lead, off)
+
+
 def _hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     h = Hasher(cp).spans(starts, ends)
     h[h == 0] = 1
@@ -122,7 +127,7 @@ def _hashes(cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def reported(docs: DataFrame, cutter: Cutter) -> DataFrame:
-    """(unit, h, split): the distinct units of each split of ``docs`` (text, split); few come more than once."""
+    """(unit, split): the distinct units of each split of ``docs`` (text, split); few come more than once."""
 
     def report(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen, known = None, Table(SEEN.bit_length()), 0
@@ -144,75 +149,127 @@ def reported(docs: DataFrame, cutter: Cutter) -> DataFrame:
                         known += len(h)
                     text = cp.astype("<u4").tobytes().decode("utf-32-le", "replace")
                     units = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(units, pa.string()), pa.array(h.view(np.int64)), pa.array(np.full(len(h), now))], names=["unit", "h", "split"])
+                    yield pa.record_batch([pa.array(units, pa.string()), pa.array(np.full(len(h), now))], names=["unit", "split"])
+
+    return docs.select("text", "split").mapInArrow(report, "unit string, split long")
+
+
+#: Bits of an edge: rank, id, start, size. Rank comes first, so that the least edge is the one to merge.
+_ID, _START, _SIZE = 1 << 12, 1 << 6, 1 << 6
+_RANK = 1 << 32
+
+
+def _part(e: Column, below: int, wide: int) -> Column:
+    return F.call_function("shiftright", e, F.lit(below.bit_length() - 1)).bitwiseAND(F.lit(wide - 1)).cast("int")
+
 
-    return docs.select("text", "split").mapInArrow(report, "unit string, h long, split long")
+def _start(e: Column) -> Column:
+    return _part(e, _SIZE, _START)
+
+
+def _size(e: Column) -> Column:
+    return _part(e, 1, _SIZE)
+
+
+def _id(e: Column) -> Column:
+    return _part(e, _ID, _RANK // _ID)
+
+
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, n, edges): the pieces inside each unit of at most ``MOST`` characters.
+    """(unit, n, edges): the pieces of two characters or more inside each unit of at most ``MOST`` characters.
 
-    An edge has the place of the piece, its id, rank and score, the mask of the boundaries at its ends and of those within.
+    An edge is one number (rank, id, start and size of the piece); edges come by rank, then by start. An edge 0 stands in each
+    list first, so that a unit without pieces has its group.
     """
     n = F.length("unit")
-    one = units.filter(n.between(1, MOST)).select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    two = one.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("size"))
-    three = two.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
+    one = units.filter(n.between(1, MOST)).select("unit", F.explode(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))).alias("start"))
+    least = F.when(F.col("start") == 0, 1).otherwise(2)
+    two = one.select("unit", "start", F.explode(F.sequence(least, F.least(F.lit(longest), n - F.col("start")))).alias("size"))
+    three = two.withColumn("piece", F.when(F.col("size") > 1, F.substring("unit", F.col("start") + 1, F.col("size"))))
     # The vocabulary bounds the piece table.
-    found = three.join(F.broadcast(pieces), "piece", "left")
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
-    end = F.col("start") + F.col("size")
-    inner = (bit(end) - 1).bitwiseAND(F.bitwise_not(bit(F.col("start") + 1) - 1))
-    edge = F.struct("rank", "start", "id", "size", (bit(F.col("start")) + bit(end)).alias("ends"), inner.alias("inner"), "score")
-    # A character without a piece keeps an edge without id, so that every unit has its group.
-    kept = found.filter(F.col("id").isNotNull() | (F.col("size") == 1))
-    return kept.groupBy("unit").agg(F.collect_list(edge).alias("edges")).select("unit", F.length("unit").alias("n"), "edges")
+    found = three.join(F.broadcast(pieces), "piece", "left").filter(F.col("rank").isNotNull() | (F.col("size") == 1))
+    edge = F.coalesce(F.col("rank") * _RANK + F.col("id") * _ID + F.col("start") * _SIZE + F.col("size"), F.lit(0).cast("long"))
+    grouped = found.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    return grouped.select("unit", F.length("unit").alias("n"), F.array_sort("edges").alias("edges"))
 
 
-def _ids(chosen: Column, byte_ids: list[int]) -> Column:
-    """Ids of the chosen edges in order; an edge without id gives the ids of its character's bytes."""
-    table_ = F.array(*[F.lit(i) for i in byte_ids])
+def _spelt(start: Column, singles: Column, single_ids: Column, byte_ids: Column) -> Column:
+    """The ids of one character of the unit: its piece, or its bytes."""
+    letter = F.substring(F.col("unit"), start + 1, F.lit(1))
+    place = F.call_function("instr", singles, letter)
+    code = F.hex(F.encode(letter, "utf-8"))
+    spelt = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.element_at(byte_ids, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + 1))
+    return F.when(place > 0, F.array(F.element_at(single_ids, place))).otherwise(spelt)
 
-    def spelt(e: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("unit"), e["start"] + 1, F.lit(1)), "utf-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.element_at(table_, F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + 1))
 
-    plain = F.transform(chosen, lambda e: e["id"])
-    return F.when(F.exists(chosen, lambda e: e["id"].isNull()), F.flatten(F.transform(chosen, lambda e: F.when(e["id"].isNull(), spelt(e)).otherwise(F.array(e["id"]))))).otherwise(plain)
+class _Letters:
+    """Pieces of one character as a text in which they are looked up, the common ones first."""
 
+    def __init__(self, pieces: Pieces):
+        single = sorted((p, i) for p, i in zip(pieces.names, pieces.ids, strict=True) if len(p) == 1)
+        self.text = F.lit("".join(p for p, _ in single))
+        self.ids = F.array(*[F.lit(i) for _, i in single]) if single else F.array(F.lit(0))
+        self.byte_ids = F.array(*[F.lit(i) for i in pieces.byte_ids])
 
-def _in_order(edges: Column) -> Column:
-    return F.array_sort(F.transform(edges, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+    def ids_of(self, start: Column) -> Column:
+        return _spelt(start, self.text, self.ids, self.byte_ids)
 
 
-def merged(found: DataFrame, byte_ids: list[int]) -> DataFrame:
+def merged(found: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, ids) by byte-pair merges: the state is the mask of the boundaries that stand."""
+    letters = _Letters(pieces)
+    ends = lambda e: _bit(_start(e)) + _bit(_start(e) + _size(e))
+    inner = lambda e: (_bit(_start(e) + _size(e)) - 1).bitwiseAND(F.bitwise_not(_bit(_start(e) + 1) - 1))
+    edges = F.transform(F.filter("edges", lambda e: e > 0), lambda e: F.struct(ends(e).alias("ends"), inner(e).alias("inner"), _start(e).alias("start"), _id(e).alias("id")))
+    held = found.select("unit", "n", edges.alias("e"))
+    every = _bit(F.col("n") + 1) - 1
 
     def fits(m: Column, e: Column) -> Column:
         return (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
 
-    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n") + 1) - 1
-    joint = F.filter("edges", lambda e: (e["size"] > 1))
-    several = found.withColumn("joint", joint)
-    step = lambda m, _: m.bitwiseAND(F.bitwise_not(F.coalesce(F.array_min(F.filter("joint", lambda e: fits(m, e)))["inner"], F.lit(0).cast("long"))))
-    turns = F.least(F.col("n") - 1, F.size("joint"))
+    def step(m: Column, _: Column) -> Column:
+        best = F.get(F.filter("e", lambda e: fits(m, e)), 0)
+        return m.bitwiseAND(F.bitwise_not(F.coalesce(best["inner"], F.lit(0).cast("long"))))
+
+    turns = F.least(F.col("n") - 1, F.size("e"))
     folded = F.when(turns > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(turns, F.lit(1))), every, step)).otherwise(every)
-    masked = several.select("unit", "edges", folded.alias("m"))
-    stand = F.filter("edges", lambda e: (F.col("m").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("m").bitwiseAND(e["inner"]) == 0))
-    return masked.select("unit", _in_order(stand).alias("chosen")).select("unit", _ids(F.col("chosen"), byte_ids).alias("ids"))
+    masked = held.select("unit", "n", "e", folded.alias("m"))
+    stand = lambda e: (F.col("m").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("m").bitwiseAND(e["inner"]) == 0)
+    joint = F.transform(F.filter("e", stand), lambda e: F.struct(e["start"].alias("start"), F.array(e["id"]).alias("ids")))
+    alone = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.col("m").bitwiseAND(_bit(i) * 3) == _bit(i) * 3)
+    single = F.transform(alone, lambda i: F.struct(i.alias("start"), letters.ids_of(i).alias("ids")))
+    every_token = F.array_sort(F.concat(joint, single))
+    return masked.select("unit", F.flatten(F.transform(every_token, lambda t: t["ids"])).alias("ids"))
 
 
-def viterbi(found: DataFrame, byte_ids: list[int], least: float) -> DataFrame:
-    """(unit, ids) by the path of the greatest sum of scores; of equal paths the one whose last piece begins first."""
-    none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(None).cast("int").alias("id"))
+def viterbi(found: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) by the path of the greatest sum of scores; of equal paths the one whose last piece begins first.
 
-    def reach(best: Column, k: Column) -> Column:
-        here = F.filter("edges", lambda e: e["start"] + e["size"] == k)
-        ways = F.transform(here, lambda e: F.struct((F.element_at(best, e["start"] + 1)["score"] + F.coalesce(e["score"], F.lit(least + UNKNOWN))).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id")))
-        return F.concat(best, F.array(F.array_max(ways)))
+    A character without a piece of its own costs ``UNKNOWN`` more than the worst piece.
+    """
+    letters = _Letters(pieces)
+    ranked = sorted(zip(pieces.scores, range(len(pieces.ids)), strict=True), key=lambda x: (-x[0], x[1]))
+    scores = F.lit([x[0] for x in ranked])
+    own = {p: s for p, s in zip(pieces.names, pieces.scores, strict=True) if len(p) == 1}
+    single_scores = F.lit([own[p] for p in sorted(own)] or [0.0])
+    unknown = F.lit(min(pieces.scores) + UNKNOWN)
+    kept = found.select("unit", "n", F.filter("edges", lambda e: e > 0).alias("edges"))
+    first = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(0).alias("id"))
 
-    best = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(none), reach)
-    path = found.select("unit", "n", best.alias("best"))
+    def reach(best: Column, k: Column) -> Column:
+        here = F.filter("edges", lambda e: _start(e) + _size(e) == k)
+        rank = lambda e: F.call_function("shiftright", e, F.lit(_RANK.bit_length() - 1)).cast("int")
+        ways = F.transform(here, lambda e: F.struct((F.element_at(best, _start(e) + 1)["score"] + F.element_at(scores, rank(e) + 1)).alias("score"), (-_start(e)).alias("back"), _id(e).alias("id")))
+        place = F.call_function("instr", letters.text, F.substring(F.col("unit"), k, F.lit(1)))
+        alone = F.struct((F.element_at(best, k)["score"] + F.when(place > 0, F.element_at(single_scores, place)).otherwise(unknown)).alias("score"), (F.lit(1) - k).alias("back"), F.lit(-1).alias("id"))
+        return F.concat(best, F.array(F.array_max(F.concat(ways, F.array(alone)))))
+
+    best = F.aggregate(F.sequence(F.lit(1), F.col("n")), F.array(first), reach)
+    path = kept.select("unit", "n", best.alias("best"))
     start = F.struct(F.col("n").alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("path"))
 
     def back(s: Column, _: Column) -> Column:
@@ -221,7 +278,8 @@ def viterbi(found: DataFrame, byte_ids: list[int], least: float) -> DataFrame:
         return F.when(s["at"] > 0, on).otherwise(s)
 
     walked = F.aggregate(F.sequence(F.lit(1), F.col("n")), start, back, lambda s: s["path"])
-    return path.select("unit", walked.alias("chosen")).select("unit", _ids(F.col("chosen"), byte_ids).alias("ids"))
+    ids = F.transform(walked, lambda t: F.when(t["id"] >= 0, F.array(t["id"])).otherwise(letters.ids_of(t["start"])))
+    return path.select("unit", F.flatten(ids).alias("ids"))
 
 
 def merge_long(unit: str, rank: dict[str, tuple[int, int]], byte_ids: list[int]) -> list[int]:
@@ -265,7 +323,7 @@ def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     rows = pieces.frame(spark)
     found = lattice(units, rows, pieces.longest)
     if not pieces.bpe:
-        return viterbi(found, pieces.byte_ids, min(pieces.scores))
+        return viterbi(found, pieces)
     ranked = {r[0]: (r[1], r[2]) for r in rows.select("piece", "rank", "id").collect()}
     byte_ids = pieces.byte_ids
 
@@ -275,7 +333,7 @@ def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array([merge_long(u, ranked, byte_ids) for u in names], pa.list_(pa.int32()))], names=["unit", "ids"])
 
     rest = units.filter(F.length("unit") > MOST).mapInArrow(long, "unit string, ids array<int>")
-    return merged(found, pieces.byte_ids).unionByName(rest)
+    return merged(found, pieces).unionByName(rest)
 
 
 def _write_splits(rows: DataFrame, folder: str) -> None:
@@ -285,9 +343,11 @@ def _write_splits(rows: DataFrame, folder: str) -> None:
         now, parts = None, []
 
         def close() -> pa.RecordBatch:
-            h, n, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+            h, size, ids = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+            h, at = np.unique(h, return_index=True)
+            ids = gather(ids, (np.cumsum(size, dtype=np.int64) - size)[at], size[at].astype(np.int64))
             with _store.writer(f"{folder}/{now & ((1 << 64) - 1):016x}") as out:
-                out.write(np.array([len(h), len(ids)], dtype="<i8").tobytes() + pa.compress(h.tobytes() + n.astype("<i4").tobytes() + ids.astype("<i4").tobytes(), codec="zstd", asbytes=True))
+                out.write(np.array([len(h), len(ids)], dtype="<i8").tobytes() + pa.compress(h.tobytes() + size[at].astype("<i4").tobytes() + ids.astype("<i4").tobytes(), codec="zstd", asbytes=True))
             return pa.record_batch([pa.array([now]), pa.array([len(h)])], names=["split", "n"])
 
         for batch in found:
@@ -298,15 +358,17 @@ def _write_splits(rows: DataFrame, folder: str) -> None:
                     if parts:
                         yield close()
                     now, parts = int(splits[a]), []
-                lists = batch.column(2).slice(a, b - a)
-                h, n, ids = batch.column(1).slice(a, b - a).to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-                parts.append((h, n, ids))
+                lists, place = batch.column(2).slice(a, b - a), 0
+                size, ids = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+                for x, y, data, off in batches(batch.column(1).slice(a, b - a)):
+                    cp, begin = code_points(data, off)
+                    n = int(size[x:y].sum())
+                    parts.append((_hashes(cp, begin[:-1], begin[1:]), size[x:y], ids[place : place + n]))
+                    place += n
         if parts:
             yield close()
 
-    # Hashes of 0 to 2**63 - 1 come before the negative ones as unsigned numbers.
-    order = F.col("h") < 0
-    sorted_ = rows.repartition("split").sortWithinPartitions("split", order, "h").select("split", "h", "ids")
+    sorted_ = rows.select("split", "unit", "ids").repartition("split").sortWithinPartitions("split")
     sorted_.mapInArrow(write, "split long, n long").agg(F.sum("n")).collect()
 
 
@@ -317,10 +379,7 @@ def _dictionary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     n, m = np.frombuffer(raw, dtype="<i8", count=2)
     body = pa.decompress(raw[16:], decompressed_size=int(12 * n + 4 * m), codec="zstd", asbytes=True)
     h, size, ids = np.frombuffer(body, dtype="<u8", count=n), np.frombuffer(body, dtype="<i4", count=n, offset=8 * n), np.frombuffer(body, dtype="<i4", count=m, offset=12 * n)
-    new = np.ones(n, dtype=bool)
-    new[1:] = h[1:] != h[:-1]
-    start = np.cumsum(size, dtype=np.int64) - size
-    return h[new], start[new], size[new], ids
+    return h, np.cumsum(size, dtype=np.int64) - size, size, ids
 
 
 def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFrame:
@@ -336,10 +395,9 @@ def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFr
         docs = spark.read.schema(docs.schema).parquet(f"{folder}/documents")
     cutter = pieces.cutter()
     split = docs.select("doc_id", "text", _split().alias("split"))
-    # Both branches read this one exchange.
-    held = reported(split, cutter).repartition("unit")
-    ids = encoded_units(held.select("unit").distinct(), pieces)
-    _write_splits(held.join(ids, "unit").select("split", "h", "ids"), f"{folder}/units")
+    reported(split, cutter).write.parquet(f"{folder}/reported")
+    held = spark.read.schema("unit string, split long").parquet(f"{folder}/reported")
+    _write_splits(held.join(encoded_units(held.select("unit").distinct(), pieces), "unit"), f"{folder}/units")
 
     def look_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
