@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklet.llm._sample import drawn, held_out, labelled
+from brooklet.llm._sample import drawn, held_out, labelled, unpacked
 from brooklet.llm._text import Hasher, batches, windows, words
 from brooklet.session import table
 
@@ -43,8 +43,8 @@ _CLASS[ord("A") : ord("Z") + 1] = 2
 _CLASS[ord("0") : ord("9") + 1] = 3
 _CLASS[128:192] = 4
 _CLASS[192:] = 5
-for _i, _c in enumerate(" \n\t.,;:!?|%$*#&@/\\-_+=<>()[]{}\"'~^`", start=6):
-    _CLASS[ord(_c)] = _i
+for _i, _same in enumerate((" ", "\n\t", ".", ",", ":;", "!", "?", "|", "%", "$", "*", "#", "&", "@", "/\\", "-_", "+=<>~^`", "()[]{}", "\"'"), start=6):
+    _CLASS[[ord(c) for c in _same]] = _i
 _K = int(_CLASS.max()) + 1
 #: Marks that prose has few of.
 _ODD = np.zeros(256, dtype=bool)
@@ -116,8 +116,8 @@ def _descend(x: np.ndarray, slope, steps: int = STEPS) -> tuple[np.ndarray, floa
     w, b = np.zeros(x.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        g = slope(x @ w + b)
-        grad = np.append(x.T @ g + RIDGE * w, g.sum())
+        g = slope((x @ w.astype(np.float32)).astype(np.float64) + b)
+        grad = np.append(x.T @ g.astype(np.float32) + RIDGE * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -149,8 +149,8 @@ def fit(p: np.ndarray, u: np.ndarray) -> Model:
     """Non-negative PU risk over standardised features."""
     if not len(p) or not len(u):
         return Model(np.zeros(WIDTH), 0.0, 0.5)
-    mean, scale = u.mean(axis=0), u.std(axis=0) + 0.02
-    p, u = (p - mean) / scale, (u - mean) / scale
+    mean, scale = u.mean(axis=0, dtype=np.float64), u.std(axis=0, dtype=np.float64) + 0.02
+    p, u = (((x - mean) / scale).astype(np.float32) for x in (p, u))
     prior = estimate_prior(p, u)
     n_p = len(p)
 
@@ -186,9 +186,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     sample = marked.select("doc_id", "text", "p", web.alias("u")).filter(F.col("u") | F.col("p").isNotNull())
     found = sample.mapInArrow(extract, "doc_id long, p int, u boolean, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), dtype=np.float32).reshape(-1, WIDTH)
+    x = unpacked(found.column("x"), np.float32).reshape(-1, WIDTH)
     is_p, is_u = np.array(found.column("p").is_valid()), found.column("u").to_numpy().astype(bool)
-    return fit(x[is_p].astype(np.float64), x[is_u].astype(np.float64))
+    del found
+    return fit(x[is_p], x[is_u])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklet.llm._sample import drawn, held_out, labelled
+from brooklet.llm._sample import drawn, held_out, labelled, unpacked
 from brooklet.llm._text import Hasher, batches, sums, words
 from brooklet.session import table
 
@@ -96,9 +96,10 @@ def fit(f: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, w
         return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
     weight = weight / weight.sum()
     common = _common(f, owner[sentence], max(LEAST_TEXTS, LEAST_SHARE * len(y)), max(2 * LEAST_TEXTS, MOST_SHARE * len(y)))
-    dense = np.cumsum(common) - 1
+    dense = (np.cumsum(common) - 1).astype(np.int32)
     keep = common[f]
-    feature, at = dense[f[keep]].astype(np.int32), np.broadcast_to(sentence[:, None], f.shape)[keep].astype(np.int32)
+    feature, at = dense[f[keep]], np.broadcast_to(sentence.astype(np.int32)[:, None], f.shape)[keep]
+    del keep, f
     w, bias, size = np.zeros(int(common.sum())), -6.0, int(common.sum())
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, STEPS + 1):
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "text", "label")
     found = texts.mapInArrow(extract, "doc_id long, label int, f binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
     y = found.column("label").to_numpy().astype(np.float64)
-    f = np.frombuffer(b"".join(found.column("f").to_pylist()), dtype=np.int32).reshape(-1, 1 + len(BEGINNINGS))
+    f = unpacked(found.column("f"), np.int32).reshape(-1, 1 + len(BEGINNINGS))
     parts = [np.frombuffer(x, dtype=np.int32) for x in found.column("s").to_pylist()]
     del found
     sizes = np.array([int(p[-1]) + 1 if len(p) else 0 for p in parts])
