@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -382,11 +382,11 @@ def _dictionary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return h, np.cumsum(size, dtype=np.int64) - size, size, ids
 
 
-def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFrame:
-    """doc_id, text and ids of each document.
+Batches = Iterator[pa.RecordBatch]
 
-    ``docs`` is a table as read from files, perhaps filtered or projected; one that comes from no file is written first.
-    """
+
+def _prepared(docs: DataFrame, pieces: Pieces, folder: str | None) -> tuple[DataFrame, Callable[[Batches], Batches]]:
+    """The documents (doc_id, text, split), and what turns their batches into (doc_id, text, ids)."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/op1-{uuid.uuid4().hex}"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -399,7 +399,7 @@ def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFr
     held = spark.read.schema("unit string, split long").parquet(f"{folder}/reported")
     _write_splits(held.join(encoded_units(held.select("unit").distinct(), pieces), "unit"), f"{folder}/units")
 
-    def look_up(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(rows: Batches) -> Batches:
         for batch in rows:
             splits, texts = batch.column(2).to_numpy(), batch.column(1)
             edges = np.flatnonzero(np.diff(splits, prepend=splits[:1] - 1, append=splits[-1:] + 1)) if len(splits) else np.zeros(0, int)
@@ -419,37 +419,64 @@ def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFr
                     at = pa.array(total[first].astype(np.int32), mask=np.append(~np.array(there.is_valid()), False))
                     yield pa.record_batch([batch.column(0).slice(a + x, y - x), there, pa.ListArray.from_arrays(at, pa.array(flat, pa.int32()))], names=["doc_id", "text", "ids"])
 
+    return split, look_up
+
+
+def encode(docs: DataFrame, pieces: Pieces, folder: str | None = None) -> DataFrame:
+    """doc_id, text and ids of each document.
+
+    ``docs`` is a table as read from files, perhaps filtered or projected; one that comes from no file is written first.
+    """
+    split, look_up = _prepared(docs, pieces, folder)
     return split.mapInArrow(look_up, "doc_id long, text string, ids array<int>")
 
 
-def decode(rows: DataFrame, pieces: Pieces, to: str = "decoded") -> DataFrame:
-    """``rows`` with the texts of their ``ids``."""
+def _speller(pieces: Pieces) -> Callable[[pa.ListArray], list[str | None]]:
+    """The texts of lists of ids."""
     spelling = {i: p.replace("▁", " ").encode() for i, p in zip(pieces.ids, pieces.names, strict=True)} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
     size = np.zeros(max(spelling) + 1, dtype=np.int64)
     for i, p in spelling.items():
         size[i] = len(p)
     start = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(spelling[i] for i in sorted(spelling)), dtype=np.uint8)
+
+    def spell(lists: pa.ListArray) -> list[str | None]:
+        edges, ids, texts = lists.offsets.to_numpy(), lists.values.to_numpy(), []
+        for i, valid in enumerate(lists.is_valid().to_pylist()):
+            own = ids[edges[i] : edges[i + 1]]
+            texts.append(gather(flat, start[own], size[own]).tobytes().decode("utf-8", "replace")[1:] if valid else None)
+        return texts
+
+    return spell
+
+
+def decode(rows: DataFrame, pieces: Pieces, to: str = "decoded") -> DataFrame:
+    """``rows`` with the texts of their ``ids``."""
+    spell = _speller(pieces)
     rows = rows.drop(to).withColumn(to, F.lit(None).cast("string"))
     at, n = rows.columns.index("ids"), len(rows.columns) - 1
 
-    def spell(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(found: Batches) -> Batches:
         for batch in found:
-            lists = batch.column(at)
-            edges, ids, texts = lists.offsets.to_numpy(), lists.values.to_numpy(), []
-            for i, valid in enumerate(lists.is_valid().to_pylist()):
-                own = ids[edges[i] : edges[i + 1]]
-                texts.append(gather(flat, start[own], size[own]).tobytes().decode("utf-8", "replace")[1:] if valid else None)
-            yield pa.record_batch([*batch.columns[:n], pa.array(texts, pa.string())], names=batch.schema.names)
+            yield pa.record_batch([*batch.columns[:n], pa.array(spell(batch.column(at)), pa.string())], names=batch.schema.names)
 
-    return rows.mapInArrow(spell, rows.schema)
+    return rows.mapInArrow(work, rows.schema)
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, n_tokens of each document, and whether decoding gives the text back."""
+    """doc_id, ids, n_tokens of each document, and whether decoding gives the text back: both ways in one pass."""
     pieces = Pieces.read(path)
-    both = decode(encode(docs, pieces), pieces)
-    return both.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.col("text").eqNullSafe(F.col("decoded")).alias("exact"))
+    split, look_up = _prepared(docs, pieces, None)
+    spell = _speller(pieces)
+
+    def work(found: Batches) -> Batches:
+        for batch in look_up(found):
+            lists = batch.column(2)
+            exact = [a == b for a, b in zip(batch.column(1).to_pylist(), spell(lists), strict=True)]
+            yield pa.record_batch([batch.column(0), lists, pa.array(exact, pa.bool_())], names=["doc_id", "ids", "exact"])
+
+    both = split.mapInArrow(work, "doc_id long, ids array<int>, exact boolean")
+    return both.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "exact")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from brooklet.session import ship
 
 
 #: Rows and bytes that Spark hands to a Python worker at once: texts may be long, so batches are small.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def prepare(spark: SparkSession) -> None:
