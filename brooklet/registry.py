@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "window_average"
+from brooklet.plans import common, frames, joins, rows, streams, windows  # noqa: F401
+from brooklet.session import ship
+
+FLAGSHIP = "heat_map"
+
+
+def _shipped(f: common.Query) -> common.Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: _shipped(f) for k, f in common.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(common.SQL)
