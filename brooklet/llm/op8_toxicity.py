@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from brooklet.llm._sample import drawn, held_out, labelled, unpacked
 from brooklet.llm._text import Hasher, batches, sums, words
-from brooklet.session import table
+from brooklet.session import checkpointed, table
 
 POSITIVES, NEGATIVES = 1500, 3000
 BITS = 18
@@ -80,29 +80,16 @@ def sentence_logits(model: Model, f: np.ndarray, sentence: np.ndarray, n: int) -
     return sums(z, sentence, n) + model.bias
 
 
-def _common(f: np.ndarray, text: np.ndarray, least: float, most: float) -> np.ndarray:
-    """Which feature numbers occur in so many texts."""
-    seen = np.zeros(1 << BITS, dtype=np.int64)
-    for k in range(f.shape[1]):
-        order = np.argsort(f[:, k], kind="stable")
-        c, t = f[order, k], text[order]
-        new = np.ones(len(c), dtype=bool)
-        new[1:] = (c[1:] != c[:-1]) | (t[1:] != t[:-1])
-        seen += np.bincount(c[new], minlength=1 << BITS)
-    return (seen >= least) & (seen <= most)
+def fit(feature: np.ndarray, at: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray, common: np.ndarray) -> Model:
+    """Minimises the weighted log loss of the noisy-or by full-batch Adam.
 
-
-def fit(f: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
-    """Minimises the weighted log loss of the noisy-or by full-batch Adam over features that enough texts share."""
+    ``feature``: the place in ``common`` of each occurrence; ``at``: its sentence, ascending; ``owner``: each sentence's text.
+    """
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, dtype=np.float32), -np.inf)
     weight = weight / weight.sum()
-    common = _common(f, owner[sentence], max(LEAST_TEXTS, LEAST_SHARE * len(y)), max(2 * LEAST_TEXTS, MOST_SHARE * len(y)))
-    dense = (np.cumsum(common) - 1).astype(np.int32)
-    keep = common[f]
-    feature, at = dense[f[keep]], np.broadcast_to(sentence.astype(np.int32)[:, None], f.shape)[keep]
-    del keep, f
-    w, bias, size = np.zeros(int(common.sum())), -6.0, int(common.sum())
+    size = len(common)
+    w, bias = np.zeros(size), -6.0
     # Sums go piece by piece: whole-array temporaries would be many times the features.
     pieces = [(a, min(a + CHUNK, len(at)), int(at[a]), int(at[min(a + CHUNK, len(at)) - 1]) + 1) for a in range(0, len(at), CHUNK)]
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
@@ -128,34 +115,59 @@ def fit(f: np.ndarray, sentence: np.ndarray, owner: np.ndarray, y: np.ndarray, w
     return Model(weights, float(bias))
 
 
+def _common(texts: DataFrame) -> np.ndarray:
+    """Numbers of the features that enough texts of the sample share, and not too many; counted where the texts are."""
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n = np.zeros(1 << BITS, dtype=np.int64), 0
+        for batch in rows:
+            for i in range(batch.num_rows):
+                n += 1
+                for _, _, data, off in batches(batch.column(1).slice(i, 1)):
+                    seen[np.unique(features(data, off)[0])] += 1
+        at = np.flatnonzero(seen)
+        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["feature", "n"])
+
+    found = texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # a row for each of 2**BITS features at most
+    feature, n = found.column("feature").to_numpy(), found.column("n").to_numpy()
+    every = int(n[feature < 0].sum())
+    keep = (feature >= 0) & (n >= max(LEAST_TEXTS, LEAST_SHARE * every)) & (n <= max(2 * LEAST_TEXTS, MOST_SHARE * every))
+    return np.sort(feature[keep])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from the training folds of ``labels`` and the whole texts of a bounded sample of ``docs``."""
     known = labelled(labels, "toxic")
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    none = np.zeros(0, dtype=np.int64)
     if not n.get(0) or not n.get(1):
-        return fit(np.zeros((0, 1), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        return fit(none, none, none, np.zeros(0), np.zeros(0), none)
     some = [drawn(known.filter(F.col("label") == k), bound, n[k], "toxic") for k, bound in ((1, POSITIVES), (0, NEGATIVES))]
     sample = F.broadcast(some[0].unionByName(some[1]))  # bounded by the two parameters
+    texts = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "text", "label"))
+    common = _common(texts)
 
     def extract(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, dtype=np.int32)
+        place[common] = np.arange(len(common))
         for batch in rows:
             for i, (key, label) in enumerate(zip(*(batch.column(k).to_pylist() for k in (0, 2)), strict=True)):
                 for _, _, data, off in batches(batch.column(1).slice(i, 1)):
-                    f, sentence, _, _, _ = features(data, off)
-                    yield pa.record_batch([pa.array([key], pa.int64()), pa.array([label], pa.int32()), pa.array([f.tobytes()], pa.binary()), pa.array([sentence.astype(np.int32).tobytes()], pa.binary())], names=["doc_id", "label", "f", "s"])
+                    f, sentence, owner, _, _ = features(data, off)
+                    own = place[f]
+                    kept = own >= 0
+                    at = np.broadcast_to(sentence.astype(np.int32)[:, None], f.shape)[kept]
+                    yield pa.record_batch([pa.array([key], pa.int64()), pa.array([label], pa.int32()), pa.array([len(owner)], pa.int64()), pa.array([own[kept].tobytes()], pa.binary()), pa.array([at.tobytes()], pa.binary())], names=["doc_id", "label", "sentences", "f", "s"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("doc_id", "text", "label")
-    found = texts.mapInArrow(extract, "doc_id long, label int, f binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
+    found = texts.mapInArrow(extract, "doc_id long, label int, sentences long, f binary, s binary").toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
     y = found.column("label").to_numpy().astype(np.float64)
-    f = unpacked(found.column("f"), np.int32).reshape(-1, 1 + len(BEGINNINGS))
-    parts = [np.frombuffer(x, dtype=np.int32) for x in found.column("s").to_pylist()]
+    sizes = found.column("sentences").to_numpy()
+    feature, at = unpacked(found.column("f"), np.int32), unpacked(found.column("s"), np.int32)
+    per_text = np.array([len(x) // 4 for x in found.column("s").to_pylist()], dtype=np.int64)
     del found
-    sizes = np.array([int(p[-1]) + 1 if len(p) else 0 for p in parts])
-    before = np.cumsum(sizes) - sizes
-    sentence = np.concatenate([p + b for p, b in zip(parts, before, strict=True)]).astype(np.int64) if parts else np.zeros(0, np.int64)
-    drawn_n = np.bincount(y.astype(int), minlength=2)
-    weight = np.array([n[0], n[1]]) / np.maximum(drawn_n, 1)
-    return fit(f, sentence, np.repeat(np.arange(len(y)), sizes), y, weight[y.astype(int)])
+    at = at + np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), per_text)
+    weight = np.array([n[0], n[1]]) / np.maximum(np.bincount(y.astype(int), minlength=2), 1)
+    return fit(feature, at, np.repeat(np.arange(len(y)), sizes), y, weight[y.astype(int)], common)
 
 
 def _scores(model: Model, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
