@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,6 +138,7 @@ def reported(docs: DataFrame, cutter: Cutter) -> DataFrame:
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if splits[a] != now:
                     now, seen, known = splits[a], Table(SEEN.bit_length()), 0
+                units: list[str] = []
                 for _, _, data, off in batches(batch.column(0).slice(a, b - a)):
                     cp, starts, ends, _ = cutter.units(data, off)
                     h, at = np.unique(_hashes(cp, starts, ends), return_index=True)
@@ -148,8 +150,10 @@ def reported(docs: DataFrame, cutter: Cutter) -> DataFrame:
                         seen.put(h, np.ones(len(h), dtype=np.int32))
                         known += len(h)
                     text = cp.astype("<u4").tobytes().decode("utf-32-le", "replace")
-                    units = [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(units, pa.string()), pa.array(np.full(len(h), now))], names=["unit", "split"])
+                    units += [text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+                # In order, units share beginnings with their neighbours and take less room.
+                column = pa.array(units, pa.string())
+                yield pa.record_batch([column.take(pc.sort_indices(column)), pa.array(np.full(len(units), now))], names=["unit", "split"])
 
     return docs.select("text", "split").mapInArrow(report, "unit string, split long")
 
@@ -395,7 +399,7 @@ def _prepared(docs: DataFrame, pieces: Pieces, folder: str | None) -> tuple[Data
         docs = spark.read.schema(docs.schema).parquet(f"{folder}/documents")
     cutter = pieces.cutter()
     split = docs.select("doc_id", "text", _split().alias("split"))
-    reported(split, cutter).write.parquet(f"{folder}/reported")
+    reported(split, cutter).write.option("compression", "zstd").parquet(f"{folder}/reported")
     held = spark.read.schema("unit string, split long").parquet(f"{folder}/reported")
     _write_splits(held.join(encoded_units(held.select("unit").distinct(), pieces), "unit"), f"{folder}/units")
 
