@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brooklet.functions.columns import div
+from brooklet.operators.ordered import numbered, running
 
 
 def equi_join(left: DataFrame, right: DataFrame, pairs: Mapping[str, str], residual: Column | None = None) -> DataFrame:
@@ -23,11 +24,12 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFram
     return left.join(right, condition, "inner")
 
 
-def extension_join(left: DataFrame, right: DataFrame, keys: Sequence[str], arrival: str, side: str) -> DataFrame:
+def extension_join(left: DataFrame, right: DataFrame, keys: Sequence[str], arrival: str, side: str, stretch: int = 4096) -> DataFrame:
     """Equi-join in which rows of the flagged side match at most once: the first to arrive of the other side.
 
     With ``both``, the k-th row of a key on the left meets the k-th on the right: whichever side is ahead waits, oldest first.
-    Columns of the right side other than the keys get the prefix ``r_``.
+    Columns of the right side other than the keys get the prefix ``r_``. ``arrival`` is a whole number; the rows of a key are
+    counted in stretches of it.
     """
     r = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in keys})
     if side == "left":
@@ -37,8 +39,8 @@ def extension_join(left: DataFrame, right: DataFrame, keys: Sequence[str], arriv
         one = left.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in left.columns if c not in keys]), arrival).alias("_l"))
         return r.join(one, list(keys)).select(*keys, "_l.*", *[c for c in r.columns if c not in keys])
     if side == "both":
-        l = left.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(arrival)))
-        r = r.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(f"r_{arrival}")))
+        l = numbered(left, list(keys), arrival, div(arrival, stretch), "_k")
+        r = numbered(r, list(keys), f"r_{arrival}", div(f"r_{arrival}", stretch), "_k")
         return l.join(r, [*keys, "_k"]).drop("_k")
     raise ValueError(f"no such side: {side}")
 
@@ -93,8 +95,6 @@ def union(inputs: Sequence[DataFrame], mapping: Mapping[str, Sequence[str | None
 
 def pace(inputs: Sequence[DataFrame], t: str, order: str, by: Column, divergence: int) -> DataFrame:
     """Union that drops rows which lag more than ``divergence`` behind the latest time seen before them in arrival order."""
-    from brooklet.operators.ordered import running
-
     every = inputs[0]
     for df in inputs[1:]:
         every = every.unionByName(df)

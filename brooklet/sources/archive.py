@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
 
 
+def database(spark: SparkSession, url: str, query: str, column: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
+    """The rows of a database query, read in ``parts`` ranges of a whole-number column. Credentials come as options."""
+    held = f"({query}) AS archive"
+    return spark.read.format("jdbc").options(url=url, dbtable=held, partitionColumn=column, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts), **options).load()
+
+
 def similar_days(stream: DataFrame, archive: DataFrame, t: str, kind: str, days: int, offset: int = 0, stretch: int = 3_600_000_000) -> DataFrame:
     """Archive rows of the ``days`` days before each stretch of the stream, at the same time of day.
 

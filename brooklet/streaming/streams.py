@@ -50,25 +50,36 @@ def _in_time(parts: Iterator[pd.DataFrame], t: str) -> pd.DataFrame:
     return pd.concat(list(parts), ignore_index=True).sort_values(t, kind="stable")
 
 
-def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size: int) -> DataFrame:
-    """Runs of 1 in a stream, put out when a 0 ends them; the open run is state. A run that spans micro-batches is one frame."""
+def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size: int, fragments: bool = False) -> DataFrame:
+    """Runs of 1 in a stream, put out when a 0 ends them; the open run is state, so a run over several micro-batches is one frame.
+
+    With ``fragments`` a run that is long enough is put out at the end of each micro-batch as well: a fragment begins where the
+    last one of its frame ended, and has its frame's id.
+    """
 
     def step(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, first, last, length = state.get if state.exists else (0, 0, 0, 0)
+        # first: where the frame, or its next fragment, begins; shown: whether a fragment of it is out.
+        n, first, last, length, shown = state.get if state.exists else (0, 0, 0, 0, False)
         out = []
         for at, on in _in_time(parts, t)[[t, predicate]].itertuples(index=False):
             if on:
                 first = at if length == 0 else first
                 last, length = at, length + 1
             elif length:
-                if length >= size:
+                if shown and last > first:
+                    out.append((key[0], n, first, last, length))
+                elif not shown and length >= size:
                     n += 1
                     out.append((key[0], n, first, last, length))
-                length = 0
-        state.update((n, int(first), int(last), length))
+                length, shown = 0, False
+        if fragments and length >= size and (not shown or last > first):
+            n += not shown
+            out.append((key[0], n, first, last, length))
+            first, shown = last, True
+        state.update((int(n), int(first), int(last), length, shown))
         yield pd.DataFrame(out, columns=["frame_group", "frame_id", "frame_start", "frame_end", "length"])
 
-    return stream.groupBy(group).applyInPandasWithState(step, _FRAME, "n long, first long, last long, length long", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(group).applyInPandasWithState(step, _FRAME, "n long, first long, last long, length long, shown boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def delta_frames(stream: DataFrame, group: str, t: str, value: str, delta: float) -> DataFrame:
