@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.operators.ordered import last_rows, previous, running
+from brooklet.operators.ordered import last_rows, running_all
 
 _KINDS = {"count": F.count, "sum": F.sum, "average": F.avg, "max": F.max, "min": F.min, "variance": F.var_pop}
 
@@ -30,19 +30,19 @@ def nest(df: DataFrame, group: Sequence[str], element: Column, order: str, to: s
 
 def incremental_max(df: DataFrame, group: list[str], value: str, order: str, by: Column, empty: float | None = None) -> DataFrame:
     """A row whenever a group's maximum changes: old_max (``empty`` before the first), new_max."""
-    start = F.col(value) if empty is None else F.greatest(F.col(value), F.lit(empty))
-    held = running(df, group, order, by, start, "max", "new_max")
-    with_old = previous(held, group, order, by, ["new_max"], "_old")
-    old = F.coalesce(F.col("_old.new_max"), F.lit(empty)) if empty is not None else F.col("_old.new_max")
-    return with_old.withColumn("old_max", old).filter(F.col("new_max").isNotNull() & ~F.col("new_max").eqNullSafe(F.col("old_max"))).drop("_old")
+    held = running_all(df, group, order, by, {"old_max": ("max", F.col(value))}, before=True)
+    old = F.col("old_max") if empty is None else F.greatest(F.col("old_max"), F.lit(empty))
+    held = held.withColumn("old_max", old)
+    return held.withColumn("new_max", F.greatest("old_max", value)).filter(F.col("new_max").isNotNull() & ~F.col("new_max").eqNullSafe(F.col("old_max")))
 
 
 def incremental_average(df: DataFrame, group: list[str], value: str, order: str, by: Column) -> DataFrame:
     """A row whenever a group's running average changes: new_avg."""
-    held = running(df, group, order, by, F.col(value), "sum", "_s")
-    held = running(held, group, order, by, F.col(value), "count", "_n").withColumn("new_avg", F.col("_s") / F.col("_n"))
-    out = previous(held, group, order, by, ["new_avg"], "_old")
-    return out.filter(F.col("new_avg").isNotNull() & ~F.col("new_avg").eqNullSafe(F.col("_old.new_avg"))).drop("_old", "_s", "_n")
+    v = F.col(value)
+    held = running_all(df, group, order, by, {"_s": ("sum", v), "_n": ("count", v)}, before=True)
+    old = F.col("_s") / F.nullif(F.col("_n"), F.lit(0))
+    new = (F.coalesce("_s", F.lit(0.0)) + v) / (F.coalesce("_n", F.lit(0)) + 1)
+    return held.withColumn("new_avg", new).filter(F.col("new_avg").isNotNull() & ~F.col("new_avg").eqNullSafe(old)).drop("_s", "_n")
 
 
 def partition_average(df: DataFrame, group: list[str], value: str, order: str, by: Column, size: int, to: str = "avg") -> DataFrame:

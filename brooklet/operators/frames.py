@@ -9,14 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brooklet.functions.columns import div
-from brooklet.operators.ordered import numbered, previous, running
-
-
-def islands(df: DataFrame, group: list[str], t: str, by: Column, values: list[str], to: str = "island") -> DataFrame:
-    """Numbers the maximal runs of rows with equal ``values`` in each group, from 1."""
-    held = previous(df, group, t, by, values, "_before")
-    new = F.when(F.col("_before").eqNullSafe(F.struct(*values)), 0).otherwise(1)
-    return running(held, group, t, by, new, "sum", to).drop("_before")
+from brooklet.operators.ordered import islands, numbered
 
 
 def threshold_frames(df: DataFrame, group: str, t: str, predicate: str, size: int, by: Column, segmentation: bool = False) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.functions.columns import div
-from brooklet.operators.frames import islands
-from brooklet.operators.ordered import previous, running
+from brooklet.operators.ordered import islands, previous, running_all
 
 #: The sensors on the left and right foot of persons 0 to 16.
 SENSORS = (
@@ -70,8 +69,7 @@ def person_positions(df: DataFrame, sid: str, t: str, x: str, y: str, by: Column
     """
     known = sensor_table(df.sparkSession).select(F.col("sid").alias("_sid"), "pid", F.col("side").alias("_side"))
     held = df.join(F.broadcast(known), df[sid] == known["_sid"])  # 34 rows
-    for side in (0, 1):
-        held = running(held, ["pid"], t, by, F.when(F.col("_side") == side, F.struct(x, y)), "last", f"_{side}")
+    held = running_all(held, ["pid"], t, by, {f"_{side}": ("last", F.when(F.col("_side") == side, F.struct(x, y))) for side in (0, 1)})
     both = F.col("_0").isNotNull() & F.col("_1").isNotNull()
     mean = {c: F.when(both, div(F.col(f"_0.{c}") + F.col(f"_1.{c}"), 2)).otherwise(F.col(c)) for c in (x, y)}
     return held.select(*[mean[c].alias(c) if c in mean else F.col(c) for c in df.columns], "pid")

@@ -41,23 +41,56 @@ def numbered(df: DataFrame, group: list[str], order: str, bucket: Column, to: st
     return out.withColumn(to, place.cast("long")).drop("_ord_before", _BUCKET)
 
 
+def _join_sum(here: Column, before: Column) -> Column:
+    return F.coalesce(here + before, here, before)
+
+
+#: For each kind: the aggregate of a whole bucket, its sum over earlier buckets, the aggregate over a frame, how the two are joined.
+_KINDS = {
+    "sum": (lambda v, o: F.sum(v), "sum({})", F.sum, _join_sum),
+    "count": (lambda v, o: F.count(v), "sum({})", F.count, _join_sum),
+    "max": (lambda v, o: F.max(v), "max({})", F.max, F.greatest),
+    "last": (lambda v, o: F.max_by(v, F.when(v.isNotNull(), F.col(o))), "last({}, true)", lambda v: F.last(v, ignorenulls=True), F.coalesce),
+}
+
+
+def running_all(df: DataFrame, group: list[str], order: str, bucket: Column, values: dict[str, tuple[str, Column]], before: bool = False) -> DataFrame:
+    """Adds, for each name, the sum, count, max or last value that isn't null of the group's rows up to each row, or ``before`` it.
+
+    ``values``: name -> (kind, column).
+    """
+    held = df.withColumn(_BUCKET, bucket).select("*", *[v.alias(f"_ord_v_{k}") for k, (_, v) in values.items()])
+    kinds = {k: _KINDS[kind] for k, (kind, _) in values.items()}
+    whole = {f"_ord_a_{k}": x[0](F.col(f"_ord_v_{k}"), order) for k, x in kinds.items()}
+    out = _with_before(held, group, whole, {f"_ord_b_{k}": x[1].format(f"_ord_a_{k}") for k, x in kinds.items()})
+    frame = _inside(group, order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    added = [x[3](x[2](F.col(f"_ord_v_{k}")).over(frame), F.col(f"_ord_b_{k}")).alias(k) for k, x in kinds.items()]
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in values], *added)
+
+
 def running(df: DataFrame, group: list[str], order: str, bucket: Column, value: Column, kind: str, to: str) -> DataFrame:
-    """Adds the sum, count, max or last value that isn't null of the group's rows up to each row."""
-    held = df.withColumn(_BUCKET, bucket).withColumn("_ord_v", value)
-    up_to = _inside(group, order).rowsBetween(Window.unboundedPreceding, 0)
-    if kind == "last":
-        whole, earlier = F.max_by("_ord_v", F.when(F.col("_ord_v").isNotNull(), F.col(order))), "last(_ord_a, true)"
-        here = F.last("_ord_v", ignorenulls=True).over(up_to)
-        joined = lambda h, b: F.coalesce(h, b)
-    elif kind == "max":
-        whole, earlier, here = F.max("_ord_v"), "max(_ord_a)", F.max("_ord_v").over(up_to)
-        joined = lambda h, b: F.greatest(h, b)
-    else:
-        one = {"sum": F.sum, "count": F.count}[kind]
-        whole, earlier, here = one("_ord_v"), "sum(_ord_a)", one("_ord_v").over(up_to)
-        joined = lambda h, b: F.coalesce(h + b, h, b)
-    out = _with_before(held, group, {"_ord_a": whole}, {"_ord_before": earlier})
-    return out.withColumn(to, joined(here, F.col("_ord_before"))).drop("_ord_before", "_ord_v", _BUCKET)
+    """Adds one running value; see ``running_all``."""
+    return running_all(df, group, order, bucket, {to: (kind, value)})
+
+
+def islands(df: DataFrame, group: list[str], order: str, bucket: Column, values: list[str], to: str = "island") -> DataFrame:
+    """Numbers the maximal runs of rows with equal ``values`` in each group, from 1.
+
+    Runs are counted inside a bucket; a bucket whose first run goes on from the last one of the bucket before counts one less.
+    """
+    held = df.withColumn(_BUCKET, bucket).withColumn("_ord_v", F.struct(*values))
+    inside = _inside(group, order)
+    new = F.when(F.lag("_ord_v").over(inside).eqNullSafe(F.col("_ord_v")), 0).otherwise(1)
+    counted = held.withColumn("_ord_new", new).withColumn("_ord_in", F.sum("_ord_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = [*group, _BUCKET]
+    sums = counted.groupBy(*keys).agg(F.max("_ord_in").alias("n"), F.min_by("_ord_v", order).alias("first"), F.max_by("_ord_v", order).alias("last"))
+    by_bucket = Window.partitionBy(*group).orderBy(_BUCKET)
+    goes_on = F.when(F.lag("last").over(by_bucket).eqNullSafe(F.col("first")), 1).otherwise(0)
+    told = sums.withColumn("on", goes_on)
+    earlier = F.coalesce(F.sum(F.col("n") - F.col("on")).over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = told.select(*[F.col(k).alias(f"_{k}") for k in keys], (earlier - F.col("on")).alias("_ord_shift"))
+    out = counted.join(shift, _same(keys, counted, shift))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != to], (F.col("_ord_in") + F.col("_ord_shift")).alias(to))
 
 
 def previous(df: DataFrame, group: list[str], order: str, bucket: Column, values: list[str], to: str = "before") -> DataFrame:
