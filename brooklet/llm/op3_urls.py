@@ -7,7 +7,7 @@
 
 Known words are the delimited parts of host labels and paths of all urls (``cheap-pills`` has two; a label without a delimiter
 is no word by itself, as it may be several) and the seed words. The naive Bayes counts come from all urls: those with a seed word
-among their delimited parts teach the class block, the others allow; each seed word counts as ``SEED`` examples more. Both tables keep their ``VOCABULARY``
+among their delimited parts or their segmented words teach the class block, the others allow; each seed word counts as ``SEED`` examples more. Both tables keep their ``VOCABULARY``
 most frequent words, which bounds what the driver sends out; the counting itself is over all rows.
 
 Nulls and odd rows: a null url or one without ``://`` has an empty host and path, fits no rule and is scored by the prior alone;
@@ -165,9 +165,10 @@ def train(pages: DataFrame, seeds: Sequence[str] = SEEDS) -> Model:
 
         for batch in rows:
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocked = int(not bad.isdisjoint(_delimited(host, path)[0]))
+                found = (*cut(host, ""), *_parts(path))
+                blocked = int(not (bad.isdisjoint(found) and bad.isdisjoint(_delimited(host, path)[0])))
                 counts[blocked, None] += 1
-                for t in (*cut(host, ""), *_parts(path)):
+                for t in found:
                     counts[blocked, t] += 1
             if len(counts) > 1 << 16:
                 yield flush()

@@ -138,6 +138,13 @@ def test_spam_names_are_blocked_and_others_kept(llm):
     assert model.score("cheappills.example.com", "/en/1") >= 0.5 > model.score("ththan.example.com", "/en/2")
 
 
+@pytest.mark.parametrize(("hot", "others"), [(10, 60), (300, 60), (1, 2000), (300, 2000)])
+def test_a_frequent_concatenated_name_stays_blocked(llm, hot, others):
+    hosts = [("cheappills.example.com", "/en/1")] * hot + [("casino-win.example.com", "/en/3"), ("cheap-pills.example.com", "/en/4")] * 20 + [(f"th{k}.example.com", "/en/5") for k in range(others)]
+    model = op3_urls.train(llm.createDataFrame(hosts, "host string, path string"))
+    assert model.score("cheappills.example.com", "/en/1") >= 0.5 > model.score("th7.example.com", "/en/2")
+
+
 def test_no_pages(llm):
     pages = llm.createDataFrame([], "page_id long, url string")
     model = op3_urls.train(pages.selectExpr("url AS host", "url AS path"))
