@@ -33,8 +33,8 @@ BEGINNINGS = (3, 4, 5, 6, 7, 8)
 STEPS, RATE = 120, 0.12
 #: L1 penalty: words that tell nothing get no weight at all.
 SPARSE = 2e-4
-#: A feature is learnt if so many training texts, and a share of them within these bounds, hold it.
-LEAST_TEXTS, LEAST_SHARE, MOST_SHARE = 5, 0.004, 0.3
+#: A feature is learnt if so many training texts hold it, and at most this share of the clean ones.
+LEAST_TEXTS, MOST_SHARE = 5, 0.3
 #: Gradients well below this move a weight little, so that a word of one text is not learnt by heart.
 SMALL = 1e-3
 THRESHOLD = 0.3
@@ -116,22 +116,26 @@ def fit(feature: np.ndarray, at: np.ndarray, owner: np.ndarray, y: np.ndarray, w
 
 
 def _common(texts: DataFrame) -> np.ndarray:
-    """Numbers of the features that enough texts of the sample share, and not too many; counted where the texts are."""
+    """Numbers of the features that enough texts share, and not too many clean ones; counted where the texts are.
+
+    Neither bound depends on the share of toxic texts, which changes with the size of the labelled table.
+    """
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(1 << BITS, dtype=np.int64), 0
+        seen, n = np.zeros((2, 1 << BITS), dtype=np.int64), [0, 0]  # of clean and toxic texts
         for batch in rows:
-            for i in range(batch.num_rows):
-                n += 1
+            for i, label in enumerate(batch.column(2).to_pylist()):
+                n[label] += 1
                 for _, _, data, off in batches(batch.column(1).slice(i, 1)):
-                    seen[np.unique(features(data, off)[0])] += 1
-        at = np.flatnonzero(seen)
-        yield pa.record_batch([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], n))], names=["feature", "n"])
-
-    found = texts.mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # a row for each of 2**BITS features at most
-    feature, n = found.column("feature").to_numpy(), found.column("n").to_numpy()
-    every = int(n[feature < 0].sum())
-    keep = (feature >= 0) & (n >= max(LEAST_TEXTS, LEAST_SHARE * every)) & (n <= max(2 * LEAST_TEXTS, MOST_SHARE * every))
+                    seen[label, np.unique(features(data, off)[0])] += 1
+        at = np.flatnonzero(seen.any(axis=0))
+        yield pa.record_batch([pa.array(np.append(at, -1)), *(pa.array(np.append(seen[k, at], n[k])) for k in (0, 1))], names=["feature", "clean", "toxic"])
+
+    counted = texts.mapInArrow(count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = counted.toArrow()  # a row for each of 2**BITS features at most
+    feature, clean, toxic = (found.column(k).to_numpy() for k in ("feature", "clean", "toxic"))
+    every = int(clean[feature < 0].sum())
+    keep = (feature >= 0) & (clean + toxic >= LEAST_TEXTS) & (clean <= max(2 * LEAST_TEXTS, MOST_SHARE * every))
     return np.sort(feature[keep])
 
 

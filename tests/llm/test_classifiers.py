@@ -85,6 +85,20 @@ def test_offending_sentences_are_located(llm):
     assert {r["text"] for r in found} == {"you vile zork"}
 
 
+def test_features_do_not_depend_on_the_share_of_toxic_texts(llm):
+    for toxic, rare in ((20, 6), (400, 6), (1200, 40)):
+        texts = [(i, f"good day number{i}. have a nice day.", 0) for i in range(1600)] + [(-i - 1, "good day. you vile zork." + (" qwzx" if i < rare else ""), 1) for i in range(toxic)]
+        common = set(op8_toxicity._common(llm.createDataFrame(texts, "doc_id long, text string, label int")).tolist())
+        numbers = [op8_toxicity.features(np.frombuffer(w, dtype=np.uint8), np.array([0, len(w)]))[0][0, 0] for w in (b"zork", b"qwzx", b"day")]
+        assert [k in common for k in numbers] == [True, True, False]
+
+
+def test_a_mark_of_most_texts_is_learnt(llm):
+    docs = llm.createDataFrame([(i, "good day. " + ("you vile zork. bye." if i % 5 < 2 else "have a nice day. bye.")) for i in range(400)], "doc_id long, text string")
+    model = op8_toxicity.train(docs, llm.createDataFrame([(i, 1, int(i % 5 < 2)) for i in range(400)], "doc_id long, quality int, toxic int"))
+    assert all((r["score"] >= op8_toxicity.THRESHOLD) == (r["doc_id"] % 5 < 2) for r in op8_toxicity.score(docs, model).collect())
+
+
 URLS = [
     ("http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/", "allow"),
     ("https://example.net/fr/", "example.net", "/fr/", "net/", "block"),
