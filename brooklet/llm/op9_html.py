@@ -1,7 +1,7 @@
 """Operator 9: main text of html pages by a linear-chain conditional random field over leaf blocks.
 
 A page becomes its leaf blocks: runs of text between block-level tags or line breaks, with the tags and class words of their
-ancestors. Comments, scripts, styles and the head hold no block. The model labels the blocks of a page, in order, as main
+ancestors. Comments, scripts, styles and the title hold no block. The model labels the blocks of a page, in order, as main
 text or not, from ancestor and text features and from the label of the block before (Viterbi); the main text is the
 blocks labelled so, joined by a space.
 
@@ -39,7 +39,11 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "svg", "title", "head", "select", "button", "textarea")}
+#: Raw text up to the closing tag, or to the end of the page without one.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "title", "textarea")}
+#: Left out with all that they hold; of one that nothing closes only the tag is.
+SKIPPED = frozenset("noscript template iframe svg select button".split())
+_EMPTY = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
 #: A tag of the left set ends an open one of the right set.
 _ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _BLOCKS_END_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
@@ -53,12 +57,30 @@ class Block:
     linked: int
 
 
+def _closed(page: str, at: int) -> dict[int, int]:
+    """For the end of each tag of ``SKIPPED`` from ``at`` on that is closed, the end of its closing tag."""
+    found, left = {}, {t: [] for t in SKIPPED}
+    while m := _TAG.search(page, at):
+        at, name, empty = m.end(), (m[2] or m[5] or "").lower(), _EMPTY.search(m[3] or m[6] or "")
+        if m[1] or m[4]:
+            if left.get(name):
+                found[left[name].pop()] = at
+        elif name in RAW:
+            if not (empty and left["svg"]):
+                closing = RAW[name].search(page, at)
+                at = closing.end() if closing else len(page)
+        elif name in SKIPPED and not (empty and name in ("svg", "iframe")):
+            left[name].append(at)
+    return found
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page that hold text."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked, anchors, at, page = 0, 0, 0, page or ""
+    closed: dict[int, int] | None = None
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -92,10 +114,14 @@ def blocks(page: str | None) -> list[Block]:
                     break
                 if name in INLINE and stack[i][0] not in INLINE:
                     break
-        elif name in RAW and not (name == "head" and "<body" not in page[at:].lower()):
+        elif name in RAW:
             closing = RAW[name].search(page, at)
             at = closing.end() if closing else len(page)
-        elif name not in VOID:
+        elif name in SKIPPED:
+            if closed is None:
+                closed = _closed(page, m.start())
+            at = closed.get(at, at)
+        elif name not in VOID and name != "head":  # what a head may hold has no text; other text ends it
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in (("p",) if name in _BLOCKS_END_P else _ENDS.get(name, ())):
                     del stack[i:]

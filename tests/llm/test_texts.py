@@ -86,6 +86,26 @@ def test_a_page(llm, crf):
     assert op9_html.extract(pages.filter("false"), crf).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("before", "within"),
+    [
+        ("<head><title>x</title><body>", ""),
+        ("<head><meta charset=utf-8><title>x</title></head><body>", "<script>a</script >"),
+        ("<head><title>x</title>", ""),
+        ("<head><title>x</title><body><svg width='1'/>", "<svg viewBox='0 0 1 1' />"),
+        ("<body><iframe src='x'/>", "<svg><title/><path d='m'/></svg>"),
+        ("<body><button class=x>", "<button><!-- <button> -->no</button>"),
+        ("<body><select>", "<select><option>no</select>"),
+        ("<body><noscript>", "<template><template>no</template>no</template>"),
+        ("<body><template>", "<iframe>no</iframe><iframe>"),
+        ("<body><svg>", "<svg><svg>no</svg>no</svg>"),
+    ],
+)
+def test_tags_without_an_end_drop_nothing_else(before, within):
+    page = f"<html>{before}<article><p>First one.</p>{within}<p>Second one.</p></article><p>Third.</p><script>no"
+    assert [b.text for b in op9_html.blocks(page)] == ["First one.", "Second one.", "Third."]
+
+
 def test_articles_of_the_table(llm, crf):
     """On this table the main text is what stands in the article element."""
     for r in table(llm, SF, "pages").collect():
