@@ -159,6 +159,29 @@ def test_a_frequent_concatenated_name_stays_blocked(llm, hot, others):
     assert model.score("cheappills.example.com", "/en/1") >= 0.5 > model.score("th7.example.com", "/en/2")
 
 
+def test_rare_words_count_as_the_others(llm, monkeypatch):
+    words = ("cheap", "green", "tea", "blue", "pills", "casino", "win", "shop", "tree", "news")
+    pairs = [(a, b) for i, a in enumerate(words) for b in words[i + 1 :]]
+    hosts = [f"{a}-{b}.example.com" for a, b in pairs] + [f"{a}{b}.example.com" for a, b in pairs[::3]] + ["", "12.34", "éa-b.example.com"]
+    pages = llm.createDataFrame([(i % 50, f"https://{h}/en/{i}/w{i % 23}x") for i, h in enumerate(hosts * 2)] + [(None, None)], "page_id long, url string")
+    parts = pages.select(*(c.alias(n) for c, n in zip(op3_urls.parsed(pages["url"]), ("host", "path"), strict=True)))
+    found = []
+    for bound in (200_000, 12):
+        monkeypatch.setattr(op3_urls, "VOCABULARY", bound)
+        model = op3_urls.train(parts)
+        rows = sorted((tuple(r) for r in op3_urls.judge(pages, model, []).collect()), key=str)
+        found.append(([r[:5] for r in rows], [r[5] for r in rows], model.prior, model.score("cheappills.example.com", "/en/w3x")))
+    assert found[0][0] == found[1][0] and len(found[0][0]) == 2 * len(hosts) + 1
+    for k in (1, 2, 3):
+        assert found[0][k] == pytest.approx(found[1][k])
+
+
+def test_long_words_are_known(llm):
+    word = "pneumonoultramicroscopicsilico"
+    model = op3_urls.train(llm.createDataFrame([("example.com", f"/{word}")] * 50, "host string, path string"))
+    assert model.segmenter.words(f"{word}zz") == [word, "zz"]
+
+
 def test_no_pages(llm):
     pages = llm.createDataFrame([], "page_id long, url string")
     model = op3_urls.train(pages.selectExpr("url AS host", "url AS path"))
