@@ -10,7 +10,8 @@ of the training folds; their labels aren't looked at). The class prior is estima
 from unlabelled texts, and the prior is the least ratio of the share of unlabelled texts to the share of positives among
 the high scores of texts that were kept out of its fit.
 
-Training reads a bounded sample: at most about ``POSITIVES`` and ``UNLABELLED`` texts. Scoring reads every text whole.
+Training reads a bounded sample: at most about ``POSITIVES`` and ``UNLABELLED`` texts, drawn by a hash of id and text; rows that repeat
+both count once there, and a trusted id that several texts have teaches one of them. Scoring reads every text whole.
 
 Nulls and odd rows: a null text is an empty one, and those score by their (zero) features like any other; repeated rows
 score alike; labels that contradict each other count as positive; without positives or unlabelled texts nothing is learnt and
@@ -145,51 +146,57 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(np.mean(found), 0.02, 0.98))
 
 
-def fit(p: np.ndarray, u: np.ndarray) -> Model:
-    """Non-negative PU risk over standardised features."""
-    if not len(p) or not len(u):
+def pu_risk(z: np.ndarray, n_p: int, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the outputs ``z``, positives first, and the slope to descend by.
+
+    Logistic loss: l(+1) = log(1 + e^-z), l(-1) = log(1 + e^z). Where the estimate of the negatives' risk is below 0, the risk
+    is that of the positives, and the slope leads back along the estimate only.
+    """
+    zp, zu = z[:n_p], z[n_p:]
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    toward = prior * (_sigmoid(zp) - 1) / n_p
+    away_p, away_u = -prior * _sigmoid(zp) / n_p, _sigmoid(zu) / len(zu)
+    risk = float(prior * np.logaddexp(0, -zp).mean() + max(0.0, negative))
+    return risk, np.concatenate([-away_p, -away_u] if negative < 0 else [toward + away_p, away_u])
+
+
+def fit(x: np.ndarray, n_p: int) -> Model:
+    """Minimises ``pu_risk`` over features, positives first; ``x`` is standardised in place."""
+    if not n_p or n_p == len(x):
         return Model(np.zeros(WIDTH), 0.0, 0.5)
-    mean, scale = u.mean(axis=0, dtype=np.float64), u.std(axis=0, dtype=np.float64) + 0.02
-    p, u = (((x - mean) / scale).astype(np.float32) for x in (p, u))
-    prior = estimate_prior(p, u)
-    n_p = len(p)
-
-    def slope(z: np.ndarray) -> np.ndarray:
-        zp, zu = z[:n_p], z[n_p:]
-        # Logistic loss: l(+1) = log(1 + e^-z), l(-1) = log(1 + e^z).
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        toward = prior * (_sigmoid(zp) - 1) / n_p
-        away_p, away_u = -prior * _sigmoid(zp) / n_p, _sigmoid(zu) / len(zu)
-        if negative < 0:  # the estimate has left its range: step back along it only
-            return np.concatenate([-away_p, -away_u])
-        return np.concatenate([toward + away_p, away_u])
-
-    w, b = _descend(np.concatenate([p, u]), slope)
+    mean, scale = x[n_p:].mean(axis=0, dtype=np.float64), x[n_p:].std(axis=0, dtype=np.float64) + 0.02
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
+    prior = estimate_prior(x[:n_p], x[n_p:])
+    w, b = _descend(x, lambda z: pu_risk(z, n_p, prior)[1])
     return Model(w / scale, float(b - (mean / scale) @ w), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Learns from positives of the training folds and from unlabelled texts of the same folds."""
     known = labelled(labels, "quality").filter("label = 1").select("doc_id")
-    trusted = drawn(known, positives, known.count(), "positive").withColumn("p", F.lit(1))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(~held_out())
+    trusted = F.broadcast(drawn(known, positives, known.count(), "positive"))  # bounded by the parameter
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h")).filter(~held_out())
     n = texts.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30))
-    web = part < (1 << 30 if n <= unlabelled else int(unlabelled / n * (1 << 30)))
-    marked = texts.join(F.broadcast(trusted), "doc_id", "left")  # bounded by the parameter
+    # One text for each trusted id, so that the bound of the ids is one of the rows.
+    least = texts.join(trusted, "doc_id").groupBy("doc_id").agg(F.min("h").alias("h")).withColumn("p", F.lit(1))
+    web = F.pmod(F.xxhash64("h", F.lit("unlabelled")), F.lit(1 << 30)) < (1 << 30 if n <= unlabelled else int(unlabelled / n * (1 << 30)))
+    marked = texts.join(F.broadcast(least), ["doc_id", "h"], "left").withColumn("u", web).filter(F.col("u") | F.col("p").isNotNull())
+    drawn_once = marked.groupBy("doc_id", "h").agg(F.min("text").alias("text"), F.max("p").alias("p"), F.max("u").alias("u"))
 
     def extract(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for a, b, data, off in batches(batch.column(1)):
                 x = features(data, off)
-                yield pa.record_batch([*(batch.column(k).slice(a, b - a) for k in (0, 2, 3)), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "p", "u", "x"])
+                yield pa.record_batch([*(batch.column(k).slice(a, b - a) for k in (0, 2, 3)), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "p", "u", "x"])
 
-    sample = marked.select("doc_id", "text", "p", web.alias("u")).filter(F.col("u") | F.col("p").isNotNull())
-    found = sample.mapInArrow(extract, "doc_id long, p int, u boolean, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    found = drawn_once.select("h", "text", "p", "u").mapInArrow(extract, "h long, p int, u boolean, x binary").toArrow()
+    order = np.argsort(found.column("h").to_numpy(), kind="stable")
+    is_p, is_u = np.array(found.column("p").is_valid())[order], found.column("u").to_numpy().astype(bool)[order]
+    rows = np.concatenate([order[is_p], order[is_u]])
     x = unpacked(found.column("x"), np.float32).reshape(-1, WIDTH)
-    is_p, is_u = np.array(found.column("p").is_valid()), found.column("u").to_numpy().astype(bool)
     del found
-    return fit(x[is_p], x[is_u])
+    return fit(x[rows], int(is_p.sum()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
