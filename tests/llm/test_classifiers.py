@@ -67,6 +67,49 @@ def test_prior_is_estimated():
     assert 0.7 <= op2_quality.estimate_prior(p, u) <= 0.95
 
 
+def test_slope_of_the_pu_risk_by_finite_differences():
+    rng = np.random.default_rng(4)
+    for prior, shift in ((0.4, 0.0), (0.9, 4.0)):  # the second has a negative estimate below 0
+        z = rng.normal(0, 1, 50) + np.where(np.arange(50) < 20, shift, -shift)
+        risk, slope = op2_quality.pu_risk(z, 20, prior)
+        zp, zu = z[:20], z[20:]
+        negative = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        assert risk == pytest.approx(prior * np.log1p(np.exp(-zp)).mean() + max(0, negative)) and (negative < 0) == (shift > 0)
+        by = (lambda z: op2_quality.pu_risk(z, 20, prior)[0]) if negative > 0 else (lambda z: prior * np.logaddexp(0, z[:20]).mean() - np.logaddexp(0, z[20:]).mean())
+        steps = np.eye(50) * 1e-5
+        assert slope == pytest.approx(np.array([(by(z + d) - by(z - d)) / 2e-5 for d in steps]), abs=1e-7)
+
+
+def test_slope_of_the_noisy_or_by_finite_differences():
+    rng = np.random.default_rng(5)
+    columns = rng.integers(0, 7, (9, 3))  # place 6 stands for no feature
+    word, starts, owner = rng.integers(0, 9, 40), np.array([0, 5, 5, 12, 30, 36]), np.array([0, 0, 1, 2, 2, 3])
+    y, weight, w = np.array([1.0, 0, 1, 0]), np.array([0.1, 0.4, 0.2, 0.3]), rng.normal(0, 1, 6)
+    loss = lambda w, b: op8_toxicity.risk(w, b, columns, word, starts, owner, y, weight)[0]
+    value, gw, gb = op8_toxicity.risk(w, -1.0, columns, word, starts, owner, y, weight)
+    z = [sum(w[c] for k in word[a:b] for c in columns[k] if c < 6) - 1.0 for a, b in zip(starts, [*starts[1:], 40], strict=True)]
+    clean = [math.prod(1 - 1 / (1 + math.exp(-v)) for v, o in zip(z, owner, strict=True) if o == i) for i in range(4)]
+    assert value == pytest.approx(-sum(g * (t * math.log(1 - c) + (1 - t) * math.log(c)) for g, t, c in zip(weight, y, clean, strict=True)))
+    assert gw == pytest.approx(np.array([(loss(w + d, -1.0) - loss(w - d, -1.0)) / 2e-5 for d in np.eye(6) * 1e-5]), abs=1e-7)
+    assert gb == pytest.approx((loss(w, -1.0 + 1e-5) - loss(w, -1.0 - 1e-5)) / 2e-5, abs=1e-7)
+
+
+def test_samples_are_bounded_by_rows_and_bytes(llm, monkeypatch):
+    texts = [(1, f"text number {k}") for k in range(300)] + [(None, "no id")] * 300 + [(k, "long " * 60) for k in range(2, 80)] + [(99, "x" * 5000)]
+    docs = llm.createDataFrame(texts, "doc_id long, text string")
+    labels = llm.createDataFrame([(k, 1, k % 2) for k in (1, *range(2, 80), 99)], "doc_id long, quality int, toxic int")
+    found, n = op8_toxicity.sample(docs, labels, "toxic", {1: 1000, 0: 1000}, max_bytes=6000, longest=4000)
+    rows = found.collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) and 99 not in {r["doc_id"] for r in rows}
+    assert 0 < sum(len(r["text"]) for r in rows) < 12000 and sum(n.values()) > 50
+    seen = []
+    monkeypatch.setattr(op2_quality, "fit", lambda x, n_p: seen.append((len(x), n_p)))
+    op2_quality.train(docs, labels)
+    ids = {k for k in (1, *range(2, 80), 99) if not _fold(k)}
+    assert seen[0][1] == len(ids)  # one text an id
+    assert seen[0][0] - seen[0][1] == (0 if _fold(1) else 300) + 1 + len(ids - {1})  # a row that comes 300 times counts once
+
+
 def test_noisy_or():
     model = op8_toxicity.Model(np.zeros(1 << op8_toxicity.BITS, dtype=np.float32), math.log(0.25 / 0.75))
     text = b"one. two! three?"
