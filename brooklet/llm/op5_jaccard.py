@@ -5,8 +5,9 @@ not none, is one n-gram. Two texts are linked if the index of their n-gram sets
 
 1. Each text becomes the key of its set (a 64-bit hash of the whole set; texts with one key are copies) and a MinHash
    signature in bands. The number of rows of a band is a parameter; the number of bands follows from the target recall at the threshold.
-2. A representative of each set goes, for each band, to the bucket of that band's hash (the shuffle). Those that share
-   buckets form candidate groups.
+2. A representative of each set goes, for each band, to the bucket of that band's hash (the shuffle). In a bucket, pairs are
+   compared by sketches of ``SKETCH`` MinHash values of four bits: those whose estimate is not ``MARGIN`` standard errors below the threshold
+   are joined into candidate groups, so that texts that are merely akin don't chain them (a pair at the threshold fails that with odds of 3e-7).
 3. The texts of candidates are read again, and the pairs of a group are verified on the full sets, block by block
    (``_links``). Copies are counted by weight and never expanded into pairs.
 
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklet.llm._links import candidates, links
+from brooklet.llm._links import links, named
 from brooklet.llm._text import BASE2, Hasher, U, batches, mix, windows, words
 from brooklet.session import checkpointed, table
 
 N, THRESHOLD = 5, 0.8
 ROWS, RECALL = 8, 0.9998
+SKETCH, MARGIN = 256, 5.0
 
 
 def n_bands(threshold: float, rows: int, recall: float) -> int:
@@ -72,27 +74,31 @@ def keys(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(values: np.ndarray, edges: np.ndarray, bands: int, rows: int, seed: int = 5) -> np.ndarray:
-    """Band hashes (text, band) of the texts whose sets aren't empty."""
+def signatures(values: np.ndarray, edges: np.ndarray, bands: int, rows: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Band hashes (text, band) and sketches (text, byte) of the texts whose sets aren't empty."""
     rng = np.random.default_rng(seed)
     factor = rng.integers(1, 1 << 63, bands * rows, dtype=U) * U(2) + U(1)
     salt = rng.integers(0, 1 << 63, bands * rows, dtype=U)
     starts = edges[:-1][edges[1:] > edges[:-1]]
     out = np.zeros((len(starts), bands), dtype=U)
+    nibbles = np.zeros((len(starts), min(SKETCH, bands * rows // 2 * 2)), dtype=np.uint8)
     if not len(starts):
-        return out
+        return out, nibbles[:, ::2]
     v = np.empty_like(values)
     for k in range(bands * rows):
         np.multiply(values, factor[k], out=v)
         np.bitwise_xor(v, salt[k], out=v)
+        least = mix(np.minimum.reduceat(v, starts))
         column = out[:, k // rows]
         column *= U(BASE2)
-        column += mix(np.minimum.reduceat(v, starts))
-    return mix(out + np.arange(bands, dtype=U))
+        column += least
+        if k < nibbles.shape[1]:
+            nibbles[:, k] = least & U(15)
+    return mix(out + np.arange(bands, dtype=U)), nibbles[:, ::2] | nibbles[:, 1::2] << 4
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, bands) of each document; key and bands are null without words."""
+    """(doc_id, key, bands, sketch) of each document; key and sketch are null without words."""
 
     def sketch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -100,13 +106,32 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 values, edges = shingles(data, off, n)
                 key = keys(values, edges)
                 full = key != 0
-                sign = signatures(values, edges, bands, rows).view(np.int64)
+                sign, sketched = signatures(values, edges, bands, rows)
+                own = iter(sketched)
                 at = np.zeros(len(key) + 1, dtype=np.int32)
                 np.cumsum(full * bands, out=at[1:])
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(sign.ravel()))
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(key.view(np.int64), mask=~full), lists], names=["doc_id", "key", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(sign.view(np.int64).ravel()))
+                packed = pa.array([next(own).tobytes() if x else None for x in full], pa.binary())
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(key.view(np.int64), mask=~full), lists, packed], names=["doc_id", "key", "bands", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, key long, bands array<long>, sketch binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, key long, bands array<long>")
+def akin(threshold: float):
+    """A verifier of sketches: whether the estimated index isn't well below the threshold."""
+
+    def verify(payloads: list[bytes]) -> np.ndarray:
+        packed = np.frombuffer(b"".join(payloads), dtype=np.uint8).reshape(len(payloads), -1)
+        x = np.concatenate([packed & 15, packed >> 4], axis=1)
+        n = x.shape[1]
+        # Of two different values one in 16 is equal in its four bits.
+        least = (threshold + (1 - threshold) / 16) * n - MARGIN * np.sqrt(n * threshold * (1 - threshold))
+        out = np.empty((len(x), len(x)), dtype=bool)
+        for i in range(len(x)):
+            out[i] = np.count_nonzero(x == x[i], axis=1) >= least
+        return out
+
+    return verify
 
 
 def similar(threshold: float):
@@ -159,16 +184,16 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int
     """doc_id, key, class_id, n_links of each document."""
     sketched = checkpointed(sketches(docs, n, n_bands(threshold, rows, recall), rows))
     some = sketched.filter(F.col("key").isNotNull())
-    sets = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"))
+    sets = checkpointed(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.min("sketch").alias("sketch")))
     # Copies have the same bands: partial aggregation drops them before the shuffle.
     buckets = some.select(F.col("key").alias("node"), F.explode("bands").alias("bucket")).groupBy("bucket", "node").agg(F.count("*").alias("c")).select("bucket", "node")
-    groups = checkpointed(candidates(buckets))
+    groups = links(buckets, sets.select(F.col("key").alias("node"), "weight", F.col("sketch").alias("payload")), akin(threshold)).select("node", F.col("component").alias("bucket"))
+    groups = checkpointed(groups)
     wanted = groups.select(F.col("node").alias("key")).join(sets, "key").select("doc_id", F.col("key").alias("node"), "weight")
     linked = links(groups, _sets(docs, wanted, n), similar(threshold))
     nodes = sets.join(linked.withColumnRenamed("node", "key"), "key", "left")
-    nodes = nodes.select("key", "doc_id", F.coalesce("component", "key").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    least = nodes.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    known = nodes.join(least, "class").select("key", "class_id", "n_links")
+    nodes = nodes.select("key", "doc_id", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    known = named(nodes, "doc_id").select("key", F.col("name").alias("class_id"), "n_links")
     own = sketched.filter(F.col("key").isNull()).select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return some.select("doc_id", "key").join(known, "key").select("doc_id", "key", "class_id", "n_links").unionByName(own)
 
@@ -205,3 +230,20 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS MATERIALIZED (
+  SELECT DISTINCT rid, array_to_string(ws[i:i + 4], ' ') AS gram
+  FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+s AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+pairs AS MATERIALIZED (
+  SELECT x.rid AS a, y.rid AS b FROM g x JOIN g y ON x.gram = y.gram AND x.rid <> y.rid JOIN s sx ON sx.rid = x.rid JOIN s sy ON sy.rid = y.rid
+  GROUP BY x.rid, y.rid, sx.n, sy.n HAVING count(*)::DOUBLE / (sx.n + sy.n - count(*)) >= 0.8),
+reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT reach.rid, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other)
+SELECT d.doc_id, min(o.doc_id) AS class_id, (SELECT count(*) FROM pairs WHERE pairs.a = d.rid) AS n_links
+FROM d JOIN reach ON reach.rid = d.rid JOIN d o ON o.rid = reach.other GROUP BY d.rid, d.doc_id
+"""

@@ -1,9 +1,10 @@
 """Operator 6: near-duplicate embeddings by Euclidean p-stable hashing.
 
 Vectors are compared only within a label. A vector is normalised, projected on random Gaussian directions, shifted by a random
-offset and quantised: a table's bucket is the tuple of ``HASHES`` such numbers. At cosine c two unit vectors lie
+offset and quantised: a table's bucket is the tuple of several such numbers. At cosine c two unit vectors lie
 sqrt(2 - 2c) apart, from which the chance of one equal number follows in closed form; the number of tables is chosen for the
-target recall at the threshold. Vectors of one bucket become candidate groups, and all pairs of a group are verified by
+target recall at the threshold. The number of hashes is the one of least work by a bounded sample of vectors (``SAMPLE``): more hashes
+take more tables and leave fewer vectors in a bucket that aren't close. The pairs of a bucket are verified by
 exact cosine in double precision, block by block (``_links``); equal vectors count by weight.
 
 Result: one row a vector: ``n_links`` (other vectors linked directly), ``component_id`` (smallest vec_id reachable by links, itself
@@ -25,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklet.llm._links import candidates, links
+from brooklet.llm._links import links, named
 from brooklet.llm._text import BASE2, Hasher, U, mix
 from brooklet.session import checkpointed, table
 
 COSINE = 0.98
-HASHES, WIDTH, RECALL = 12, 1.6, 0.9998
+WIDTH, RECALL = 1.6, 0.9998
+#: Numbers of hashes to choose from, vectors looked at for the choice, and the work of one bucket's row in compared vectors.
+HASHES, SAMPLE, ROW = range(4, 33), 600, 4
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def collision(distance: float, width: float) -> float:
@@ -48,6 +52,42 @@ def n_tables(cosine: float, hashes: int, width: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - p))
 
 
+def least_work(distances: np.ndarray, largest: int, cosine: float, width: float, recall: float) -> int:
+    """The number of hashes for which a vector's rows and the vectors that share its buckets by chance are least.
+
+    ``distances``: of pairs of one label that aren't linked; ``largest``: vectors of the largest label.
+    """
+
+    def work(k: int) -> float:
+        chance = np.mean([collision(d, width) ** k for d in distances]) if len(distances) else 0.0
+        return n_tables(cosine, k, width, recall) * (ROW + largest * chance)
+
+    return min(HASHES, key=work)
+
+
+def choose(vectors: DataFrame, cosine: float, width: float, recall: float) -> int:
+    """``least_work`` for a table of (vec_id, embedding, label), by about ``SAMPLE`` of its vectors."""
+    known = vectors.filter("label IS NOT NULL AND size(embedding) > 0")
+    of_label = known.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    largest, n = of_label[0] or 0, of_label[1] or 0
+    few = known.filter(F.pmod(F.xxhash64("embedding"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
+    rows = few.select("label", "embedding").distinct().limit(2 * SAMPLE).collect()  # the sample's bound, if the hash were uneven
+    found = []
+    for pick in ({r["label"] for r in rows}, (None,)):  # pairs of one label, or else of any
+        for label in pick:
+            same = [r["embedding"] for r in rows if label is None or r["label"] == label]
+            for d in {len(x) for x in same}:
+                x = np.array([[np.nan if c is None else c for c in v] for v in same if len(v) == d], dtype=np.float64)
+                x = x[np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)]
+                x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
+                x = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+                c = (x @ x.T)[np.triu_indices(len(x), 1)]
+                found += np.sqrt(np.maximum(2 - 2 * c[c < cosine], 0)).tolist()
+        if len(found) >= 100:
+            break
+    return least_work(np.quantile(found, np.linspace(0, 1, 1001)) if len(found) > 1001 else np.array(found), largest, cosine, width, recall)
+
+
 def _sketch(vectors: np.ndarray, labels: np.ndarray, tables: int, hashes: int, width: float, seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Key of each (label, vector) and its buckets (vector, table)."""
     d = vectors.shape[1]
@@ -90,8 +130,13 @@ def sketches(vectors: DataFrame, tables: int, hashes: int, width: float) -> Data
                     buckets[j], payload[j] = bucket[i].view(np.int64), labels[j].tobytes() + x[i].tobytes()
             yield pa.record_batch([batch.column(0), pa.array(key.view(np.int64), mask=key == 0), pa.array(buckets, pa.list_(pa.int64())), pa.array(payload, pa.binary())], names=["vec_id", "key", "buckets", "payload"])
 
-    picked = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    return picked.mapInArrow(work, "vec_id long, key long, buckets array<long>, payload binary")
+    return picked(vectors).mapInArrow(work, "vec_id long, key long, buckets array<long>, payload binary")
+
+
+def picked(vectors: DataFrame) -> DataFrame:
+    """vec_id, embedding and label in one form; labels that are no whole numbers are told apart by a 64-bit hash."""
+    label = F.col("label").cast("long") if dict(vectors.dtypes)["label"] in _WHOLE else F.when(F.col("label").isNotNull(), F.xxhash64("label"))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), label.alias("label"))
 
 
 def close(cosine: float):
@@ -111,18 +156,17 @@ def close(cosine: float):
     return verify
 
 
-def components_of(vectors: DataFrame, cosine: float = COSINE, hashes: int = HASHES, width: float = WIDTH, recall: float = RECALL) -> DataFrame:
-    """vec_id, n_links, component_id, kept of each vector."""
+def components_of(vectors: DataFrame, cosine: float = COSINE, hashes: int | None = None, width: float = WIDTH, recall: float = RECALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept of each vector; ``hashes`` is chosen by a sample where it isn't given."""
+    hashes = hashes or choose(picked(vectors), cosine, width, recall)
     sketched = checkpointed(sketches(vectors, n_tables(cosine, hashes, width, recall), hashes, width))
     some = sketched.filter(F.col("key").isNotNull())
     distinct = some.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.min("payload").alias("payload"))
     buckets = some.select(F.col("key").alias("node"), F.explode("buckets").alias("bucket")).groupBy("bucket", "node").agg(F.count("*").alias("c")).select("bucket", "node")
-    groups = checkpointed(candidates(buckets))
-    found = links(groups, distinct.select(F.col("key").alias("node"), "weight", "payload"), close(cosine))
+    found = links(buckets, distinct.select(F.col("key").alias("node"), "weight", "payload"), close(cosine))
     nodes = distinct.join(found.withColumnRenamed("node", "key"), "key", "left")
-    nodes = nodes.select("key", "least", F.coalesce("component", "key").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    least = nodes.groupBy("c").agg(F.min("least").alias("component_id"))
-    known = nodes.join(least, "c").select("key", "component_id", "n_links")
+    nodes = nodes.select("key", "least", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    known = named(nodes, "least").select("key", F.col("name").alias("component_id"), "n_links")
     own = sketched.filter(F.col("key").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = some.select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id").unionByName(own)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
@@ -130,3 +174,16 @@ def components_of(vectors: DataFrame, cosine: float = COSINE, hashes: int = HASH
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components_of(table(spark, sf_dir, "embeddings"))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS MATERIALIZED (
+  SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+pairs AS MATERIALIZED (
+  SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.label = b.label AND a.rid <> b.rid AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(rid, other) AS (SELECT rid, rid FROM v UNION SELECT reach.rid, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other)
+SELECT v.vec_id, (SELECT count(*) FROM pairs WHERE pairs.a = v.rid) AS n_links, min(o.vec_id) AS component_id, coalesce(v.vec_id = min(o.vec_id), false) AS kept
+FROM v JOIN reach ON reach.rid = v.rid JOIN v o ON o.rid = reach.other GROUP BY v.rid, v.vec_id
+"""

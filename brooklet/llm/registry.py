@@ -47,5 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_ngram_jaccard_join": op5_jaccard.SQL,
+        "op6_embedding_near_dedup": op6_embeddings.SQL,
         "op7_decontaminate": op7_decontaminate.SQL,
     }

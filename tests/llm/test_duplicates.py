@@ -8,9 +8,10 @@ import re
 import numpy as np
 import pytest
 
-from brooklet.llm import op5_jaccard, op6_embeddings
+from brooklet.llm import _links, op5_jaccard, op6_embeddings, registry
 from brooklet.llm._links import components
 from brooklet.session import table
+from tests.compare import rows_of, rows_of_sql
 from tests.llm.conftest import SF
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -154,3 +155,67 @@ def test_collision_chance_as_simulated():
     shift = rng.random(20000) * 1.6
     same = np.floor(shift / 1.6) == np.floor((shift + a) / 1.6)
     assert same.mean() == pytest.approx(op6_embeddings.collision(0.2, 1.6), abs=0.01)
+
+
+@pytest.mark.parametrize("name", ["op5_ngram_jaccard_join", "op6_embedding_near_dedup", "op7_decontaminate"])
+def test_query_by_sql(llm, name):
+    assert rows_of(registry.queries()[name](llm, "/root/testdata/sf0.01")) == rows_of_sql(registry.oracle_sql()[name], "/root/testdata/sf0.01")
+
+
+def test_pairs_that_share_several_buckets_count_once(llm, monkeypatch):
+    """Random memberships: links by brute force, with blocks of 8 so that buckets are cut, and a hub node in every bucket."""
+    rng = random.Random(8)
+    kind = {i: rng.randint(0, 2) for i in range(120)}
+    members = {b: rng.sample(range(1, 120), rng.choice((1, 2, 3, 40, 70))) + [0] * (b % 3 == 0) for b in range(25)}
+    members[30] = members[7]  # the same members again
+    shared = {(i, j) for m in members.values() for i in m for j in m if i != j and kind[i] == kind[j]}
+    buckets = llm.createDataFrame([(b, i) for b, m in members.items() for i in m], "bucket long, node long")
+    payloads = llm.createDataFrame([(i, 1 + i % 3, bytes([k])) for i, k in kind.items()], "node long, weight long, payload binary")
+    monkeypatch.setattr(_links, "HEAVY", 10)
+    found = {r["node"]: (r["links"], r["component"]) for r in _links.links(buckets, payloads, lambda p: np.array(p)[:, None] == np.array(p)[None], 8).collect()}
+    weights = {i: sum(1 + j % 3 for k, j in shared if k == i) for i in kind}
+    assert {i: n for i, (n, _) in found.items()} == {i: n for i, n in weights.items() if n}
+    root = {i: i for i in kind}
+    for _ in kind:
+        for i, j in shared:
+            root[i] = root[j] = min(root[i], root[j])
+    assert all(c == root[i] for i, (_, c) in found.items())
+
+
+def test_ties_at_the_threshold(llm):
+    """20 texts of which each pair has exactly 8 of 10 n-grams in common, and as many with 7 of 10."""
+    def text(own, k, n):
+        return " ".join(f"{own}{i}" for i in range(n)) + f" {own}x{k}" * 1
+
+    rows = [(k, text("a", k, 12)) for k in range(20)] + [(100 + k, text("b", k, 11)) for k in range(20)]
+    sets = [(i, _set(t)) for i, t in rows]
+    assert {len(a & b) / len(a | b) for (i, a) in sets[:20] for (j, b) in sets[:20] if i < j} == {0.8}
+    found = sorted(((r["doc_id"], r["n_links"], r["class_id"]) for r in op5_jaccard.classes(llm.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert found == _brute(sets, _near) and found[0][1] == 19 and all(n == 0 for i, n, _ in found if i >= 100)
+
+
+def test_texts_that_are_merely_akin_do_not_meet(llm):
+    """Texts that share half of their n-grams chain no candidate groups, so that no payload is copied for them."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base + [f"x{rng.randint(0, 10**9)}" for _ in range(28)]) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    sets = [_set(t) for t in texts[:40]]
+    assert max(len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]) < 0.51
+    sketched = op5_jaccard.sketches(llm.createDataFrame(rows, "doc_id long, text string"), 5, op5_jaccard.n_bands(0.8, 8, 0.9998), 8).collect()
+    near = op5_jaccard.akin(0.8)([bytes(r["sketch"]) for r in sketched])
+    assert near.sum() == len(rows)
+
+
+def test_labels_that_are_no_whole_numbers(llm):
+    rows = [(1, [1.0, 0.0], 1.2), (2, [1.0, 0.0], 1.7), (3, [2.0, 0.0], 1.2)]
+    found = op6_embeddings.components_of(llm.createDataFrame(rows, "vec_id long, embedding array<double>, label double")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 1, 1), (2, 0, 2), (3, 1, 1)]
+
+
+def test_hashes_follow_the_number_of_vectors():
+    far = np.full(1000, np.sqrt(2))
+    found = [op6_embeddings.least_work(far, n, 0.98, 1.6, 0.9998) for n in (10, 10**4, 10**6, 10**9)]
+    assert found == sorted(found) and found[0] < found[-1]
+    k = found[-1]  # at 10^9 vectors of a label, chance leaves less than one other vector to a bucket's row
+    assert 10**9 * op6_embeddings.collision(np.sqrt(2), 1.6) ** k < 4
