@@ -74,7 +74,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 
 @pytest.fixture(scope="module")
 def crf():
-    return op9_html.train(op9_html.labelled_pages())
+    return op9_html.standard()
 
 
 def test_a_page(llm, crf):
@@ -110,23 +110,105 @@ def test_articles_of_the_table(llm, crf):
     """On this table the main text is what stands in the article element."""
     for r in table(llm, SF, "pages").collect():
         found = op9_html.blocks(r["html"])
-        assert crf.decode(found) == [any(p.startswith("article") for p in b.path) for b in found]
-
-
-def test_held_out_layouts(crf):
+        assert crf.decode(found) == [any(x.tag == "article" for x in b.step.above()) for b in found]
+
+
+#: Names that no layout of the training pages has. Settings were chosen by the first set; the second was looked at once, afterwards.
+OTHER_PARTS = {
+    "nav": (("nav", "div", "ul"), ("toc", "primary-links", "sections", "crumbs")),
+    "header": (("header", "div"), ("brand", "page-top", "hero-strip")),
+    "footer": (("footer", "div"), ("imprint", "colophon", "page-end")),
+    "side": (("aside", "div", "section"), ("rail", "more-stories", "teasers")),
+    "advert": (("div", "aside"), ("dfp", "partner-box", "commercial")),
+    "notice": (("div", "section"), ("dialog", "overlay", "toast")),
+    "form": (("form", "div"), ("lead-box", "contact", "query")),
+    "comments": (("section", "div", "ol"), ("talkback", "feedback", "opinions", "ugc", "thread")),
+    "share": (("div", "ul"), ("socialbar", "spread", "toolbar")),
+}
+OTHER_MAINS = (("article", "longread"), ("div", "td-post"), ("div", "copytext"), ("section", "feature"), ("div", "xyz"), ("main", "center-col"))
+
+LAST_PARTS = {
+    "nav": (("nav", "div", "ul"), ("pathway", "index-links", "topics", "jump")),
+    "header": (("header", "div"), ("ident", "cap", "title-strip")),
+    "footer": (("footer", "div"), ("base", "credits", "subfoot")),
+    "side": (("aside", "div", "section"), ("flank", "also", "picks")),
+    "advert": (("div", "aside"), ("mpu", "house-box", "paidfor")),
+    "notice": (("div", "section"), ("gate", "modal", "ribbon")),
+    "form": (("form", "div"), ("optin", "enquiry", "ask")),
+    "comments": (("section", "div", "ol"), ("letters", "debate", "say", "voices", "community")),
+    "share": (("div", "ul"), ("pass-on", "networks", "actions")),
+}
+LAST_MAINS = (("article", "item"), ("div", "node-full"), ("div", "prose"), ("section", "column"), ("div", "zq"), ("main", "middle"))
+
+
+@pytest.mark.parametrize("how", [{"seed": 321}, {"seed": 322, "unknown": 1.0}, {"seed": 323, "unknown": 0.0, "parts": OTHER_PARTS, "mains": OTHER_MAINS}, {"seed": 324, "unknown": 0.0, "parts": LAST_PARTS, "mains": LAST_MAINS}])
+def test_held_out_layouts(crf, how):
     wrong = total = 0
-    for page, main in op9_html.labelled_pages(200, seed=321):
+    for page, main in op9_html.labelled_pages(200, **how):
         found = op9_html.blocks(page)
         wrong += sum(a != (b.text in main) for a, b in zip(crf.decode(found), found, strict=True))
         total += len(found)
     assert wrong <= 0.02 * total
 
 
+@pytest.mark.parametrize("around", ["article", 'div class="content"', 'div class="article-text"', 'div class="td-post"', 'div class="xyz"'])
+@pytest.mark.parametrize("comments", ['div class="comments"', 'div class="reader-says"', 'section id="feedback"', "div"])
+def test_comments_inside_the_article_go(crf, around, comments):
+    own = ["Title of it", "First paragraph with many words in it that go on and on.", "Second paragraph with many words, too.", "A caption", "one", "two", "Last paragraph of the article, it ends here."]
+    page = f"<nav><ul><li><a href=/>Home</a></ul></nav><{around}><h1>{own[0]}</h1><p>{own[1]}</p><p>{own[2]}</p><table><caption>{own[3]}</caption><tr><td>{own[4]}<td>{own[5]}</table><p>{own[6]}</p>"
+    found = op9_html.blocks(page + f"<{comments}><p>reader says hi there</p></{comments.split()[0]}></{around.split()[0]}><footer>&copy; x</footer>")
+    assert [b.text for b, main in zip(found, crf.decode(found), strict=True) if main] == own
+
+
+LONG = {
+    "quotes": "<a x=\"y' ", "open quotes": "<a x=\"y' >", "heads": "<head>x", "nested": "<div>x", "inline": "<i>", "raw": "<script>x", "skipped": "<svg>", "brackets": "<", "references": "&#1", "classes": "<p class=a1 id=b>x",
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_long_pages_take_time_in_proportion(crf, kind):
+    from time import process_time
+
+    def seconds(size):
+        page, began = LONG[kind] * (size // len(LONG[kind])), process_time()
+        crf.decode(op9_html.blocks(page))
+        return process_time() - began
+
+    assert seconds(800_000) < 10 * seconds(200_000) + 0.5
+
+
+def test_long_numbers_and_text_between_tags():
+    page = f"<p>a &#{'9' * 6000}; b &#{'0' * 6000}65; c < d</p><b>e<!-- f > g"
+    assert [b.text for b in op9_html.blocks(page)] == ["a \ufffd b A c < d", "e"]
+
+
+def test_likelihood_by_all_paths_and_finite_differences():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    pages = [(op9_html.blocks("<div class=a>x<p>y<p>z</div><ul><li>w</ul>"), [True, False, True, True]), (op9_html.blocks("<p>q<h1>r"), [False, True])]
+    chains = op9_html.Chains(pages)
+    theta = rng.normal(0, 0.5, (1 << op9_html.BITS) + 5)
+    w, start, move = theta[: 1 << op9_html.BITS], theta[1 << op9_html.BITS], theta[-4:].reshape(2, 2)
+    expected = 0.0
+    for found, gold in pages:
+        e = [w[[*op9_html.block_features(b, s), *op9_html.path_features(b.step)]].sum() for b, s in zip(found, op9_html.stands(found), strict=True)]
+        score = lambda y: y[0] * start + sum(a * b for a, b in zip(y, e, strict=True)) + sum(move[a][b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        expected += np.log(sum(np.exp(score(y)) for y in product((0, 1), repeat=len(e)))) - score(list(map(int, gold)))
+    loss, slope = chains.loss(theta)
+    assert loss == pytest.approx(expected)
+    for k in (*np.unique(chains.index)[:12], *range(1 << op9_html.BITS, len(theta))):
+        d = np.zeros_like(theta)
+        d[k] = 1e-5
+        assert slope[k] == pytest.approx((chains.loss(theta + d)[0] - chains.loss(theta - d)[0]) / 2e-5, abs=1e-6)
+
+
 def test_viterbi_against_all_paths(crf):
     from itertools import product
 
     found = op9_html.blocks(PAGE)[:9]
-    e = [float(crf.weights[op9_html.block_features(b)].sum()) for b in found]
+    e = [float(crf.weights[[*op9_html.block_features(b, stand), *op9_html.path_features(b.step)]].sum()) for b, stand in zip(found, op9_html.stands(found), strict=True)]
+    assert crf.scores(found) == pytest.approx(e)
 
     def score(path):
         return path[0] * (crf.start + e[0]) + sum(crf.step[a][b] + b * x for a, b, x in zip(path, path[1:], e[1:], strict=False))
