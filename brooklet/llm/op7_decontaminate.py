@@ -4,8 +4,9 @@ Words are runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lower-c
 words, or all its words where it has fewer. Their hashes are a set that every task gets; each document's token windows are
 looked up in it, hits are verified word by word, and the words under any hit are marked.
 
-The benchmark's size is checked before it is sent out: beyond ``MAX_BYTES`` it is dealt into blocks of about that size and
-the documents are scanned once for each block, marks adding up, with a checkpoint between the scans.
+What is sent out is bounded as it is built: a window takes ``WINDOW_BYTES`` beside the words of its item, which are held once. Items of
+more than ``PIECE`` words are split at windows, and where all windows take more than ``MAX_BYTES`` the pieces are dealt into blocks of
+about that size; the documents are scanned once for each block, marks adding up, with a checkpoint between the scans.
 
 Nulls and odd rows: a null or empty text has no words; an item without words has no window; repeated items count once by
 their id, and a null item_id is named ``null``; repeated documents are judged each; ``scan`` replaces columns
@@ -20,51 +21,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.llm._bpe import Table
-from brooklet.llm._text import Hasher, batches, windows, words
+from brooklet.llm._text import BASE2, Hasher, U, batches, mix, windows, words
 from brooklet.session import checkpointed, table
 
 WINDOW = 13
 MAX_BYTES = 64 << 20
+#: Bytes that a window takes: its hashes, item and first word, and up to four places in the hash table.
+WINDOW_BYTES = 80
+#: Windows of an item that are kept together.
+PIECE = 1 << 16
 HITS = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
+class _Set:
+    """Windows of one length: groups of equal ones, in order of their hashes, with a first word and the items of each."""
+
+    def __init__(self, h: np.ndarray, at: np.ndarray, owner: np.ndarray, k: int):
+        w, other = windows(h, k)[at], windows(mix(h ^ U(BASE2)), k)[at]
+        order = np.lexsort((owner, other, w))
+        w, other, at, owner = w[order], other[order], at[order], owner[order]
+        new = np.ones(len(w), dtype=bool)
+        new[1:] = (w[1:] != w[:-1]) | (other[1:] != other[:-1])
+        group = np.cumsum(new) - 1
+        mine = np.ones(len(w), dtype=bool)
+        mine[1:] = new[1:] | (owner[1:] != owner[:-1])
+        self.hashes, self.first = w[new], at[new].astype(np.int32)
+        self.owners = owner[mine].astype(np.int32)
+        self.edges = np.searchsorted(group[mine], np.arange(len(self.first) + 1)).astype(np.int32)
+        unique, place = np.unique(self.hashes, return_index=True)
+        self.places = Table(max(4, (2 * len(unique)).bit_length()))
+        self.places.put(unique, place.astype(np.int32))
+
+
 class Windows:
-    """The windows of one block of items, by length."""
+    """The windows of one block of items (name, text), by length."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.names: list[str] = []
-        self.owners: list[set[int]] = []
-        self.texts: list[bytes] = []
-        hashes: dict[int, list[int]] = defaultdict(list)
-        numbers: dict[int, list[int]] = defaultdict(list)
-        known: dict[tuple[int, bytes], int] = {}
-        for name, text in items:
-            low, s, e, _ = words(*_one(text))
-            if not len(s):
-                continue
-            k, own = min(size, len(s)), [low[a:b].tobytes() for a, b in zip(s, e, strict=True)]
-            item = len(self.names)
-            self.names.append(name)
-            for i, h in enumerate(windows(Hasher(low).spans(s, e), k).tolist()):
-                joined = b" ".join(own[i : i + k])
-                if (k, joined) not in known:
-                    known[k, joined] = len(self.texts)
-                    self.texts.append(joined)
-                    self.owners.append(set())
-                    hashes[k].append(h)
-                    numbers[k].append(known[k, joined])
-                self.owners[known[k, joined]].add(item)
-        self.by_length = {}
-        for k, h in hashes.items():
-            unique, at = np.unique(np.array(h, dtype=np.uint64), return_index=True)
-            places = Table(max(4, (2 * len(unique)).bit_length()))
-            places.put(unique, np.array(numbers[k], dtype=np.int32)[at])
-            self.by_length[k] = places
+        self.names = sorted({name for name, _ in items})
+        number = {name: i for i, name in enumerate(self.names)}
+        texts = [text.encode() for _, text in items]
+        off = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+        low, s, e, owner = words(np.frombuffer(b"".join(texts), dtype=np.uint8), off)
+        name = np.array([number[n] for n, _ in items], dtype=np.int64)[owner] if len(s) else owner
+        count = np.bincount(owner, minlength=len(items))[owner] if len(s) else owner
+        h = Hasher(low).spans(s, e)
+        self.low, self.s, self.e = low, s.astype(np.int32), e.astype(np.int32)
+        self.by_length: dict[int, _Set] = {}
+        for k in np.unique(np.minimum(count, size)).tolist():
+            at = np.flatnonzero((owner[: len(s) - k + 1] == owner[k - 1 :]) & (np.minimum(count, size)[: len(s) - k + 1] == k))
+            self.by_length[k] = _Set(h, at, name[at], k)
+
+    def items(self, k: int, n: int, text: bytes) -> set[int]:
+        """The items of the windows of ``k`` words that are ``text``, words joined by blanks; ``n``: the first group of its hash."""
+        found, own = set(), self.by_length[k]
+        group = n
+        while group < len(own.hashes) and own.hashes[group] == own.hashes[n]:
+            i = own.first[group]
+            if joined(self.low, self.s[i : i + k], self.e[i : i + k]) == text:
+                found.update(own.owners[own.edges[group] : own.edges[group + 1]].tolist())
+            group += 1
+        return found
+
+
+def joined(low: np.ndarray, s: np.ndarray, e: np.ndarray) -> bytes:
+    return b" ".join(low[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True))
 
 
 def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -72,47 +98,64 @@ def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([0, len(data)])
 
 
+def pieces(items: DataFrame, size: int, piece: int) -> DataFrame:
+    """(name, text, cost) of the pieces of the items (name, text): each window lies in one of them. ``cost``: bytes as built."""
+
+    def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, s, e, _ = words(*_one(text))
+                for a in range(0, max(1, len(s) - size + 1), piece):
+                    own = low[s[a] : e[min(len(s), a + piece + size - 1) - 1]].tobytes().decode() if len(s) else ""
+                    cost = len(own.encode()) + (WINDOW_BYTES + 8) * min(len(s), piece + size)
+                    yield pa.record_batch([pa.array([name], pa.string()), pa.array([own], pa.string()), pa.array([cost], pa.int64())], names=["name", "text", "cost"])
+
+    return items.mapInArrow(split, "name string, text string, cost long")
+
+
 def _scan(block: Windows, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, dict[int, set[int]]]]:
     """For pieces of the column: its first row, words and marks of each text, and the items found in each text."""
     for a, _, data, off in batches(column):
         low, s, e, owner = words(data, off)
         h = Hasher(low).spans(s, e)
         marks, found = np.zeros(len(s) + 1, dtype=np.int64), defaultdict(set)
-        for k, places in block.by_length.items():
+        for k, own in block.by_length.items():
             w = windows(h, k)
             if not len(w):
                 continue
             at = np.flatnonzero(owner[: len(w)] == owner[k - 1 :])
-            hit = places.find(w[at])
+            hit = own.places.find(w[at])
             for i, n in zip(at[hit >= 0].tolist(), hit[hit >= 0].tolist(), strict=True):
-                if b" ".join(low[x:y].tobytes() for x, y in zip(s[i : i + k], e[i : i + k], strict=True)) == block.texts[n]:
+                if items := block.items(k, n, joined(low, s[i : i + k], e[i : i + k])):
                     marks[i] += 1
                     marks[i + k] -= 1
-                    found[int(owner[i])] |= block.owners[n]
+                    found[int(owner[i])] |= items
         yield a, np.bincount(owner, minlength=len(off) - 1), np.cumsum(marks[:-1]) > 0, found
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BYTES, piece: int = PIECE) -> DataFrame:
     """``docs`` with the number of words, the spans of words under windows, and the ids of the items they come from."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    items = checkpointed(pieces(items, size, piece))
+    total = items.agg(F.sum("cost")).first()[0] or 0
     n = -(-total // max_bytes) or 1
     docs = docs.drop("n_words", "spans", "items")
     empty = F.lit(None)
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), empty.cast("array<struct<start:long,end:long>>").alias("spans"), empty.cast("array<string>").alias("items"))
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k) if n > 1 else items
-        block = Windows(sorted(tuple(r) for r in rows.collect()), size)
-        out = _mark(out, block)
+        block = Windows(sorted(tuple(r) for r in rows.select("name", "text").collect()), size)
+        out = _mark(out, docs.sparkSession.sparkContext.broadcast(block))
         if k + 1 < n:
             out = checkpointed(out)
     return out
 
 
-def _mark(docs: DataFrame, block: Windows) -> DataFrame:
+def _mark(docs: DataFrame, sent: Broadcast) -> DataFrame:
     at = docs.columns.index("text")
 
     def mark(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
         for batch in rows:
             counts, spans, items = [], [], []
             before, named = batch.column("spans"), batch.column("items")

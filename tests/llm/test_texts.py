@@ -52,7 +52,7 @@ def test_decontamination_as_its_sql(llm):
 def test_decontamination_in_blocks_and_odd_texts(llm, odd_docs):
     benchmark = llm.createDataFrame([(1, "a b c d"), (2, None), (3, ""), (None, "漢字"), (1, "a b c d"), (9, " ".join(f"w{i % 977}" for i in range(40, 60)))], "item_id long, text string")
     whole = op7_decontaminate.judged(op7_decontaminate.scan(odd_docs, benchmark))
-    parts = op7_decontaminate.judged(op7_decontaminate.scan(odd_docs, benchmark, max_bytes=20))
+    parts = op7_decontaminate.judged(op7_decontaminate.scan(odd_docs, benchmark, max_bytes=900, piece=3))
     pick = lambda df: sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in df.collect()), key=str)
     assert pick(whole) == pick(parts)
     by = {r["doc_id"]: r for r in whole.collect()}
@@ -113,6 +113,37 @@ def test_articles_of_the_table(llm, crf):
         assert crf.decode(found) == [any(x.tag == "article" for x in b.step.above()) for b in found]
 
 
+def test_windows_of_long_and_repeated_items():
+    """Against brute force: items in pieces and whole, windows that several items have, words that join differently."""
+    import random
+
+    rng = random.Random(2)
+    items = [(str(k % 7), " ".join(rng.choice(("ab", "c", "a", "bc", "é")) for _ in range(rng.choice((0, 2, 4, 40))))) for k in range(30)]
+    block = op7_decontaminate.Windows(items, 4)
+    expected = {}
+    for name, text in items:
+        w = text.split()
+        for i in range(len(w) - min(4, len(w)) + 1 if w else 0):
+            expected.setdefault(tuple(w[i : i + 4]), set()).add(name)
+    for w, names in expected.items():
+        own = block.by_length[len(w)]
+        low, s, e, _ = op7_decontaminate.words(*op7_decontaminate._one(" ".join(w)))
+        n = int(own.places.find(op7_decontaminate.windows(op7_decontaminate.Hasher(low).spans(s, e), len(w)))[0])
+        assert {block.names[i] for i in block.items(len(w), n, " ".join(w).encode())} == names
+        assert block.items(len(w), n, b"x") == set()
+    assert sum(len(s.hashes) for s in block.by_length.values()) == len(expected)
+
+
+def test_what_is_sent_is_what_was_measured(llm):
+    import pickle
+
+    texts = [(k, " ".join(f"w{k * 31 + i}" for i in range(n))) for k, n in enumerate((5, 13, 40_000, 200_000))]
+    found = op7_decontaminate.pieces(llm.createDataFrame(texts, "name string, text string"), 13, 1 << 14).collect()
+    assert sum(r["cost"] for r in found) >= len(pickle.dumps(op7_decontaminate.Windows([(r["name"], r["text"]) for r in found], 13)))
+    starts = [" ".join(w[i : i + 13]) for r in found for w in [r["text"].split()] for i in range(max(1, len(w) - 12))]
+    assert len(starts) == sum(max(1, n - 12) for n in (5, 13, 40_000, 200_000)) and max(len(r["text"].split()) for r in found) <= (1 << 14) + 12
+
+
 #: Names that no layout of the training pages has. Settings were chosen by the first set; the second was looked at once, afterwards.
 OTHER_PARTS = {
     "nav": (("nav", "div", "ul"), ("toc", "primary-links", "sections", "crumbs")),
