@@ -3,12 +3,13 @@
 The pre-tokeniser of this vocabulary starts a new token at certain places whatever surrounds them: before a space that
 stands before a visible character, before white space that follows a visible character, between a letter or digit and a
 punctuation mark other than the apostrophe, and after a single line feed between visible characters. Texts are cut there
-only, so encoding the pieces is encoding the text. Each worker encodes a piece once and looks it up afterwards.
+only (and around added tokens, such as an end-of-text mark, whose string in a text is one id), so encoding the pieces is encoding the text. Each worker encodes a piece once and looks it up afterwards.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -98,7 +99,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.forget()
 
     def forget(self) -> None:
@@ -141,9 +143,26 @@ class Encoder:
         return gather(self.flat, self.start[where], lengths), lengths
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and the number of ids of each text."""
+        """All ids end to end, and the number of ids of each text.
+
+        An added token in a text is one id, and what is before and after it is encoded as if it were a text of its own.
+        """
+        found = [m.span() for m in self.added.finditer(data.tobytes())] if self.added else []
+        if found := [x for x in found if np.searchsorted(off, x[0], "right") == np.searchsorted(off, x[1], "left")]:
+            edges = np.union1d(off, np.array(found).ravel())
+            flat, lengths = self._encode(data, edges, np.array(found))
+            total = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(edges, off)]
+            return flat, np.diff(total)
+        return self._encode(data, off)
+
+    def _encode(self, data: np.ndarray, off: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``whole``: the spans that no piece begins in."""
         n = len(off) - 1
         starts, ends = cuts(data, off)
+        if whole is not None:
+            inside = np.searchsorted(whole[:, 0], starts, "left") > np.searchsorted(whole[:, 1], starts, "right")
+            starts = starts[~inside]
+            ends = np.append(starts[1:], len(data))
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(n, np.int64)
         h, check = Hasher(data).spans(starts, ends), Hasher(data, BASE2).spans(starts, ends)

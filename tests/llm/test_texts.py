@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brooklet.llm import op4_sstable, op7_decontaminate, op9_html, op10_token_counts, registry
+from brooklet.llm import _bpe, op4_sstable, op7_decontaminate, op9_html, op10_token_counts, registry
 from brooklet.session import table
 from tests.compare import rows_of, rows_of_sql
 from tests.llm.conftest import SF
@@ -21,7 +21,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -45,6 +44,18 @@ def test_shard_of_odd_texts_and_lookup(llm, odd_docs, odd_texts, library, tmp_pa
     assert op4_sstable.read_shards(none).count() == 0
 
 
+def test_added_tokens_in_texts(llm, library):
+    mark = "<|endoftext|>"
+    texts = ["", mark, f"a  {mark}  b{mark}{mark}", f"it{mark}'s", f"{mark[:5]}{mark}{mark[5:]} x", "no <| mark |> here", f"\n\n{mark}\n \n", "<|endof", "text|> split over two"]
+    bpe = _bpe.Encoder(PATH)
+    raw = [t.encode() for t in texts]
+    flat, lengths = bpe.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert flat.tolist() == [i for t in texts for i in library(t)] and lengths.tolist() == [len(library(t)) for t in texts]
+    docs = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = dict(map(tuple, op10_token_counts.token_counts(docs, PATH).groupBy("doc_id").agg(F.sum("n_tokens")).collect()))
+    assert counts == {i: len(library(t)) for i, t in enumerate(texts)}
+
+
 def test_decontamination_as_its_sql(llm):
     assert rows_of(op7_decontaminate.query(llm, SF)) == rows_of_sql(registry.oracle_sql()["op7_decontaminate"], SF)
 
@@ -261,12 +272,18 @@ def test_token_spans_by_brute_force(llm):
     t = Tokenizer.from_file(PATH)
     docs = [(r["doc_id"], r["text"]) for r in table(llm, SF, "documents").collect()]
     found = {(r["doc_id"], r["section"]): r["n_tokens"] for r in op10_token_counts.query(llm, SF).collect()}
-    for i, text in docs[:80]:
+    most = {(r["doc_id"], r["section"]): (r["n_tokens"], r["n_crossing"]) for r in op10_token_counts.token_counts(table(llm, SF, "documents"), PATH, "most").collect()}
+    for i, text in docs:
         starts = [0, *(k + 1 for k, c in enumerate(text) if c == "\n" and k + 1 < len(text))]
-        counts = [0] * len(starts)
+        counts, by_most, crossing = ([0] * len(starts) for _ in range(3))
         for a, b in t.encode(text, add_special_tokens=False).offsets:
-            counts[np.searchsorted(starts, a, "right") - 1] += 1
+            first, last = (int(np.searchsorted(starts, x, "right")) - 1 for x in (a, max(a, b - 1)))
+            counts[first] += 1
+            shares = [min(b, [*starts, len(text)][k + 1]) - max(a, starts[k]) for k in range(first, last + 1)]
+            by_most[first + int(np.argmax(shares))] += 1
+            crossing[first + int(np.argmax(shares))] += last > first
         assert [found[i, k] for k in range(len(starts))] == counts
+        assert [most[i, k] for k in range(len(starts))] == list(zip(by_most, crossing, strict=True))
 
 
 def test_rules_for_tokens_that_cross():
