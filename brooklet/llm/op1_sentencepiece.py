@@ -7,8 +7,9 @@ between two characters that follow each other in no piece. What lies between two
 2. All distinct units are encoded once, as a relation: substrings of up to the longest piece's length are exploded, equi-joined to
    the piece table (as large as the vocabulary, hence broadcast) and grouped by unit; a higher-order ``aggregate`` folds the edges:
    ``viterbi`` for unigram models (best sum of scores), ``merged`` for BPE models (the best-ranked pair of
-   neighbours is merged until none is left). The public model is BPE: a Viterbi path over its ranks is not what
-   it means, so the query folds merges. Units of more than ``MOST`` characters take the same merges by a heap in a task.
+   neighbours is merged until none is left). The model's type is read from its file. The public model is BPE: a Viterbi path over its ranks
+   is not what it means, so the query folds merges. Units of more than ``MOST`` characters, for which an edge's number has no room,
+   take the same merges or the same path in a task (``merge_long``, ``path_of_long``).
 3. The units' ids go back to the splits that hold them, as one sorted file a split in the shared folder, and a second
    scan looks each unit of a text up there. No text is shuffled.
 
@@ -57,14 +58,18 @@ class Pieces:
     bpe: bool = True
 
     @classmethod
-    def read(cls, path: str, bpe: bool = True) -> Pieces:
+    def read(cls, path: str) -> Pieces:
         import sentencepiece
 
+        with open(path, "rb") as file:
+            kind = model_type(file.read())
+        if kind not in ("unigram", "bpe"):
+            raise ValueError(f"models of type {kind} aren't encoded here")
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(m.get_piece_size())
         plain = [i for i in every if not (m.is_byte(i) or m.is_control(i) or m.is_unused(i) or m.is_unknown(i))]
         byte = {m.id_to_piece(i): i for i in every if m.is_byte(i)}
-        return cls([m.id_to_piece(i) for i in plain], plain, [m.get_score(i) for i in plain], [byte.get(f"<0x{b:02X}>", m.unk_id()) for b in range(256)], bpe)
+        return cls([m.id_to_piece(i) for i in plain], plain, [m.get_score(i) for i in plain], [byte.get(f"<0x{b:02X}>", m.unk_id()) for b in range(256)], kind == "bpe")
 
     def cutter(self) -> Cutter:
         return Cutter({p[i : i + 2] for p in self.names for i in range(len(p) - 1)})
@@ -81,6 +86,35 @@ class Pieces:
         return max(map(len, self.names), default=1)
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a message in protocol-buffer form: numbers, and the bytes of what has a length."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            at += size
+            yield key >> 3, raw[at - size : at]
+
+
+def model_type(raw: bytes) -> str:
+    """The type in a model's trainer settings (field 2 of the model, field 3 of the settings); unigram where it says none."""
+    trainer = next((v for k, v in _fields(raw) if k == 2), b"")
+    return ("unigram", "bpe", "word", "char")[next((v for k, v in _fields(trainer) if k == 3), 1) - 1]
+
+
 class Cutter:
     """Cuts texts into units."""
 
@@ -317,6 +351,23 @@ def merge_long(unit: str, rank: dict[str, tuple[int, int]], byte_ids: list[int])
     return out
 
 
+def path_of_long(unit: str, score: dict[str, tuple[float, int]], unknown: float, byte_ids: list[int], longest: int) -> list[int]:
+    """The path of one long unit that ``viterbi`` finds. ``score``: piece -> (score, id)."""
+    best: list[tuple[float, int]] = [(0.0, 0)]  # score, and minus the start of the last piece
+    for k in range(1, len(unit) + 1):
+        own = score.get(unit[k - 1])
+        ways = [(best[k - 1][0] + (own[0] if own else unknown), 1 - k)]
+        ways += [(best[j][0] + found[0], -j) for j in range(max(0, k - longest), k - 1) if (found := score.get(unit[j:k]))]
+        best.append(max(ways))
+    out, k = [], len(unit)
+    while k:
+        j = -best[k][1]
+        found = score.get(unit[j:k])
+        out.append([found[1]] if found else [byte_ids[b] for b in unit[j:k].encode()])
+        k = j
+    return [i for part in reversed(out) for i in part]
+
+
 def _split() -> Column:
     return F.xxhash64(F.input_file_name(), F.input_file_block_start())
 
@@ -326,18 +377,20 @@ def encoded_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     spark = units.sparkSession
     rows = pieces.frame(spark)
     found = lattice(units, rows, pieces.longest)
-    if not pieces.bpe:
-        return viterbi(found, pieces)
-    ranked = {r[0]: (r[1], r[2]) for r in rows.select("piece", "rank", "id").collect()}
-    byte_ids = pieces.byte_ids
+    byte_ids, longest, bpe, unknown = pieces.byte_ids, pieces.longest, pieces.bpe, min(pieces.scores, default=0.0) + UNKNOWN
+    if bpe:
+        known = {r[0]: (r[1], r[2]) for r in rows.select("piece", "rank", "id").collect()}
+    else:
+        known = {p: (s, i) for p, s, i in zip(pieces.names, pieces.scores, pieces.ids, strict=True)}
 
     def long(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
             names = batch.column(0).to_pylist()
-            yield pa.record_batch([batch.column(0), pa.array([merge_long(u, ranked, byte_ids) for u in names], pa.list_(pa.int32()))], names=["unit", "ids"])
+            ids = [merge_long(u, known, byte_ids) if bpe else path_of_long(u, known, unknown, byte_ids, longest) for u in names]
+            yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
 
     rest = units.filter(F.length("unit") > MOST).mapInArrow(long, "unit string, ids array<int>")
-    return merged(found, pieces).unionByName(rest)
+    return (merged if bpe else viterbi)(found, pieces).unionByName(rest)
 
 
 def _write_splits(rows: DataFrame, folder: str) -> None:

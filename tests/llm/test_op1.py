@@ -107,3 +107,44 @@ def test_lattice_is_joined_not_collected(llm):
     pieces = op.Pieces(["ab", "a", "b"], [0, 1, 2], [-1.0, -2.0, -3.0], list(range(3, 259)))
     plan = op.lattice(llm.createDataFrame([("ab",)], "unit string"), pieces.frame(llm), 2)
     assert plan.select("n", F.size("edges").alias("m")).collect()[0][:] == (2, 2)
+
+
+def _message(*fields: tuple[int, object]) -> bytes:
+    """Fields in protocol-buffer form."""
+    import struct
+
+    def number(n: int) -> bytes:
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+
+    out = b""
+    for k, v in fields:
+        if isinstance(v, float):
+            out += number(k << 3 | 5) + struct.pack("<f", v)
+        elif isinstance(v, int):
+            out += number(k << 3) + number(v)
+        else:
+            raw = v.encode() if isinstance(v, str) else v
+            out += number(k << 3 | 2) + number(len(raw)) + raw
+    return out
+
+
+def test_a_unigram_model_as_the_library(llm, tmp_path):
+    """A hand-made piece table: short texts, units of 80 and 10,000 characters, and the type as the file has it."""
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(60)}) + ["a", "b", "c", "\u2581", "\u2581a", "\u2581ab"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((n, -rng.randint(16, 160) / 16, 1) for n in names)]
+    model = _message(*((1, _message((1, n), (2, s), (3, k))) for n, s, k in pieces), (2, _message((3, 1))), (3, _message((1, "identity"), (3, 1), (4, 0), (5, 1))))
+    path = f"{tmp_path}/hand.model"
+    with open(path, "wb") as file:
+        file.write(model)
+    assert op.model_type(model) == "unigram" and op.model_type(open(PATH, "rb").read()) == "bpe"
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    texts = [" ".join(word(rng.randint(1, 30)) for _ in range(20)) for _ in range(20)] + [word(60), word(61), word(62), word(63), word(80), word(10_000)]
+    mine = op.Pieces.read(path)
+    assert not mine.bpe
+    score = dict(zip(mine.ids, mine.scores, strict=True))
+    for r in op.encode(llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), mine).collect():
+        own, theirs = r["ids"], library.encode(texts[r["doc_id"]])
+        assert library.decode(own) == texts[r["doc_id"]]
+        assert sum(score[i] for i in own) == pytest.approx(sum(score[i] for i in theirs))  # of equal paths either may be taken
