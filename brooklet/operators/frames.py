@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brooklet.functions.columns import div
-from brooklet.operators.ordered import islands, numbered
+from brooklet.operators.ordered import runs
 
 
 def threshold_frames(df: DataFrame, group: str, t: str, predicate: str, size: int, by: Column, segmentation: bool = False) -> DataFrame:
@@ -19,11 +18,12 @@ def threshold_frames(df: DataFrame, group: str, t: str, predicate: str, size: in
     Times of a group must differ. Null counts as 0.
     """
     held = df.select(group, t, F.coalesce(F.col(predicate).cast("int"), F.lit(0)).alias("predicate"))
-    runs = islands(held, [group], t, by, ["predicate"]).groupBy(group, "island").agg(F.min(t).alias("frame_start"), F.max(t).alias("frame_end"), F.count(F.lit(1)).alias("length"), F.first("predicate").alias("predicate"))
-    found = runs.filter((F.col("length") >= size) & (F.col("predicate").isin(0, 1) if segmentation else F.col("predicate") == 1))
-    # The number of runs before a frame grows with time; so do stretches of it.
-    named = numbered(found, [group], "frame_start", div("island", 4096), "frame_id")
-    return named.select("frame_id", "frame_start", "frame_end", F.col(group).alias("frame_group"), "length", "predicate")
+
+    def wanted(run: Column, length: Column) -> Column:
+        return (length >= size) & (run["predicate"].isin(0, 1) if segmentation else run["predicate"] == 1)
+
+    found = runs(held, [group], t, by, ["predicate"], [t], wanted)
+    return found.select(F.col("run_no").alias("frame_id"), F.col("start").alias("frame_start"), F.col("end").alias("frame_end"), F.col(group).alias("frame_group"), "length", "run.predicate")
 
 
 _DELTA = "group {}, frame_id long, frame_start long, frame_end long, length long, status string"
@@ -67,8 +67,8 @@ def delta_frames(df: DataFrame, group: str, t: str, value: str, delta: float, cl
 def boundary_frames(df: DataFrame, group: str, t: str, value: str, width: float, by: Column) -> DataFrame:
     """Maximal runs of rows whose value lies in one stripe [k * width, (k + 1) * width)."""
     held = df.filter(F.col(value).isNotNull()).select(group, t, F.floor(F.col(value) / width).alias("stripe"))
-    runs = islands(held, [group], t, by, ["stripe"]).groupBy(group, "island").agg(F.min(t).alias("frame_start"), F.max(t).alias("frame_end"), F.count(F.lit(1)).alias("length"), F.first("stripe").alias("stripe"))
-    return runs.select(F.col("island").alias("frame_id"), "frame_start", "frame_end", F.col(group).alias("frame_group"), "length", "stripe")
+    found = runs(held, [group], t, by, ["stripe"], [t], lambda run, length: F.lit(True))
+    return found.select(F.col("run_no").alias("frame_id"), F.col("start").alias("frame_start"), F.col("end").alias("frame_end"), F.col(group).alias("frame_group"), "length", "run.stripe")
 
 
 def split_on_boundaries(df: DataFrame, t1: str, t2: str, start: int, gap: int) -> DataFrame:

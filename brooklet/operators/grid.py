@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.functions.columns import div
-from brooklet.operators.ordered import islands, previous, running_all
+from brooklet.operators.ordered import running_all, runs
 
 #: The sensors on the left and right foot of persons 0 to 16.
 SENSORS = (
@@ -52,9 +52,8 @@ def grid_frames(df: DataFrame, group: str, t: str, x: str, y: str, grid: Grid, b
     Cells come from the coordinates alone, so a jump over several cells is one change.
     """
     cells = grid_cell(df, x, y, grid)
-    stays = islands(cells, [group], t, by, ["cid"]).groupBy(group, "island").agg(F.min(t).alias("_in"), F.min_by(F.struct(*df.columns), t).alias("_row"), F.first(F.struct("cid", "c_midx", "c_midy")).alias("_cell"))
-    changed = previous(stays, [group], "island", div("island", 4096), ["_in", "_cell"], "_old").filter(F.col("_old").isNotNull())
-    return changed.select("_row.*", F.col("_old._in").alias("st_ts"), F.col("_in").alias("end_ts"), "_old._cell.cid", "_old._cell.c_midx", "_old._cell.c_midy")
+    stays = runs(cells, [group], t, by, ["cid", "c_midx", "c_midy"], df.columns, lambda run, length: F.lit(True)).filter(F.col("before").isNotNull())
+    return stays.select("row.*", F.col(f"before.row.{t}").alias("st_ts"), F.col("start").alias("end_ts"), "before.run.*")
 
 
 def sensor_table(spark: SparkSession) -> DataFrame:

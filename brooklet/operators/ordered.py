@@ -7,6 +7,8 @@ over as many tasks as it has buckets, and an empty ``group`` (the whole input) i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -73,31 +75,47 @@ def running(df: DataFrame, group: list[str], order: str, bucket: Column, value:
     return running_all(df, group, order, bucket, {to: (kind, value)})
 
 
-def islands(df: DataFrame, group: list[str], order: str, bucket: Column, values: list[str], to: str = "island") -> DataFrame:
-    """Numbers the maximal runs of rows with equal ``values`` in each group, from 1.
+def runs(df: DataFrame, group: list[str], order: str, bucket: Column, values: list[str], first: list[str], wanted: Callable[[Column, Column], Column]) -> DataFrame:
+    """The maximal runs of rows with equal ``values`` in each group that are ``wanted`` (by the struct of values, and by length).
+
+    Columns: the group, ``run_no`` (the place among the group's wanted runs, from 1), ``start`` and ``end`` (first and last ``order``),
+    ``length``, ``run`` (the values), ``row`` (``first`` of the row that opened it) and ``before`` (row and values of the run before, wanted or not).
 
-    Runs are counted inside a bucket; a bucket whose first run goes on from the last one of the bucket before counts one less.
+    Rows move once, to their (group, bucket), where they are cut into pieces. One row for each bucket goes to its group, where
+    pieces that meet at a bucket's edge are chained, and back; the pieces don't move. A run is told in the bucket in which it begins.
     """
-    held = df.withColumn(_BUCKET, bucket).withColumn("_ord_v", F.struct(*values))
-    inside = _inside(group, order)
-    new = F.when(F.lag("_ord_v").over(inside).eqNullSafe(F.col("_ord_v")), 0).otherwise(1)
-    counted = held.withColumn("_ord_new", new).withColumn("_ord_in", F.sum("_ord_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    keys = [*group, _BUCKET]
-    sums = counted.groupBy(*keys).agg(F.max("_ord_in").alias("n"), F.min_by("_ord_v", order).alias("first"), F.max_by("_ord_v", order).alias("last"))
-    by_bucket = Window.partitionBy(*group).orderBy(_BUCKET)
-    goes_on = F.when(F.lag("last").over(by_bucket).eqNullSafe(F.col("first")), 1).otherwise(0)
-    told = sums.withColumn("on", goes_on)
-    earlier = F.coalesce(F.sum(F.col("n") - F.col("on")).over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shift = told.select(*[F.col(k).alias(f"_{k}") for k in keys], (earlier - F.col("on")).alias("_ord_shift"))
-    out = counted.join(shift, _same(keys, counted, shift))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c != to], (F.col("_ord_in") + F.col("_ord_shift")).alias(to))
-
-
-def previous(df: DataFrame, group: list[str], order: str, bucket: Column, values: list[str], to: str = "before") -> DataFrame:
-    """Adds a struct of ``values`` of the row before in the group; null for the first row."""
-    held = df.withColumn(_BUCKET, bucket).withColumn("_ord_v", F.struct(*values))
-    out = _with_before(held, group, {"_ord_a": F.max_by("_ord_v", order)}, {"_ord_before": "last(_ord_a)"})
-    return out.withColumn(to, F.coalesce(F.lag("_ord_v").over(_inside(group, order)), F.col("_ord_before"))).drop("_ord_before", "_ord_v", _BUCKET)
+    # A struct is never null itself, so that null groups meet in plain joins.
+    held = df.select(F.struct(*group, bucket.alias("_b")).alias("_k"), F.col(order).alias("s"), F.struct(*values).alias("v"), F.struct(*first).alias("row"))
+    inside = Window.partitionBy("_k").orderBy("s")
+    every = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # of one order, so that one pass gives all
+    placed = held.select("*", F.row_number().over(inside).alias("no"), F.lag("v").over(inside).eqNullSafe(F.col("v")).alias("same"), F.lag("s").over(inside).alias("ago"), F.count(F.lit(1)).over(every).alias("rows"), F.last("s").over(every).alias("until"))
+    n = F.coalesce(F.lead("no").over(inside), F.col("rows") + 1) - F.col("no")
+    was = F.lag(F.struct("row", F.col("v").alias("run"))).over(inside).alias("was")
+    pieces = placed.filter(~F.col("same")).select("_k", "s", "v", "row", F.coalesce(F.lead("ago").over(inside), "until").alias("e"), n.cast("long").alias("n"), F.row_number().over(inside).alias("i"), F.count(F.lit(1)).over(every).alias("k"), was)
+
+    middle = F.sum(F.when((F.col("i") > 1) & (F.col("i") < F.col("k")) & wanted(F.col("v"), F.col("n")), 1).otherwise(0)).over(every)
+    last = [F.last(c).over(every).alias(f"last_{c}") for c in ("s", "v", "row", "e", "n")]
+    edges = pieces.select("_k", "v", "n", "e", "i", "k", middle.alias("middle"), *last).filter("i = 1").withColumn("_g", F.struct(*[F.col(f"_k.{g}") for g in group]))
+
+    along = Window.partitionBy("_g").orderBy("_k._b")
+    met = edges.select("*", F.lag("last_v").over(along).eqNullSafe(F.col("v")).alias("on")).withColumn("through", F.col("on") & (F.col("k") == 1))
+    ends = F.col("on") & ~F.col("through")  # the first piece ends the chain of the bucket before
+    met = met.select("*", F.sum(F.when(F.col("through"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("chain"), F.lead(F.when(ends, F.struct("n", "e"))).over(along).alias("tail"))
+    chain = Window.partitionBy("_g", "chain").orderBy("_k._b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = met.select("*", F.sum(F.col("last_n") + F.coalesce("tail.n", F.lit(0))).over(chain).alias("all_n"), F.last(F.coalesce("tail.e", "last_e")).over(chain).alias("all_e"), F.first("last_row").over(chain).alias("opened"))
+    found = F.col("middle") + F.when((F.col("k") > 1) & ~F.col("on") & wanted(F.col("v"), F.col("n")), 1).otherwise(0) + F.when(~F.col("through") & wanted(F.col("last_v"), F.col("all_n")), 1).otherwise(0)
+    earlier = F.coalesce(F.sum(found).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.when(F.lag("chain").over(along).isNotNull(), F.struct(F.lag("opened").over(along).alias("row"), F.lag("last_v").over(along).alias("run")))
+    told = met.select("_k", "on", "all_n", "all_e", earlier.alias("earlier"), before.alias("old"))
+
+    at_end = F.col("i") == F.col("k")
+    own = pieces.join(told, "_k").filter(~(F.col("on") & (F.col("i") == 1)))
+    # The piece after one that goes on from the bucket before has that run before it, not the piece.
+    old = F.when((F.col("i") == 1) | ((F.col("i") == 2) & F.col("on")), F.col("old")).otherwise(F.col("was"))
+    out = own.select("_k", "earlier", "row", old.alias("before"), F.col("v").alias("run"), F.col("s").alias("start"), F.when(at_end, F.col("all_e")).otherwise(F.col("e")).alias("end"), F.when(at_end, F.col("all_n")).otherwise(F.col("n")).alias("length"))
+    out = out.filter(wanted(F.col("run"), F.col("length")))
+    place = F.col("earlier") + F.row_number().over(Window.partitionBy("_k").orderBy("start"))
+    return out.select(*[F.col(f"_k.{g}").alias(g) for g in group], place.cast("long").alias("run_no"), "start", "end", "length", "run", "row", "before")
 
 
 def last_rows(df: DataFrame, group: list[str], order: str, bucket: Column, size: int, aggregates: dict[str, Column]) -> DataFrame:

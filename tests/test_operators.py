@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,16 +134,42 @@ def test_ordered_against_plain_python(spark):
     values = [(g, i, (i * 7919) % 13) for i in range(200) for g in ((i * 31) % 3,)]
     df = spark.createDataFrame(values, "g long, i long, v long")
     by = div("i", 16)
-    last, high, count = {}, {}, {}
+    high, count = {}, {}
     expected = []
     for g, i, v in values:
         high[g], count[g] = max(high.get(g, v), v), count.get(g, 0) + 1
-        expected.append((i, last.get(g), high[g], count[g]))
-        last[g] = v
-    out = ordered.previous(df, ["g"], "i", by, ["v"], "p")
-    out = ordered.running(out, ["g"], "i", by, F.col("v"), "max", "m")
+        expected.append((i, high[g], count[g]))
+    out = ordered.running(df, ["g"], "i", by, F.col("v"), "max", "m")
     out = ordered.numbered(out, ["g"], "i", by, "n")
-    assert [tuple(r) for r in out.select("i", "p.v", "m", "n").orderBy("i").collect()] == expected
+    assert [tuple(r) for r in out.select("i", "m", "n").orderBy("i").collect()] == expected
+
+
+@pytest.mark.parametrize(("stretch", "least"), [(1, 1), (2, 3), (7, 2), (1000, 1)])
+def test_runs_against_plain_python(spark, stretch, least):
+    """Runs that end at, cross, and fill whole buckets; a null group; values that are null."""
+    rng = random.Random(stretch)
+    values = []
+    for g in (1, 2, None):
+        v, t = None, 0
+        while t < 150:
+            v = rng.choice((None, 1, 2))
+            for _ in range(rng.choice((1, 1, 2, 5, 17))):
+                t += rng.choice((1, 1, 3))
+                values.append((g, t, v, t * 10))
+    df = spark.createDataFrame(values, "g long, t long, v long, x long")
+    expected = []
+    for g in (1, 2, None):
+        no, before, own = 0, None, sorted(r[1:] for r in values if r[0] == g)
+        for v, rows_ in itertools.groupby(own, key=lambda r: r[1]):
+            rows_ = list(rows_)
+            if len(rows_) >= least and v != 2:
+                no += 1
+                expected.append((g, no, rows_[0][0], rows_[-1][0], len(rows_), v, rows_[0][2], before))
+            before = (rows_[0][2], v)
+    found = ordered.runs(df, ["g"], "t", div("t", stretch), ["v"], ["x"], lambda run, n: (n >= least) & ~run["v"].eqNullSafe(2))
+    got_ = [(r["g"], r["run_no"], r["start"], r["end"], r["length"], r["run"]["v"], r["row"]["x"], r["before"] and (r["before"]["row"]["x"], r["before"]["run"]["v"])) for r in found.collect()]
+    assert sorted(got_, key=str) == sorted(expected, key=str)
+    assert ordered.runs(df.filter("t < 0"), ["g"], "t", div("t", stretch), ["v"], ["x"], lambda run, n: F.lit(True)).count() == 0
 
 
 def test_ordered_with_null_groups_and_empty_input(spark):
