@@ -68,6 +68,11 @@ def any_pair(left: Column, op: str, right: Column) -> Column:
     return F.exists(left, lambda a: F.exists(right, lambda b: compare(a, op, b)))
 
 
+def any_value(values: Column, op: str, constant: Column) -> Column:
+    """True if any of the texts that a path reaches compares so with a constant; numbers compare as numbers."""
+    return F.exists(values, lambda v: compare_text(v, op, constant))
+
+
 def number_or_zero(value: Column) -> Column:
     """A string as a double; what is no number counts as 0."""
     return F.coalesce(value.try_cast("double"), F.lit(0.0))

@@ -36,17 +36,26 @@ def incremental_max(df: DataFrame, group: list[str], value: str, order: str, by:
     return held.withColumn("new_max", F.greatest("old_max", value)).filter(F.col("new_max").isNotNull() & ~F.col("new_max").eqNullSafe(F.col("old_max")))
 
 
+#: Running averages that differ by no more are taken for equal: the order of a sum decides their last digits.
+EQUAL = 1e-12
+
+
 def incremental_average(df: DataFrame, group: list[str], value: str, order: str, by: Column) -> DataFrame:
-    """A row whenever a group's running average changes: new_avg."""
+    """A row whenever a group's running average changes, by more than ``EQUAL``: new_avg."""
     v = F.col(value)
     held = running_all(df, group, order, by, {"_s": ("sum", v), "_n": ("count", v)}, before=True)
     old = F.col("_s") / F.nullif(F.col("_n"), F.lit(0))
     new = (F.coalesce("_s", F.lit(0.0)) + v) / (F.coalesce("_n", F.lit(0)) + 1)
-    return held.withColumn("new_avg", new).filter(F.col("new_avg").isNotNull() & ~F.col("new_avg").eqNullSafe(old)).drop("_s", "_n")
+    return held.withColumn("new_avg", new).filter(F.col("new_avg").isNotNull() & (old.isNull() | (F.abs(F.col("new_avg") - old) > EQUAL))).drop("_s", "_n")
 
 
-def partition_average(df: DataFrame, group: list[str], value: str, order: str, by: Column, size: int, to: str = "avg") -> DataFrame:
-    """Average of the group's last ``size`` values at each row; early rows average what there is."""
+def partition_average(df: DataFrame, group: list[str], value: str, order: str, by: Column, size: int | None, to: str = "avg") -> DataFrame:
+    """Average of the group's last ``size`` values at each row; early rows average what there is.
+
+    Without ``size`` the window begins at the group's first row (a landmark) and a row comes only when the average changes.
+    """
+    if size is None:
+        return incremental_average(df, group, value, order, by).withColumnRenamed("new_avg", to)
     return last_rows(df, group, order, by, size, {to: F.avg(value)})
 
 

@@ -19,9 +19,12 @@ def equi_join(left: DataFrame, right: DataFrame, pairs: Mapping[str, str], resid
     return left.join(right, on, "inner")
 
 
-def theta_join(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """Join by any condition. Without an equality in it all pairs are tried: one side must be small."""
-    return left.join(right, condition, "inner")
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, most: int = 10_000) -> DataFrame:
+    """Join by any condition. Without an equality in it all pairs are tried: the right side must have ``most`` rows at the utmost, which
+    is looked at first; then it is broadcast."""
+    if len(right.limit(most + 1).select(F.lit(1)).collect()) > most:
+        raise ValueError(f"the right side of a join without equality has more than {most} rows: join by stretches of the values first")
+    return left.join(F.broadcast(right), condition, "inner")
 
 
 def extension_join(left: DataFrame, right: DataFrame, keys: Sequence[str], arrival: str, side: str, stretch: int = 4096) -> DataFrame:

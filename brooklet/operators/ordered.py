@@ -1,7 +1,7 @@
 """Order-dependent columns without one task for each group.
 
 Each function takes a ``bucket`` column that never falls as the order grows. Windows run within (group, bucket); what earlier buckets
-contribute is found on one row for each group and bucket and joined back. A group that holds a third of all rows is so dealt
+contribute is found on one row for each group and bucket and joined back; the whole input as one group takes its buckets by the thousand. A group that holds a third of all rows is so dealt
 over as many tasks as it has buckets, and an empty ``group`` (the whole input) is no special case.
 """
 
@@ -22,12 +22,40 @@ def _same(keys: list[str], left: DataFrame, right: DataFrame) -> Column:
     return out
 
 
-def _with_before(df: DataFrame, group: list[str], aggregates: dict[str, Column], over_earlier: dict[str, str]) -> DataFrame:
-    """Adds, for each row's (group, bucket), a function of the aggregates of the earlier buckets."""
+#: Buckets of one coarse bucket.
+COARSE = 1024
+#: How what earlier buckets contribute is found over their rows, and joined with what earlier coarse buckets contribute.
+_EARLIER = {
+    "sum": (lambda c, o: F.sum(c), lambda within, top: F.coalesce(within + top, within, top)),
+    "max": (lambda c, o: F.max(c), lambda within, top: F.greatest(within, top)),
+    "last": (lambda c, o: F.max_by(c, F.when(c.isNotNull(), F.col(o))), lambda within, top: F.coalesce(within, top)),
+}
+
+
+def _over(kind: str, c: str, window: WindowSpec) -> Column:
+    return {"sum": F.sum, "max": F.max, "last": lambda x: F.last(x, ignorenulls=True)}[kind](c).over(window)
+
+
+def _with_before(df: DataFrame, group: list[str], aggregates: dict[str, Column], over_earlier: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds, for each row's (group, bucket), the sum, maximum or last of the aggregates of the earlier buckets.
+
+    ``over_earlier``: name -> (kind, aggregate). The whole input as one group has many buckets: they are taken by ``COARSE`` at a
+    time, so that no task holds more than those, or one row for each coarse bucket. Its buckets are numbers.
+    """
     keys = [*group, _BUCKET]
     sums = df.groupBy(*keys).agg(*[a.alias(k) for k, a in aggregates.items()])
-    earlier = Window.partitionBy(*group).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.expr(e).over(earlier).alias(k) for k, e in over_earlier.items()])
+    if group:
+        earlier = Window.partitionBy(*group).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], *[_over(kind, c, earlier).alias(k) for k, (kind, c) in over_earlier.items()])
+    else:
+        sums = sums.withColumn("_coarse", F.floor(F.col(_BUCKET) / COARSE))
+        top = sums.groupBy("_coarse").agg(*[_EARLIER[kind][0](F.col(c), _BUCKET).alias(c) for kind, c in over_earlier.values()])
+        above = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
+        top = top.select(F.col("_coarse").alias("_c"), *[_over(kind, c, above).alias(f"_top_{k}") for k, (kind, c) in over_earlier.items()])
+        earlier = Window.partitionBy("_coarse").orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        near = sums.select(F.col(_BUCKET).alias(f"_{_BUCKET}"), "_coarse", *[_over(kind, c, earlier).alias(k) for k, (kind, c) in over_earlier.items()])
+        both = near.join(top, near["_coarse"].eqNullSafe(top["_c"]))
+        before = both.select(f"_{_BUCKET}", *[_EARLIER[kind][1](F.col(k), F.col(f"_top_{k}")).alias(k) for k, (kind, _) in over_earlier.items()])
     return df.join(before, _same(keys, df, before), "left").drop(*[f"_{k}" for k in keys])
 
 
@@ -38,7 +66,7 @@ def _inside(group: list[str], order: str) -> WindowSpec:
 def numbered(df: DataFrame, group: list[str], order: str, bucket: Column, to: str = "row_no") -> DataFrame:
     """Adds the place of each row in its group, from 1."""
     held = df.withColumn(_BUCKET, bucket)
-    out = _with_before(held, group, {"_ord_n": F.count(F.lit(1))}, {"_ord_before": "sum(_ord_n)"})
+    out = _with_before(held, group, {"_ord_n": F.count(F.lit(1))}, {"_ord_before": ("sum", "_ord_n")})
     place = F.row_number().over(_inside(group, order)) + F.coalesce("_ord_before", F.lit(0))
     return out.withColumn(to, place.cast("long")).drop("_ord_before", _BUCKET)
 
@@ -47,12 +75,12 @@ def _join_sum(here: Column, before: Column) -> Column:
     return F.coalesce(here + before, here, before)
 
 
-#: For each kind: the aggregate of a whole bucket, its sum over earlier buckets, the aggregate over a frame, how the two are joined.
+#: For each kind: the aggregate of a whole bucket, how it is taken over earlier buckets, the aggregate over a frame, how the two are joined.
 _KINDS = {
-    "sum": (lambda v, o: F.sum(v), "sum({})", F.sum, _join_sum),
-    "count": (lambda v, o: F.count(v), "sum({})", F.count, _join_sum),
-    "max": (lambda v, o: F.max(v), "max({})", F.max, F.greatest),
-    "last": (lambda v, o: F.max_by(v, F.when(v.isNotNull(), F.col(o))), "last({}, true)", lambda v: F.last(v, ignorenulls=True), F.coalesce),
+    "sum": (lambda v, o: F.sum(v), "sum", F.sum, _join_sum),
+    "count": (lambda v, o: F.count(v), "sum", F.count, _join_sum),
+    "max": (lambda v, o: F.max(v), "max", F.max, F.greatest),
+    "last": (lambda v, o: F.max_by(v, F.when(v.isNotNull(), F.col(o))), "last", lambda v: F.last(v, ignorenulls=True), F.coalesce),
 }
 
 
@@ -64,7 +92,7 @@ def running_all(df: DataFrame, group: list[str], order: str, bucket: Column, val
     held = df.withColumn(_BUCKET, bucket).select("*", *[v.alias(f"_ord_v_{k}") for k, (_, v) in values.items()])
     kinds = {k: _KINDS[kind] for k, (kind, _) in values.items()}
     whole = {f"_ord_a_{k}": x[0](F.col(f"_ord_v_{k}"), order) for k, x in kinds.items()}
-    out = _with_before(held, group, whole, {f"_ord_b_{k}": x[1].format(f"_ord_a_{k}") for k, x in kinds.items()})
+    out = _with_before(held, group, whole, {f"_ord_b_{k}": (x[1], f"_ord_a_{k}") for k, x in kinds.items()})
     frame = _inside(group, order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     added = [x[3](x[2](F.col(f"_ord_v_{k}")).over(frame), F.col(f"_ord_b_{k}")).alias(k) for k, x in kinds.items()]
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in values], *added)

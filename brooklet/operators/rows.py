@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -40,11 +41,37 @@ def apply(df: DataFrame, predicate: Column, to: str) -> DataFrame:
     return df.withColumn(to, F.when(predicate, 1).otherwise(0))
 
 
+_TOKEN = re.compile(r"\s*(?:\d+(?:\.\d*)?(?:[eE][+-]?\d+)?|'[^'\\]*'|`[^`]*`|(\w+)(\s*\()?|<=>|[<>!=]=|<>|\|\||[-+*/%(),.<>=])")
+#: Functions that an expression in text may call; a cast, CASE and the operators are no functions.
+FUNCTIONS = frozenset("abs ceil ceiling coalesce concat exp floor greatest if length least ln log lower mod nullif pow power round sign sqrt substring trim upper cast".split())
+_WORDS_BEFORE_BRACKET = frozenset("and or not in when then else between case".split())
+
+
+def checked(text: str) -> str:
+    """An expression in text if it has only names, literals, operators and ``FUNCTIONS``; others are refused."""
+    at, text = 0, text.strip()
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise ValueError(f"not allowed in an expression: {text[at:]!r}")
+        word = (m[1] or "").lower()
+        if m[2] and word not in FUNCTIONS | _WORDS_BEFORE_BRACKET or word in ("select", "from"):
+            raise ValueError(f"no such function in an expression: {word}")
+        at = m.end()
+    return text
+
+
 def expression(df: DataFrame, to: str, value: Column | str) -> DataFrame:
-    """Adds a computed column; rows for which it is null go."""
+    """Adds a computed column; rows for which it is null go. Text is ``checked`` first."""
+    value = checked(value) if isinstance(value, str) else value
     return df.withColumn(to, F.expr(value) if isinstance(value, str) else value).filter(F.col(to).isNotNull())
 
 
+def table_function(df: DataFrame, function, arguments: Sequence[str]) -> DataFrame:
+    """Each row with every row that a table function (made by ``udtf``) gives for it."""
+    return df.lateralJoin(function(*[F.col(c).outer() for c in arguments]))
+
+
 def prefix(df: DataFrame, length: int, order: str) -> DataFrame:
     """The first rows in the given order."""
     return df.orderBy(order).limit(length)

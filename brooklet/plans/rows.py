@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklet.functions.columns import any_pair, compare, compare_text, interval
+from brooklet.functions.columns import any_pair, any_value, compare, compare_text, interval
 from brooklet.operators import nested, rows
 from brooklet.plans.common import DAY, HOUR, MINUTE, START, by_arrival, events, folder, query
 from brooklet.session import table
@@ -116,9 +117,11 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return ticks(spark, START, START + DAY, interval("1 hour 30 minutes") * 1000)
 
 
-@query("s13_tunables")
+@query("s13_tunables", "SELECT * FROM (VALUES ('brooklet.page.rows', '30'), ('brooklet.stream.pages', '5'), ('brooklet.unset', NULL)) v(name, value)")
 def s13(spark: SparkSession, d: str) -> DataFrame:
-    return files.tunables(spark)
+    spark.conf.set("brooklet.page.rows", "30")
+    spark.conf.set("brooklet.stream.pages", "5")
+    return files.tunables(spark, ["brooklet.page.rows", "brooklet.stream.pages", "brooklet.unset"])
 
 
 @query("k1_store", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
@@ -210,6 +213,28 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(any_pair(F.split("p_name", " "), "eq", F.array(F.lit("red"), F.lit("ring")))).select("p_partkey")
 
 
+def _nation_xml(spark: SparkSession, d: str) -> DataFrame:
+    return nested.construct(table(spark, d, "nation"), "xml", "nation", {"name": F.col("n_name"), "region": F.col("n_regionkey")})
+
+
+@query("r4_path_vs_const", "SELECT n_nationkey FROM nation WHERE n_regionkey >= 3")
+def r4(spark: SparkSession, d: str) -> DataFrame:
+    regions = nested.xml_values(F.col("xml"), ["nation", "region"])
+    return _nation_xml(spark, d).filter(any_value(regions, "ge", F.lit("3"))).select("n_nationkey")
+
+
+@query("r5_const_vs_variable", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE 45 < l_quantity")
+def r5(spark: SparkSession, d: str) -> DataFrame:
+    return rows.select(table(spark, d, "lineitem"), compare(F.lit(45), "lt", F.col("l_quantity"))).select("l_orderkey", "l_linenumber")
+
+
+@query("r7_null_operand", f"SELECT event_id FROM {_EV} WHERE event_type <> 'error' AND event_type <> 'view'")
+def r7(spark: SparkSession, d: str) -> DataFrame:
+    """A null operand makes the comparison unknown, and the row goes: those of type error have a null here."""
+    known = F.when(F.col("event_type") != "error", F.col("event_type"))
+    return rows.select(events(spark, d), compare(known, "ne", F.lit("view"))).select("event_id")
+
+
 @query("r6_contain", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'wid')")
 def r6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").filter(compare(F.col("p_name"), "contain", F.lit("wid"))).select("p_partkey", "p_name")
@@ -247,6 +272,30 @@ def u1_path(spark: SparkSession, d: str) -> DataFrame:
     return nested.unnest(built, nested.xml_values(F.col("xml"), ["nation", "name|title"]), "name").select("n_nationkey", "name")
 
 
+@query("u1_unnest_element", "SELECT n_nationkey, '<name>' || n_name || '</name>' AS node FROM nation")
+def u1_element(spark: SparkSession, d: str) -> DataFrame:
+    return nested.unnest(_nation_xml(spark, d), nested.xml_nodes(F.col("xml"), ["nation", "name"], "element"), "node").select("n_nationkey", "node")
+
+
+@query("u1_unnest_tag", "SELECT n_nationkey, unnest(['name', 'region']) AS tag FROM nation")
+def u1_tag(spark: SparkSession, d: str) -> DataFrame:
+    return nested.unnest(_nation_xml(spark, d), nested.xml_nodes(F.col("xml"), ["nation", "$"], "tag"), "tag").select("n_nationkey", "tag")
+
+
+@query("u1_unnest_typed", "SELECT n_nationkey, unnest([NULL, n_regionkey::BIGINT]) AS number FROM nation")
+def u1_typed(spark: SparkSession, d: str) -> DataFrame:
+    return nested.unnest(_nation_xml(spark, d), nested.xml_nodes(F.col("xml"), ["nation", "name|region"], "content", "bigint"), "number").select("n_nationkey", "number")
+
+
+@query("u1_unnest_closure", "SELECT n_nationkey, unnest([n_name, n_name || '2', n_name || '3']) AS name FROM nation")
+def u1_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Names at any depth of groups, inside an optional element as well."""
+    name = lambda mark: F.concat(F.lit("<name>"), F.col("n_name"), F.lit(f"{mark}</name>"))
+    xml = F.concat(F.lit("<nation>"), name(""), F.lit("<group><group>"), name("2"), F.lit("</group></group><group><old>"), name("3"), F.lit("</old></group><other>"), name("4"), F.lit("</other></nation>"))
+    built = table(spark, d, "nation").withColumn("xml", xml)
+    return nested.unnest(built, nested.xml_nodes(F.col("xml"), ["nation", "group*", "old?", "name"]), "name").select("n_nationkey", "name")
+
+
 @query("u1_unnest_json", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def u1_json(spark: SparkSession, d: str) -> DataFrame:
     parsed = events(spark, d).withColumn("p", F.from_json("props", "k long"))
@@ -268,6 +317,35 @@ def u6(spark: SparkSession, d: str) -> DataFrame:
     return rows.interest(events(spark, d), "event_type", "t", HOUR, ["click", "view", "error"]).select("event_id", "event_type")
 
 
+@query("u7_table_function", "SELECT p_partkey, i::INTEGER AS place, string_split(p_name, ' ')[i] AS word FROM (SELECT *, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)")
+def u7_table(spark: SparkSession, d: str) -> DataFrame:
+    @F.udtf(returnType="place int, word string")
+    class Words:
+        def eval(self, text: str):
+            yield from enumerate((text or "").split(" "), 1)
+
+    return rows.table_function(table(spark, d, "part"), Words, ["p_name"]).select("p_partkey", "place", "word")
+
+
+@query("u7_user_aggregate", "SELECT event_type, round(exp(avg(ln(value + 1))) + 1e-9, 6) AS mean FROM events GROUP BY 1")
+def u7_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    """A user's aggregate: the geometric mean, over sums that the user's function makes of the Arrow batches of a group's hour."""
+    from brooklet.operators.aggregates import user_aggregate
+
+    logs = F.pandas_udf(log_sum, "double")
+    by_hour = user_aggregate(events(spark, d).withColumn("hour", F.call_function("div", F.col("t"), F.lit(HOUR))), ["event_type", "hour"], s=logs("value"), n=F.pandas_udf(size, "long")("value"))
+    whole = by_hour.groupBy("event_type").agg(F.exp(F.sum("s") / F.sum("n")).alias("mean"))
+    return whole.select("event_type", F.round(F.col("mean") + 1e-9, 6).alias("mean"))
+
+
+def log_sum(values: pd.Series) -> float:
+    return float(np.log1p(values).sum())
+
+
+def size(values: pd.Series) -> int:
+    return int(values.count())
+
+
 def euro(dollars: pd.Series) -> pd.Series:
     return dollars * 0.5
 

@@ -88,6 +88,11 @@ def w11(spark: SparkSession, d: str) -> DataFrame:
     return a.partition_average(events(spark, d), ["user_id"], "value", "event_id", by_arrival(), 5, "mean").select("event_id", "user_id", rounded("mean"))
 
 
+@query("w11_landmark_average", f"SELECT event_id, user_id, round(m + 1e-9, 6) AS mean FROM (SELECT *, lag(m) OVER (PARTITION BY user_id ORDER BY event_id) AS o FROM (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY event_id) AS m FROM {_EV})) WHERE o IS NULL OR abs(m - o) > 1e-12")
+def w11_landmark(spark: SparkSession, d: str) -> DataFrame:
+    return a.partition_average(events(spark, d), ["user_id"], "value", "event_id", by_arrival(), None, "mean").select("event_id", "user_id", rounded("mean"))
+
+
 @query("w12_partition_max", f"SELECT event_id, event_type, greatest(10.0, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) AS highest FROM {_EV}")
 def w12(spark: SparkSession, d: str) -> DataFrame:
     return a.partition_max(events(spark, d), ["event_type"], "value", "event_id", by_arrival(), 10, 10.0, "highest").select("event_id", "event_type", "highest")

@@ -84,7 +84,6 @@ def deliver(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("result"))
 
 
-def tunables(spark: SparkSession, prefix: str = "spark.sql.shuffle") -> DataFrame:
-    """Settings of the session that steer a run."""
-    rows = [(k, str(v)) for k, v in sorted(spark.conf.getAll.items()) if k.startswith(prefix)]
-    return spark.createDataFrame(rows, "name string, value string")
+def tunables(spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """The session's values of some settings; null for one that isn't set."""
+    return spark.createDataFrame([(n, spark.conf.get(n, None)) for n in names], "name string, value string")
