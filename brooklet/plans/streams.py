@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.operators.rows import apply
 from brooklet.plans.common import DAY, HOUR, START, events, folder, query, rounded
-from brooklet.session import table
 from brooklet.sources.generated import file_stream
 from brooklet.streaming import streams as s
 
@@ -15,14 +16,18 @@ _EV = "(SELECT event_id, ts, epoch_us(ts) AS t, user_id, event_type, value FROM
 BATCHES = 3
 
 
-def arriving(spark: SparkSession, d: str, where: str) -> DataFrame:
-    """The events as a stream of a few micro-batches, a third of the time each."""
-    rows = events(spark, d).join(table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), "event_id")
-    rows = rows.withColumn("ts", F.timestamp_micros("t"))
+def arrive(spark: SparkSession, d: str, where: str, run: Callable[[DataFrame], DataFrame], late: Column | None = None) -> DataFrame:
+    """Lets the events arrive in a few parts, a third of the time each, and runs the stream after each of them.
+
+    Rows that are ``late`` come with the last part. Returns what the last run gives.
+    """
+    rows = events(spark, d).withColumn("ts", F.timestamp_micros("t"))
+    part = F.least(F.greatest(F.floor((F.col("t") - START) / (10 * DAY)), F.lit(0)), F.lit(BATCHES - 1))
+    rows = rows.withColumn("part", part if late is None else F.when(late, BATCHES - 1).otherwise(part))
     for k in range(BATCHES):
-        part = (F.col("t") >= START + k * 10 * DAY if k else F.lit(True)) & (F.col("t") < START + (k + 1) * 10 * DAY if k < BATCHES - 1 else F.lit(True))
-        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{where}/in")
-    return file_stream(spark, f"{where}/in", rows.schema)
+        rows.filter(F.col("part") == k).drop("part").write.mode("append").parquet(f"{where}/in")
+        found = run(file_stream(spark, f"{where}/in", rows.drop("part").schema, 1 << 20))
+    return found
 
 
 _WINDOWS = f"SELECT (t // {6 * HOUR} + 1) * {6 * HOUR} AS window_end, event_type, round(avg(value) + 1e-9, 6) AS avg, count(*)::BIGINT AS n FROM {_EV} GROUP BY 1, 2"
@@ -31,16 +36,33 @@ _WINDOWS = f"SELECT (t // {6 * HOUR} + 1) * {6 * HOUR} AS window_end, event_type
 @query("t_window_average_append", f"SELECT * FROM ({_WINDOWS}) WHERE window_end <= (SELECT max(t) FROM {_EV}) - {HOUR}")
 def append(spark: SparkSession, d: str) -> DataFrame:
     where = folder(spark, "t1")
-    stream = s.punctuated(arriving(spark, d, where), "ts", "1 hour")
-    out = s.run_once(s.window_average(stream, "ts", "event_type", "value", "6 hours", "6 hours"), where)
+    out = arrive(spark, d, where, lambda e: s.run_once(s.window_average(s.punctuated(e, "ts", "1 hour"), "ts", "event_type", "value", "6 hours", "6 hours"), where))
+    return out.select(F.unix_micros("window_end").alias("window_end"), "event_type", rounded("avg"), "n")
+
+
+#: Every 97th row of the first two thirds comes with the last one. It counts only where its window is still open then.
+_LATE = f"(event_id % 97 = 0 AND t < {START + 20 * DAY})"
+
+
+@query(
+    "t_late_rows",
+    f"""WITH m AS (SELECT max(t) - {HOUR} AS mark FROM {_EV} WHERE t < {START + 20 * DAY} AND NOT {_LATE}),
+e AS (SELECT * FROM {_EV}, m WHERE NOT {_LATE} OR (t // {6 * HOUR} + 1) * {6 * HOUR} > mark // 1000 * 1000)
+SELECT (t // {6 * HOUR} + 1) * {6 * HOUR} AS window_end, event_type, round(avg(value) + 1e-9, 6) AS avg, count(*)::BIGINT AS n FROM e GROUP BY 1, 2
+HAVING window_end <= (SELECT max(t) FROM {_EV}) - {HOUR}""",
+)
+def late_rows(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t6")
+    late = (F.col("event_id") % 97 == 0) & (F.col("t") < START + 20 * DAY)
+    out = arrive(spark, d, where, lambda e: s.run_once(s.window_average(s.punctuated(e, "ts", "1 hour"), "ts", "event_type", "value", "6 hours", "6 hours"), where), late)
     return out.select(F.unix_micros("window_end").alias("window_end"), "event_type", rounded("avg"), "n")
 
 
 @query("t_window_average_partial", _WINDOWS)
 def partial(spark: SparkSession, d: str) -> DataFrame:
     where = folder(spark, "t2")
-    stream = s.punctuated(arriving(spark, d, where), "ts", "1 hour")
-    out = s.latest(s.run_once(s.window_average(stream, "ts", "event_type", "value", "6 hours", "6 hours"), where, "update"), ["window_end", "event_type"])
+    out = arrive(spark, d, where, lambda e: s.run_once(s.window_average(s.punctuated(e, "ts", "1 hour"), "ts", "event_type", "value", "6 hours", "6 hours"), where, "update"))
+    out = s.latest(out, ["window_end", "event_type"])
     return out.select(F.unix_micros("window_end").alias("window_end"), "event_type", rounded("avg"), "n")
 
 
@@ -54,8 +76,7 @@ SELECT user_id AS frame_group, row_number() OVER (PARTITION BY user_id ORDER BY
 )
 def threshold(spark: SparkSession, d: str) -> DataFrame:
     where = folder(spark, "t3")
-    stream = apply(arriving(spark, d, where), F.col("value") > 20, "p").select("user_id", "t", "p")
-    return s.run_once(s.threshold_frames(stream, "user_id", "t", "p", 3), where)
+    return arrive(spark, d, where, lambda e: s.run_once(s.threshold_frames(apply(e, F.col("value") > 20, "p").select("user_id", "t", "p"), "user_id", "t", "p", 3), where))
 
 
 @query(
@@ -68,7 +89,7 @@ SELECT user_id AS frame_group, k::BIGINT AS frame_id, s AS frame_start, e AS fra
 )
 def delta(spark: SparkSession, d: str) -> DataFrame:
     where = folder(spark, "t4")
-    return s.run_once(s.delta_frames(arriving(spark, d, where).select("user_id", "t", "value"), "user_id", "t", "value", 30.0), where)
+    return arrive(spark, d, where, lambda e: s.run_once(s.delta_frames(e.select("user_id", "t", "value"), "user_id", "t", "value", 30.0), where))
 
 
 @query(
@@ -77,7 +98,7 @@ def delta(spark: SparkSession, d: str) -> DataFrame:
 )
 def running_max(spark: SparkSession, d: str) -> DataFrame:
     where = folder(spark, "t5")
-    return s.run_once(s.running_max(arriving(spark, d, where).select("user_id", "t", "value"), "user_id", "t", "value"), where)
+    return arrive(spark, d, where, lambda e: s.run_once(s.running_max(e.select("user_id", "t", "value"), "user_id", "t", "value"), where))
 
 
 @query("k2_display", f"SELECT event_type, count(*)::BIGINT AS n FROM {_EV} GROUP BY 1")
@@ -85,6 +106,12 @@ def display(spark: SparkSession, d: str) -> DataFrame:
     from brooklet.sources.files import display as show
 
     where = folder(spark, "k2")
-    writer = show(arriving(spark, d, where), lambda batch, _: batch.groupBy("event_type").count().write.mode("append").parquet(f"{where}/sent"))
-    writer.option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{where}/sent").groupBy("event_type").agg(F.sum("count").alias("n"))
+
+    def send(batch: DataFrame, number: int) -> None:
+        batch.groupBy("event_type").count().write.mode("overwrite").parquet(f"{where}/sent/batch={number}")
+
+    def run(e: DataFrame) -> DataFrame:
+        show(e, send).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{where}/sent")
+
+    return arrive(spark, d, where, run).groupBy("event_type").agg(F.sum("count").alias("n"))

@@ -24,8 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
+    if where:  # without a scheme it is a folder of the default file system, for all that use it
+        path = sc._jvm.org.apache.hadoop.fs.Path(where)
+        return path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brooklet.operators.frames import next_change
+
 
 def punctuated(stream: DataFrame, t: str, delay: str) -> DataFrame:
     """Marks the time column that moves the stream on; stateful operators drop rows that are later than ``delay``."""
@@ -31,7 +33,8 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
+        # A batch that is tried again overwrites what it wrote.
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")
@@ -46,84 +49,147 @@ def latest(partial: DataFrame, keys: list[str]) -> DataFrame:
 _FRAME = "frame_group long, frame_id long, frame_start long, frame_end long, length long"
 
 
-def _in_time(parts: Iterator[pd.DataFrame], t: str) -> pd.DataFrame:
-    return pd.concat(list(parts), ignore_index=True).sort_values(t, kind="stable")
+#: Microseconds in a millisecond.
+_MICROS = 1000
+
+
+def _in_time(parts: Iterator[pd.DataFrame], t: str, seen: int | None) -> pd.DataFrame:
+    """The rows of a micro-batch in the order of time, without those that are late: at or before what the group has ``seen``."""
+    rows = pd.concat(list(parts), ignore_index=True)
+    if seen is not None:
+        rows = rows[rows[t] > seen]
+    return rows.sort_values(t, kind="stable")
+
+
+def _ended(state: GroupState, seen: int, idle: int | None) -> None:
+    """Lets the group's state end once the watermark is ``idle`` milliseconds past its last row."""
+    if idle is not None:
+        state.setTimeoutTimestamp(max(seen // _MICROS + idle, state.getCurrentWatermarkMs() + 1))
+
 
+def _stateful(stream: DataFrame, group: str, step, out: str, state: str, idle: int | None) -> DataFrame:
+    how = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.EventTimeTimeout
+    return stream.groupBy(group).applyInPandasWithState(step, out, state, "append", how)
 
-def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size: int, fragments: bool = False) -> DataFrame:
+
+_COLUMNS = ["frame_group", "frame_id", "frame_start", "frame_end", "length"]
+
+
+def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size: int, fragments: bool = False, idle: int | None = None) -> DataFrame:
     """Runs of 1 in a stream, put out when a 0 ends them; the open run is state, so a run over several micro-batches is one frame.
 
     With ``fragments`` a run that is long enough is put out at the end of each micro-batch as well: a fragment begins where the
-    last one of its frame ended, and has its frame's id.
+    last one of its frame ended, and has its frame's id. Rows at or before the group's last row are late and are dropped. ``t`` is
+    in microseconds; with ``idle`` (milliseconds), on a stream with a watermark, a group without rows for so long ends: its open run
+    is put out, its state goes, and its frames count from 1 if it comes again.
     """
 
     def step(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # first: where the frame, or its next fragment, begins; shown: whether a fragment of it is out.
-        n, first, last, length, shown = state.get if state.exists else (0, 0, 0, 0, False)
+        # first: where the frame, or its next fragment, begins; shown: whether a fragment of it is out; seen: the last row.
+        n, first, last, length, shown, seen = state.get if state.exists else (0, 0, 0, 0, False, None)
         out = []
-        for at, on in _in_time(parts, t)[[t, predicate]].itertuples(index=False):
-            if on:
-                first = at if length == 0 else first
-                last, length = at, length + 1
-            elif length:
-                if shown and last > first:
-                    out.append((key[0], n, first, last, length))
-                elif not shown and length >= size:
-                    n += 1
-                    out.append((key[0], n, first, last, length))
-                length, shown = 0, False
-        if fragments and length >= size and (not shown or last > first):
-            n += not shown
-            out.append((key[0], n, first, last, length))
-            first, shown = last, True
-        state.update((int(n), int(first), int(last), length, shown))
-        yield pd.DataFrame(out, columns=["frame_group", "frame_id", "frame_start", "frame_end", "length"])
 
-    return stream.groupBy(group).applyInPandasWithState(step, _FRAME, "n long, first long, last long, length long, shown boolean", "append", GroupStateTimeout.NoTimeout)
+        def close() -> None:
+            nonlocal n, length, shown
+            if shown and last > first:
+                out.append((key[0], n, first, last, length))
+            elif not shown and length >= size:
+                n += 1
+                out.append((key[0], n, first, last, length))
+            length, shown = 0, False
+
+        if state.hasTimedOut:
+            close()
+            state.remove()
+        else:
+            for at, on in _in_time(parts, t, seen)[[t, predicate]].itertuples(index=False):
+                seen = at
+                if on:
+                    first = at if length == 0 else first
+                    last, length = at, length + 1
+                elif length:
+                    close()
+            if fragments and length >= size and (not shown or last > first):
+                n += not shown
+                out.append((key[0], n, first, last, length))
+                first, shown = last, True
+            if seen is not None:
+                state.update((int(n), int(first), int(last), length, shown, int(seen)))
+                _ended(state, int(seen), idle)
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+
+    return _stateful(stream, group, step, _FRAME, "n long, first long, last long, length long, shown boolean, seen long", idle)
+
 
+def delta_frames(stream: DataFrame, group: str, t: str, value: str, delta: float, idle: int | None = None) -> DataFrame:
+    """Frames that end where the value has moved by ``delta`` from their first one, put out when they end.
 
-def delta_frames(stream: DataFrame, group: str, t: str, value: str, delta: float) -> DataFrame:
-    """Frames that end where the value has moved by ``delta`` from their first one, put out when they end."""
+    Late rows and ``idle`` as in ``threshold_frames``.
+    """
 
     def step(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, first, last, length, start = state.get if state.exists else (0, 0, 0, 0, 0.0)
+        n, first, last, length, start = state.get if state.exists else (0, 0, None, 0, 0.0)
         out = []
-        for at, v in _in_time(parts, t)[[t, value]].itertuples(index=False):
-            if length and abs(start - v) >= delta:
-                n += 1
-                out.append((key[0], n, first, last, length))
-                length = 0
-            if length == 0:
-                first, start = at, v
-            last, length = at, length + 1
-        state.update((n, int(first), int(last), length, float(start)))
-        yield pd.DataFrame(out, columns=["frame_group", "frame_id", "frame_start", "frame_end", "length"])
+        if state.hasTimedOut:
+            out.append((key[0], n + 1, first, last, length))
+            state.remove()
+        else:
+            rows = _in_time(parts, t, last)
+            times, values = rows[t].to_numpy(), rows[value].to_numpy(dtype=float)
+            i = 0
+            while i < len(values):
+                if length == 0:
+                    first, start = int(times[i]), float(values[i])
+                end = i + next_change(values[i:], start, delta)
+                if end > i:
+                    last, length = int(times[end - 1]), length + end - i
+                if end < len(values):
+                    n += 1
+                    out.append((key[0], n, first, last, length))
+                    length = 0
+                i = end
+            if last is not None:
+                state.update((n, first, last, length, start))
+                _ended(state, last, idle)
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return stream.groupBy(group).applyInPandasWithState(step, _FRAME, "n long, first long, last long, length long, start double", "append", GroupStateTimeout.NoTimeout)
+    return _stateful(stream, group, step, _FRAME, "n long, first long, last long, length long, start double", idle)
 
 
-def running_max(stream: DataFrame, group: str, t: str, value: str) -> DataFrame:
-    """A row whenever a group's maximum rises."""
+def running_max(stream: DataFrame, group: str, t: str, value: str, idle: int | None = None) -> DataFrame:
+    """A row whenever a group's maximum rises. Late rows and ``idle`` as in ``threshold_frames``."""
 
     def step(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high = state.get[0] if state.exists else None
         out = []
-        for v in _in_time(parts, t)[value]:
-            if high is None or v > high:
-                out.append((key[0], high, v))
-                high = v
-        if high is not None:
-            state.update((float(high),))
-        yield pd.DataFrame(out, columns=["key", "old_max", "new_max"])
-
-    return stream.groupBy(group).applyInPandasWithState(step, "key long, old_max double, new_max double", "high double", "append", GroupStateTimeout.NoTimeout)
+        high, seen = state.get if state.exists else (None, None)
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            rows = _in_time(parts, t, seen)
+            for v in rows[value].dropna():
+                if high is None or v > high:
+                    out.append((key[0], high, v))
+                    high = v
+            if len(rows):
+                seen = int(rows[t].iloc[-1])
+                state.update((None if high is None else float(high), seen))
+                _ended(state, seen, idle)
+        if out:
+            yield pd.DataFrame(out, columns=["key", "old_max", "new_max"])
+
+    return _stateful(stream, group, step, "key long, old_max double, new_max double", "high double, seen long", idle)
 
 
 class Progress(StreamingQueryListener):
-    """Counters of running streams: rows in, rows a second, batches, by stream name."""
+    """Counters of running streams, by stream name: rows in, batches, rows of state (open groups) and late rows dropped."""
 
     def __init__(self) -> None:
         self.rows: dict[str, int] = {}
+        self.batches: dict[str, int] = {}
+        self.state_rows: dict[str, int] = {}
+        self.late_rows: dict[str, int] = {}
 
     def onQueryStarted(self, event) -> None:
         self.rows.setdefault(event.name or str(event.id), 0)
@@ -132,6 +198,9 @@ class Progress(StreamingQueryListener):
         p = event.progress
         name = p.name or str(p.id)
         self.rows[name] = self.rows.get(name, 0) + p.numInputRows
+        self.batches[name] = self.batches.get(name, 0) + 1
+        self.state_rows[name] = sum(o.numRowsTotal for o in p.stateOperators)
+        self.late_rows[name] = self.late_rows.get(name, 0) + sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
 
     def onQueryTerminated(self, event) -> None:
         pass

@@ -242,3 +242,52 @@ def test_accumulate_sides(spark):
     b = spark.createDataFrame([(2, "r", 5), (3, "r", 6)], "k int, v string, y int")
     assert sorted(map(tuple, aggregates.accumulate(a, b, ["k"]).collect())) == [(1, "l", 1, None), (2, "r", 2, 5), (3, "r", None, 6)]
     assert got(aggregates.accumulate(a, b, ["k"], "inner", "right"), "k", "v") == [(2, "r")]
+
+
+def test_delta_frames_of_long_and_null_groups(spark):
+    rng = random.Random(3)
+    values = [(g, t, rng.choice((0.0, 1.0, 7.0)) if t % 500 else 30.0 + t) for g in (1, None, 2) for t in range(3000)]
+    expected = []
+    for g in (1, None, 2):
+        start = opened = None
+        for t, v in ((t, v) for k, t, v in values if k == g):
+            if start is None or abs(v - start) >= 8:
+                if start is not None:
+                    expected.append((g, opened, t - 1))
+                start, opened = v, t
+        expected.append((g, opened, 2999))
+    found = frames.delta_frames(spark.createDataFrame(values, "g long, t long, v double"), "g", "t", "v", 8.0)
+    assert sorted(got_ := [(r["frame_group"], r["frame_start"], r["frame_end"]) for r in found.collect()], key=str) == sorted(expected, key=str) and got_
+
+
+def test_paths_with_closures(spark):
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring("<a><b><b><c>1</c></b></b><c>2</c><d><c>3</c></d></a>")
+    reach = lambda *steps: [n.text for n in nested.reached(root, steps)]
+    assert reach("a", "b*", "c") == ["1", "2"] and reach("a", "b+", "c") == ["1"] and reach("a", "d?", "c") == ["2", "3"]
+    assert reach("a", "$*", "c") == ["1", "2", "3"] and reach("a", "b|d", "c") == ["3"] and reach("b") == [] and reach("$+") == [None, None, None, "1", "2", None, "3"]
+    df = spark.createDataFrame([("<a><b>5</b><b>x</b></a>",), ("<a>",), (None,)], "x string")
+    found = [r[0] for r in df.select(nested.xml_nodes(F.col("x"), ["a", "b"], "content", "int")).collect()]
+    assert found == [[5, None], [], None]
+
+
+def test_expressions_in_text_are_checked(spark):
+    df = spark.createDataFrame([(2.0, None)], "v double, u double")
+    assert rows.expression(df, "y", "CASE WHEN v > 1 THEN round(v * 2.5e0, 1) ELSE coalesce(u, -1) END").collect()[0]["y"] == 5.0
+    assert rows.expression(df, "y", "u + 1").count() == 0
+    for bad in ("java_method('java.lang.System', 'exit', 1)", "(SELECT 1)", "v; 1", "reflect('x', 'y')", "input_file_name()"):
+        with pytest.raises(ValueError):
+            rows.expression(df, "y", bad)
+
+
+def test_theta_join_checks_its_small_side(spark):
+    with pytest.raises(ValueError):
+        joins.theta_join(spark.range(3), spark.range(50).withColumnRenamed("id", "k"), F.col("id") < F.col("k"), 10)
+
+
+def test_order_over_many_buckets(spark):
+    df = spark.range(5000).select(((F.col("id") * 37) % 5000).alias("i"))
+    found = ordered.running_all(ordered.numbered(df, [], "i", div("i", 2)), [], "i", div("i", 2), {"s": ("sum", F.col("i")), "m": ("max", -F.col("i")), "l": ("last", F.when(F.col("i") % 3000 == 5, F.col("i")))}, before=True)
+    bad = found.filter((F.col("row_no") != F.col("i") + 1) | (F.coalesce("s", F.lit(0)) != F.col("i") * (F.col("i") - 1) / 2) | ~F.col("m").eqNullSafe(F.when(F.col("i") > 0, 0)) | ~F.col("l").eqNullSafe(F.when(F.col("i") > 3005, 3005).when(F.col("i") > 5, 5)))
+    assert found.count() == 5000 and bad.count() == 0

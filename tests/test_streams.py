@@ -61,3 +61,42 @@ def test_partial_results_end_at_the_whole_result(spark, tmp_path):
 
 def test_rate_source_is_a_stream(spark):
     assert rate_source(spark, 5).isStreaming
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    runs = [[(1, 10, 1), (1, 11, 1), (1, 12, 1)], [(1, 5, 1), (1, 12, 0), (1, 6, 0)], [(1, 13, 1), (1, 14, 0)]]
+    stream = _stream(spark, tmp_path, runs, "g long, t long, p int")
+    found = s.run_once(s.threshold_frames(stream, "g", "t", "p", 2), f"{tmp_path}/a")
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 10, 13, 4)]
+    found = s.run_once(s.running_max(stream.withColumn("v", stream["t"].cast("double")), "g", "t", "v"), f"{tmp_path}/b")
+    assert [r["new_max"] for r in found.orderBy("new_max").collect()] == [10.0, 11.0, 12.0, 13.0, 14.0]
+    found = s.run_once(s.delta_frames(stream.withColumn("v", stream["t"].cast("double")), "g", "t", "v", 2.0), f"{tmp_path}/c")
+    assert sorted((r["frame_start"], r["frame_end"]) for r in found.collect()) == [(10, 11), (12, 13)]
+
+
+def test_idle_groups_end_and_leave_no_state(spark, tmp_path):
+    second = 1_000_000
+    runs = [[(1, second, 1), (1, 2 * second, 1)], [(2, 100 * second, 1)], [(2, 101 * second, 1)], [(1, 102 * second, 1)]]
+    stream = _stream(spark, tmp_path, runs, "g long, t long, p int").withColumn("ts", F.timestamp_micros("t"))
+    watch = s.watch(spark)
+    found = s.run_once(s.threshold_frames(s.punctuated(stream, "ts", "1 second"), "g", "t", "p", 2, idle=10_000), str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 1, second, 2 * second, 2)]
+    for _ in range(50):
+        if sum(watch.rows.values()) == 5:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(watch)
+    assert sum(watch.rows.values()) == 5 and sum(watch.batches.values()) >= 3 and set(watch.state_rows.values()) == {2}
+
+
+def test_a_batch_that_is_tried_again_counts_once(spark, tmp_path):
+    """The state forgets that the last batch was done, as after a crash between its output and its commit."""
+    import pathlib
+
+    stream = _stream(spark, tmp_path, [[(1, 10, 1.0)], [(1, 20, 3.0)]], "g long, t long, v double").withColumn("ts", F.timestamp_seconds("t"))
+    run = lambda: s.run_once(s.window_average(s.punctuated(stream, "ts", "1 minute"), "ts", "g", "v", "1 minute", "1 minute"), str(tmp_path), "update")
+    before = run().count()
+    done = sorted((f for f in pathlib.Path(f"{tmp_path}/state/commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    for f in (done[-1], done[-1].with_name(f".{done[-1].name}.crc")):
+        f.unlink(missing_ok=True)
+    assert run().count() == before
