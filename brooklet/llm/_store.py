@@ -1,15 +1,20 @@
-"""Binary files in the shared folder, whatever store it is in."""
+"""Binary files in the shared folder, whatever store it is in; the folder's name comes with its scheme (``session.shared_dir``)."""
 
 from __future__ import annotations
 
 from pyarrow import fs
 
+#: Spark's names of stores that are called otherwise here.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
+
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    for spark_name, name in _SCHEMES.items():
+        uri = uri.replace(f"{spark_name}://", f"{name}://", 1) if uri.startswith(f"{spark_name}://") else uri
     return fs.FileSystem.from_uri(uri)
 
 
