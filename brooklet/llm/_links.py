@@ -5,7 +5,7 @@ work, so that a bucket that holds a third of all rows is spread over many tasks.
 a row for each of them that is linked: its number of links and a row that it hangs together with. Buckets of the same members are
 verified once, and a pair that shares several buckets is counted in the first of them only. Components are those of verified links.
 
-A join whose keys may be frequent sends the rows of the frequent keys to nowhere: keys with more than one in ``HEAVY`` of all rows
+A join whose keys may be frequent leaves the rows of the frequent keys where they are: keys with more than one in ``HEAVY`` of all rows
 are less than ``HEAVY`` in number, hence broadcast (``met``).
 """
 
@@ -28,10 +28,12 @@ Verify = Callable[[list[bytes]], np.ndarray]
 
 def met(rows: DataFrame, by: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined by ``key`` to ``by``, which has a row for each key and in ``n`` how many of the ``total`` rows have it."""
-    often = F.col("n") > total // HEAVY
-    heavy, light = by.filter(often).drop("n"), by.filter(~often).drop("n")
+    by, often = checkpointed(by), F.col("n") > total // HEAVY
+    if not by.filter(often).take(1):
+        return rows.join(by.drop("n"), key)
+    heavy = by.filter(often).drop("n")
     rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(by.filter(~often).drop("n"), key))
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -49,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = met(both, low, "a", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = checkpointed(met(both, low, "a", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = met(large, least, "a", state[0])
         e = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
