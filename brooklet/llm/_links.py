@@ -22,13 +22,15 @@ from brooklet.session import checkpointed
 
 BLOCK = 256
 HEAVY = 1000
+#: Rows of two or three numbers that make a task of their own; fewer tasks than the shuffle has partitions write fewer small files.
+TASK_ROWS = 1 << 18
 #: verify(payloads) -> symmetric boolean matrix of links.
 Verify = Callable[[list[bytes]], np.ndarray]
 
 
 def met(rows: DataFrame, by: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined by ``key`` to ``by``, which has a row for each key and in ``n`` how many of the ``total`` rows have it."""
-    by, often = checkpointed(by), F.col("n") > total // HEAVY
+    """``rows`` joined by ``key`` to ``by``, which has a row for each key and in ``n`` how many of the ``total`` rows joined have it."""
+    by, often = checkpointed(_few(by, total)), F.col("n") > total // HEAVY
     if not by.filter(often).take(1):
         return rows.join(by.drop("n"), key)
     heavy = by.filter(often).drop("n")
@@ -36,6 +38,11 @@ def met(rows: DataFrame, by: DataFrame, key: str, total: int) -> DataFrame:
     return rows.join(F.broadcast(heavy), key).unionByName(rest.join(by.filter(~often).drop("n"), key))
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most so many small rows, in as many partitions as they need."""
+    return df.coalesce(1 + rows // TASK_ROWS)
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first())
 
@@ -51,11 +58,12 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = checkpointed(met(both, low, "a", 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = _few(met(both, low, "a", 2 * state[0]), 2 * state[0]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = checkpointed(_few(large, state[0]))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = met(large, least, "a", state[0])
+        small = _few(met(large, least, "a", state[0]), 2 * state[0])
         e = small.select("a", F.col("m").alias("b")).unionByName(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = checkpointed(e.distinct())
+        e = checkpointed(_few(e.distinct(), 2 * state[0]))
         before, state = state, _state(e)
         if before == state:
             break
