@@ -214,8 +214,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # an id has one row
     label, parts = found.column("label").to_numpy(), {k: _pieces(found.column(k)) for k in ("words", "starts")}
     sizes, sentences = (np.array([len(parts[k][i]) for i in order], dtype=np.int64) for k in ("words", "starts"))
-    word = np.concatenate([parts["words"][i] for i in order])
-    starts = np.concatenate([parts["starts"][i] for i in order]).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, sentences)
+    none = np.zeros(0, dtype=np.int32)  # labels may have no text
+    word = np.concatenate([none, *(parts["words"][i] for i in order)])
+    starts = np.concatenate([none, *(parts["starts"][i] for i in order)]).astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, sentences)
     y = label[order].astype(np.float64)
     weight = np.array([n[0], n[1]]) / np.maximum(np.bincount(label, minlength=2), 1)
     return fit(columns, word, starts, np.repeat(np.arange(len(y)), sentences), y, weight[label[order]], common)
