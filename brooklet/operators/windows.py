@@ -98,6 +98,11 @@ def early_average(df: DataFrame, group: list[str], value: str, order: str, thres
     return first.groupBy(*group, lo).agg(F.avg(value).alias(to))
 
 
-def ticks(spark, start: int, end: int, period: int, column: str = "tick") -> DataFrame:
-    """Ticks of a timer from ``start`` on, before ``end``."""
-    return spark.range(start, end, period).withColumnRenamed("id", column)
+def ticks(spark, start: int, end: int, period: int, column: str = "tick", relative: int = 0, slack: int = 0, granularity: int = 1, warp: int = 1) -> DataFrame:
+    """Ticks of a timer from ``start`` on, before ``end``.
+
+    A tick at time s shows (s - ``relative``) * ``warp`` - ``slack``, cut towards zero to a multiple of ``granularity``. ``period`` counts in the
+    time shown: with a ``warp`` of 60 a period of a minute ticks each second.
+    """
+    shown = (F.col("id") - relative) * warp - slack
+    return spark.range(start, end, max(period // warp, 1)).select((shown - shown % granularity).alias(column))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brooklet.functions.columns import any_pair, any_value, compare, compare_text, interval
+from brooklet.functions.columns import any_pair, any_value, compare, compare_text, div, interval
 from brooklet.operators import nested, rows
 from brooklet.plans.common import DAY, HOUR, MINUTE, START, by_arrival, events, folder, query
 from brooklet.session import table
@@ -81,6 +81,26 @@ def s5_packets(spark: SparkSession, d: str) -> DataFrame:
     return generated.packets(spark, 20000).groupBy("protocol").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
+@query("s5_subfile_generator", "SELECT n, r_regionkey, r_name FROM (SELECT unnest(range(23)) AS n) JOIN region ON r_regionkey = n % 5")
+def s5_subfile(spark: SparkSession, d: str) -> DataFrame:
+    region, where = table(spark, d, "region"), folder(spark, "s5")
+    files.write_xml(region, where, "region")
+    return generated.parts_of_file(spark, where, "region", region.schema, "r_regionkey", F.lit(0), 23).select("n", "r_regionkey", "r_name")
+
+
+def _line(salt: int) -> str:
+    return f"""'<line><part>' || {_draw("n", salt, 1000)} || '</part>' || CASE WHEN {_draw("n", salt + 1, 2)} > 0 THEN '<count>' || {_draw("n", salt + 2, 1000)} || '</count>' ELSE '' END || '</line>'"""
+
+
+@query(
+    "s5_declared_generator",
+    f"""SELECT n, '<order><id>' || {_draw("n", 42, 1000)} || '</id>' || {_line(45)} || CASE WHEN {_draw("n", 43, 2)} > 0 THEN {_line(49)} ELSE '' END
+|| CASE WHEN {_draw("n", 52, 2)} > 0 THEN '<note>' || {_draw("n", 53, 1000)} || '</note>' ELSE '' END || '</order>' AS xml FROM (SELECT unnest(range(500)) AS n)""",
+)
+def s5_declared(spark: SparkSession, d: str) -> DataFrame:
+    return generated.declared_documents(spark, 500, "order", {"order": ["id", "line+", "note?"], "line": ["part", "count?"]}, most=2)
+
+
 def _similar(kind: str, step: int, days: int, condition: str = "TRUE") -> str:
     return f"""WITH e AS {_EV}, s AS (SELECT DISTINCT t // {HOUR} AS h FROM e WHERE t >= {START + 25 * DAY}),
 w AS (SELECT h AS for_stretch, h - k * {step} * 24 AS s FROM s, (SELECT unnest(range(1, {days} + 1)) AS k)),
@@ -102,6 +122,21 @@ query("s6_archive_week_days", _similar("WeekDays", 1, 5, "(s // 24) % 7 NOT IN (
 query("s6_archive_same_day_of_week", _similar("SameDayOfWeek", 7, 2))(_archive("SameDayOfWeek", 2))
 
 
+@query(
+    "s6_archive_weather",
+    f"""WITH e AS (SELECT *, t // {HOUR} AS s FROM {_EV}), l AS (SELECT s, round(avg(value) + 1e-9, 6) AS level FROM e GROUP BY 1),
+c AS (SELECT a.s AS for_stretch, l.s, abs(l.level - n.level) AS far, n.level AS now FROM (SELECT DISTINCT s FROM e WHERE t >= {START + 25 * DAY}) a
+JOIN l ON l.s < a.s AND l.s >= a.s - 20 * 24 AND (a.s - l.s) % 24 = 0 AND (l.s // 24) % 7 NOT IN (2, 3) JOIN l n ON n.s = a.s),
+k AS (SELECT * FROM c WHERE far <= 3 QUALIFY row_number() OVER (PARTITION BY for_stretch ORDER BY CASE WHEN now > 0 THEN far END, s DESC) <= 2)
+SELECT for_stretch, count(*)::BIGINT AS n, round(sum(value) + 1e-9, 4) AS total FROM e JOIN k USING (s) GROUP BY 1""",
+)
+def s6_weather(spark: SparkSession, d: str) -> DataFrame:
+    e = events(spark, d)
+    levels = e.groupBy(div("t", HOUR).alias("stretch")).agg(F.round(F.avg("value") + 1e-9, 6).alias("level"))
+    found = archive.similar_conditions(e.filter(F.col("t") >= START + 25 * DAY), e, levels, "t", "WeekDays", 2, 3.0, 20)
+    return found.groupBy("for_stretch").agg(F.count("*").alias("n"), F.round(F.sum("value") + 1e-9, 4).alias("total"))
+
+
 @query("s8_constant_scan", "SELECT * FROM (VALUES (1, 'a', 1.5::DOUBLE), (2, 'b', 2.5::DOUBLE)) v(id, name, x)")
 def s8(spark: SparkSession, d: str) -> DataFrame:
     return files.constant(spark, [(1, "a", 1.5), (2, "b", 2.5)], "id name x", "int string double")
@@ -112,6 +147,25 @@ def s9(spark: SparkSession, d: str) -> DataFrame:
     return files.documents(spark, [f"{d}/region.parquet", f"{d}/region.parquet"], table(spark, d, "region").schema)
 
 
+@query("s9_texts", "SELECT count(*)::BIGINT AS names FROM nation")
+def s9_texts(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "s9")
+    files.write_xml(table(spark, d, "nation"), where, "nation")
+    return files.texts(spark, [where]).agg(F.sum(F.regexp_count("text", F.lit("<n_name>"))).cast("long").alias("names"))
+
+
+@query("s9_resource", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def s9_resource(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "s9")
+    files.store(table(spark, d, "nation").filter("n_regionkey = 2").select("n_nationkey", "n_name"), "some_nations", where)
+    return files.resource(spark, "some_nations", where)
+
+
+@query("s10_timer_relative", f"SELECT x - x % {MINUTE} AS tick FROM (SELECT k * {90 * MINUTE} - 5000000 AS x FROM (SELECT unnest(range(20)) AS k))")
+def s10_relative(spark: SparkSession, d: str) -> DataFrame:
+    return ticks(spark, START, START + 30 * MINUTE, interval("1 hour 30 minutes") * 1000, relative=START, slack=interval("5 seconds") * 1000, granularity=interval("1 minute") * 1000, warp=60)
+
+
 @query("s10_timer", f"SELECT {START} + k * {90 * MINUTE} AS tick FROM (SELECT unnest(range(16)) AS k)")
 def s10(spark: SparkSession, d: str) -> DataFrame:
     return ticks(spark, START, START + DAY, interval("1 hour 30 minutes") * 1000)

@@ -115,3 +115,20 @@ def display(spark: SparkSession, d: str) -> DataFrame:
         return spark.read.parquet(f"{where}/sent")
 
     return arrive(spark, d, where, run).groupBy("event_type").agg(F.sum("count").alias("n"))
+
+
+@query(
+    "s12_counters",
+    f"""SELECT 'maxima' AS stream, 'rows_in' AS counter, count(*)::BIGINT AS value FROM {_EV} WHERE t >= {START + 20 * DAY}
+UNION ALL SELECT 'maxima', 'state_rows', count(DISTINCT user_id)::BIGINT FROM {_EV} UNION ALL SELECT 'maxima', 'late_rows', 0::BIGINT""",
+)
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "s12")
+
+    def run(e: DataFrame) -> DataFrame:
+        maxima = s.running_max(e.select("user_id", "t", "value"), "user_id", "t", "value")
+        running = maxima.writeStream.format("noop").queryName("maxima").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+        return s.counters(spark, running)
+
+    return arrive(spark, d, where, run).filter("counter <> 'batches'")

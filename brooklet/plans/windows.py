@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.operators import aggregates as a
@@ -141,3 +141,20 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").filter("c_nationkey < 20").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.max("c_acctbal").alias("best"))
     s = table(spark, d, "supplier").filter("s_nationkey > 3").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"), F.max("s_acctbal").alias("other"))
     return a.accumulate(c, s, ["nation"], "full", "right")
+
+
+@query(
+    "a11_accumulate_nested",
+    """WITH l AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, count(*)::BIGINT AS n FROM customer WHERE c_nationkey < 20 AND c_acctbal >= 5000 GROUP BY 1, 2),
+r AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, count(*)::BIGINT AS n, min(c_acctbal) AS low FROM customer WHERE c_nationkey > 3 AND c_acctbal < 2000 GROUP BY 1, 2),
+ln AS (SELECT nation, sum(n)::BIGINT AS n FROM l GROUP BY 1), rn AS (SELECT nation, sum(n)::BIGINT AS n, min(low) AS low FROM r GROUP BY 1)
+SELECT nation, segment, coalesce(l.n, r.n) AS n, r.low, coalesce(ln.n, rn.n) AS whole, rn.low AS lowest FROM l FULL JOIN r USING (nation, segment) LEFT JOIN ln USING (nation) LEFT JOIN rn USING (nation)""",
+)
+def a11_nested(spark: SparkSession, d: str) -> DataFrame:
+    def side(condition: str, low: Column) -> DataFrame:
+        parts = table(spark, d, "customer").filter(condition).groupBy(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"), low.alias("low"))
+        return parts.groupBy("nation").agg(F.struct(F.sum("n").alias("n"), F.min("low").alias("low")).alias("whole"), F.array_sort(F.collect_list(F.struct("segment", "n", "low"))).alias("parts"))
+
+    left, right = side("c_nationkey < 20 AND c_acctbal >= 5000", F.min(F.lit(None).cast("double"))), side("c_nationkey > 3 AND c_acctbal < 2000", F.min("c_acctbal"))
+    merged = a.accumulate_nested(left, right, ["nation"], {"parts": "segment"})
+    return merged.select("nation", F.col("whole.n").alias("whole"), F.col("whole.low").alias("lowest"), F.inline("parts"))

@@ -61,6 +61,17 @@ def documents(spark: SparkSession, paths: list[str], schema: T.StructType | None
     return reader.parquet(*paths)
 
 
+def texts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Whole documents of any format, a row each: name (the last part of its path) and text. A document must fit in a row."""
+    read = spark.read.text(paths, wholetext=True)
+    return read.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), F.col("value").alias("text"))
+
+
+def resource(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """Rows that ``store`` wrote under a name, in this session or another."""
+    return spark.read.parquet(f"{folder}/{name}")
+
+
 def constant(spark: SparkSession, rows: list[tuple], names: str, types: str) -> DataFrame:
     """Literal rows."""
     return spark.createDataFrame(rows, declared(names, types))

@@ -7,6 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from brooklet.functions.columns import div
+from brooklet.operators.ordered import numbered
 
 
 def draw(n: Column, salt: int, choices: int) -> Column:
@@ -49,6 +53,38 @@ def packets(spark: SparkSession, rows: int) -> DataFrame:
     return spark.range(rows).select((n * 10).alias("time"), host(31).alias("source"), host(32).alias("dest"), F.element_at(F.array(F.lit("tcp"), F.lit("udp"), F.lit("icmp")), (draw(n, 33, 3) + 1).cast("int")).alias("protocol"), (draw(n, 34, 1460) + 40).alias("size"))
 
 
+def parts_of_file(spark: SparkSession, path: str, row_tag: str, schema: T.StructType, order: str, by: Column, rows: int) -> DataFrame:
+    """The elements of an XML file over and over, by their ``order`` (``by``: see ``ordered``), until there are so many ``rows``; ``n`` numbers them from 0."""
+    held = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    parts, count = numbered(held, [], order, by, "_no").withColumn("_no", F.col("_no") - 1), held.count()
+    turns = F.explode(F.sequence(F.lit(0), div(F.lit(rows - 1) - F.col("_no"), max(count, 1))))
+    return parts.filter(F.col("_no") < rows).withColumn("_turn", turns).withColumn("n", F.col("_turn") * count + F.col("_no")).drop("_no", "_turn")
+
+
+def declared_documents(spark: SparkSession, rows: int, root: str, elements: dict[str, list[str]], depth: int = 6, most: int = 3) -> DataFrame:
+    """XML documents that keep to element declarations, a row each: n and xml.
+
+    ``elements`` names each element's children in order, with ``?`` (none or one), ``*`` (none to ``most``) or ``+`` (one to ``most``) behind those that
+    don't come exactly once; an element without an entry holds a number. Below ``depth`` levels only children that must come are made.
+    """
+    salt = iter(range(41, 1 << 30))
+
+    def made(tag: str, level: int) -> Column:
+        inner = []
+        for child in elements.get(tag, []):
+            name, mark = child.rstrip("?*+"), child[-1]
+            least, largest = {"?": (0, 1), "*": (0, most), "+": (1, most)}.get(mark, (1, 1))
+            largest = largest if level < depth else least
+            if level > 4 * depth:
+                raise ValueError(f"{name} must contain itself")
+            count = draw(F.col("id"), next(salt), largest - least + 1) + least
+            inner += [made(name, level + 1) if k < least else F.when(count > k, made(name, level + 1)).otherwise("") for k in range(largest)]
+        held = inner if tag in elements else [draw(F.col("id"), next(salt), 1000).cast("string")]
+        return F.concat(F.lit(f"<{tag}>"), *held, F.lit(f"</{tag}>"))
+
+    return spark.range(rows).select(F.col("id").alias("n"), made(root, 0).alias("xml"))
+
+
 def rate_source(spark: SparkSession, rows_per_second: int) -> DataFrame:
     """A stream that is throttled at its source."""
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()

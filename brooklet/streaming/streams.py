@@ -8,7 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from brooklet.operators.frames import next_change
@@ -182,6 +182,16 @@ def running_max(stream: DataFrame, group: str, t: str, value: str, idle: int | N
     return _stateful(stream, group, step, "key long, old_max double, new_max double", "high double, seen long", idle)
 
 
+def counters(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """(stream, counter, value) of a stream over the batches that ``spark.sql.streaming.numRecentProgressUpdates`` keeps: rows in, batches, rows of state
+    (open groups) now, late rows dropped. ``watch`` counts over all batches."""
+    done = query.recentProgress
+    states = [o for p in done for o in p.stateOperators]
+    last = done[-1].stateOperators if done else []
+    found = {"rows_in": sum(p.numInputRows for p in done), "batches": len(done), "state_rows": sum(o.numRowsTotal for o in last), "late_rows": sum(o.numRowsDroppedByWatermark for o in states)}
+    return spark.createDataFrame([(query.name or str(query.id), k, int(v)) for k, v in found.items()], "stream string, counter string, value long")
+
+
 class Progress(StreamingQueryListener):
     """Counters of running streams, by stream name: rows in, batches, rows of state (open groups) and late rows dropped."""
 

@@ -291,3 +291,57 @@ def test_order_over_many_buckets(spark):
     found = ordered.running_all(ordered.numbered(df, [], "i", div("i", 2)), [], "i", div("i", 2), {"s": ("sum", F.col("i")), "m": ("max", -F.col("i")), "l": ("last", F.when(F.col("i") % 3000 == 5, F.col("i")))}, before=True)
     bad = found.filter((F.col("row_no") != F.col("i") + 1) | (F.coalesce("s", F.lit(0)) != F.col("i") * (F.col("i") - 1) / 2) | ~F.col("m").eqNullSafe(F.when(F.col("i") > 0, 0)) | ~F.col("l").eqNullSafe(F.when(F.col("i") > 3005, 3005).when(F.col("i") > 5, 5)))
     assert found.count() == 5000 and bad.count() == 0
+
+
+def test_database(spark):
+    from brooklet.sources.archive import database
+
+    url = "jdbc:derby:memory:archive;create=true"
+    driver = "org.apache.derby.jdbc.EmbeddedDriver"
+    spark.range(100).selectExpr("id AS k", "id * 2 AS v").write.format("jdbc").options(url=url, dbtable="readings", driver=driver).save()
+    got = database(spark, url, "SELECT * FROM readings WHERE \"v\" < 50", "k", 0, 100, 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, got.collect())) == [(k, 2 * k) for k in range(25)]
+
+
+def test_similar_conditions(spark):
+    from brooklet.sources.archive import similar_conditions
+
+    hour = 3_600_000_000
+    now = 24 * 100
+    archive = spark.createDataFrame([((now - 24 * k) * hour, k) for k in range(1, 6)], "t long, k long")
+    stream = spark.createDataFrame([(now * hour,), (now * hour + 5,)], "t long")
+    pick = lambda levels, days=2: sorted(r.k for r in similar_conditions(stream, archive, spark.createDataFrame(levels, "stretch long, level double"), "t", "AllDays", days, 3.0).collect())
+    earlier = [(now - 24, 9.0), (now - 48, 6.0), (now - 72, 5.5), (now - 96, 2.0), (now - 120, 4.5)]
+    assert pick([*earlier, (now, 5.0)]) == [3, 5]  # the two nearest; 2.0 and 9.0 are the ends
+    assert pick([*earlier, (now, 5.0)], 9) == [2, 3, 4, 5]
+    assert pick([(now - 24, 3.0), (now - 48, 0.0), (now - 72, 1.0)], 2) == [1, 2]  # no level: 0, the latest first
+    assert pick([(now, 5.0)]) == []
+    with pytest.raises(ValueError):
+        similar_conditions(stream, archive, archive.select(F.col("t").alias("stretch"), F.lit(0.0).alias("level")), "t", "NoDays", 1, 1.0)
+
+
+def test_accumulate_nested_odd_values(spark):
+    from brooklet.operators.aggregates import accumulate_nested
+
+    schema = "k int, s struct<a:int,b:string>, l array<struct<id:int,x:int>>, p array<int>"
+    left = spark.createDataFrame([(1, (1, None), [(1, None), (None, 5)], [1]), (2, None, None, None), (3, (3, "l"), [], None)], schema)
+    right = spark.createDataFrame([(1, (9, "r"), [(1, 7), (2, 8), (None, 6), (2, 9)], [2]), (2, (2, "r"), [(4, 4)], [3]), (4, None, None, None)], schema)
+    got = {r.k: r for r in accumulate_nested(left, right, ["k"], {"l": "id"}).collect()}
+    assert (tuple(got[1].s), [tuple(x) for x in got[1].l], got[1].p) == ((1, "r"), [(1, 7), (None, 5), (2, 8), (None, 6), (2, 9)], [1])
+    assert (tuple(got[2].s), [tuple(x) for x in got[2].l], got[2].p) == ((2, "r"), [(4, 4)], [3])
+    assert (tuple(got[3].s), got[3].l, got[3].p) == ((3, "l"), [], None)
+    assert (got[4].s, got[4].l) == (None, None)
+    turned = {r.k: r for r in accumulate_nested(left, right, ["k"], {"l": "id"}, "inner", "right").collect()}
+    assert sorted(turned) == [1, 2] and tuple(turned[1].s) == (9, "r") and turned[1].p == [2]
+    with pytest.raises(ValueError):
+        accumulate_nested(left, right.withColumn("p", F.lit("x")), ["k"], {})
+
+
+def test_declared_documents_must_end(spark):
+    from brooklet.sources.generated import declared_documents
+
+    deep = declared_documents(spark, 20, "a", {"a": ["a?", "b"]}, depth=3).collect()
+    assert max(r.xml.count("<a>") for r in deep) <= 4 and all(r.xml.count("<b>") == r.xml.count("<a>") for r in deep)
+    with pytest.raises(ValueError):
+        declared_documents(spark, 1, "a", {"a": ["a"]})
