@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brooklet.llm import op1_sentencepiece, op2_quality, op3_urls, op4_sstable, op5_jaccard, op6_embeddings, op7_decontaminate, op8_toxicity, op9_html, op10_token_counts
+from brooklet.llm import op1_sentencepiece, op2_quality, op3_urls, op4_sstable, op5_jaccard, op6_embeddings, op7_decontaminate, op8_toxicity, op9_html, op10_token_counts, op13_bpe
 from brooklet.session import ship
 
 
@@ -41,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity.query,
         "op9_html_extraction": op9_html.query,
         "op10_token_counts": op10_token_counts.query,
+        "op13_bpe": op13_bpe.query,
     }
     return {k: _shipped(f) for k, f in found.items()}
 
