@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brooklet.llm import op1_sentencepiece, op2_quality, op3_urls, op4_sstable, op5_jaccard, op6_embeddings, op7_decontaminate, op8_toxicity, op9_html, op10_token_counts, op13_bpe
+from brooklet.llm import op1_sentencepiece, op2_quality, op3_urls, op4_sstable, op5_jaccard, op6_embeddings, op7_decontaminate, op8_toxicity, op9_html, op10_token_counts, op11_clusters, op12_codes, op13_bpe
 from brooklet.session import ship
 
 
@@ -41,6 +41,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity.query,
         "op9_html_extraction": op9_html.query,
         "op10_token_counts": op10_token_counts.query,
+        "op11_centroid_clustering": op11_clusters.query,
+        "op12_vector_codes": op12_codes.query,
         "op13_bpe": op13_bpe.query,
     }
     return {k: _shipped(f) for k, f in found.items()}
@@ -51,4 +53,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_ngram_jaccard_join": op5_jaccard.SQL,
         "op6_embedding_near_dedup": op6_embeddings.SQL,
         "op7_decontaminate": op7_decontaminate.SQL,
+        "op11_centroid_clustering": op11_clusters.sql(),
+        "op12_vector_codes": op12_codes.sql(),
     }
