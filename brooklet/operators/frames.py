@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from brooklet.operators import deltas
 from brooklet.operators.ordered import runs
 
 
@@ -28,72 +24,15 @@ def threshold_frames(df: DataFrame, group: str, t: str, predicate: str, size: in
     return found.select(F.col("run_no").alias("frame_id"), F.col("start").alias("frame_start"), F.col("end").alias("frame_end"), F.col(group).alias("frame_group"), "length", "run.predicate")
 
 
-def _frames(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    columns = [list(x) for x in zip(*out, strict=True)] or [[]] * 6
-    types = [kind, *[pa.int64()] * 4, pa.string()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["group", "frame_id", "frame_start", "frame_end", "length", "status"])
-
-
-_DELTA = "group {}, frame_id long, frame_start long, frame_end long, length long, status string"
-
-
-#: Values that are looked at together for the next change; doubled as long as there is none.
-_STRETCH = 64
-
-
-def next_change(values: np.ndarray, start: float, delta: float) -> int:
-    """The place of the first value that is at least ``delta`` away from ``start``, or the number of values."""
-    at, size = 0, _STRETCH
-    while at < len(values):
-        away = np.abs(values[at : at + size] - start) >= delta
-        if away.any():
-            return at + int(np.argmax(away))
-        at, size = at + size, 2 * size
-    return len(values)
-
-
-def delta_frames(df: DataFrame, group: str, t: str, value: str, delta: float, closed_end: bool = False) -> DataFrame:
+def delta_frames(df: DataFrame, group: str, t: str, value: str, delta: float, by: Column, closed_end: bool = False) -> DataFrame:
     """Partitions each group: a frame ends before the first row that is at least ``delta`` away from the frame's first value.
 
     That row begins the next frame. ``frame_end`` is the time of the frame's last row, or with ``closed_end`` that of the
-    row that closed it. Each frame depends on where the one before ended, so a group is read in order by one task, which
-    keeps no more than the open frame and looks from one closing row to the next. Rows without value are passed over.
+    row that closed it. Rows without value are passed over. ``by`` is a whole number that never falls as time grows: a group is dealt over its
+    stretches, of which a task holds one (``deltas``).
     """
-    kind = df.schema[group].dataType
-    kind_ = to_arrow_type(kind)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, first, last, length, start = None, 0, 0, 0, 0, 0.0
-        for batch in batches:
-            out: list[tuple] = []
-            times, values = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            keys = batch.column(0).dictionary_encode()
-            codes = keys.indices.fill_null(-1).to_numpy()
-            edges = np.flatnonzero(np.diff(codes, prepend=np.iinfo(np.int32).min, append=np.iinfo(np.int32).max)) if len(codes) else codes
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                key = batch.column(0)[a].as_py()
-                if not length or key != now:
-                    if length:
-                        out.append((now, n, first, last, length, "final"))
-                    now, n, length = key, 1, 0
-                i = a
-                while i < b:
-                    if length == 0:
-                        first, start = int(times[i]), float(values[i])
-                    end = i + next_change(values[i:b], start, delta)
-                    if end > i:
-                        last, length = int(times[end - 1]), length + int(end - i)
-                    if end < b:
-                        out.append((now, n, first, int(times[end]) if closed_end else last, length, "final"))
-                        n, length = n + 1, 0
-                    i = end
-            yield _frames(out, batch.schema.field(0).type)
-        if length:
-            yield _frames([(now, n, first, last, length, "final")], kind_)
-
-    rows = df.filter(F.col(value).isNotNull() & F.col(t).isNotNull()).select(group, F.col(t).cast("long").alias("t"), F.col(value).cast("double").alias("v"))
-    dealt = rows.repartition(group).sortWithinPartitions(group, "t", "v")
-    return dealt.mapInArrow(work, _DELTA.format(kind.simpleString())).withColumnRenamed("group", "frame_group")
+    found = deltas.frames(df, group, t, value, delta, by, closed_end)
+    return found.select(F.col("g").alias("frame_group"), "frame_id", "frame_start", "frame_end", "length", F.lit("final").alias("status"))
 
 
 def boundary_frames(df: DataFrame, group: str, t: str, value: str, width: float, by: Column) -> DataFrame:

@@ -48,7 +48,7 @@ UNION ALL SELECT e.user_id, e.rn, e.t, CASE WHEN abs(f.v0 - e.v) >= 30 THEN e.v
 SELECT user_id AS frame_group, k::BIGINT AS frame_id, min(s) AS frame_start, max(t) AS frame_end, count(*)::BIGINT AS length, 'final' AS status FROM f GROUP BY 1, 2""",
 )
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    return f.delta_frames(events(spark, d), "user_id", "t", "value", 30.0)
+    return f.delta_frames(events(spark, d), "user_id", "t", "value", 30.0, by_day())
 
 
 @query(

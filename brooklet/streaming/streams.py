@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from brooklet.operators.frames import next_change
+from brooklet.operators.deltas import next_change
 
 
 def punctuated(stream: DataFrame, t: str, delay: str) -> DataFrame:

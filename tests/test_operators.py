@@ -52,10 +52,10 @@ def test_threshold_frames(spark):
 
 def test_delta_frames(spark):
     df = spark.createDataFrame([(1, t, float(v)) for t, v in enumerate((50, 48, 50, 57, 55, 59, 63), 1)] + [(1, 8, None)], "g long, t long, v double")
-    found = frames.delta_frames(df, "g", "t", "v", 5)
+    found = frames.delta_frames(df, "g", "t", "v", 5, div("t", 2))
     assert got(found, "frame_id", "frame_start", "frame_end", "length") == [(1, 1, 3, 3), (2, 4, 6, 3), (3, 7, 7, 1)]
-    assert got(frames.delta_frames(df, "g", "t", "v", 5, closed_end=True), "frame_start", "frame_end")[:2] == [(1, 4), (4, 7)]
-    assert got(frames.delta_frames(df.filter("g = 2"), "g", "t", "v", 5), "frame_id") == []
+    assert got(frames.delta_frames(df, "g", "t", "v", 5, div("t", 3), closed_end=True), "frame_start", "frame_end")[:2] == [(1, 4), (4, 7)]
+    assert got(frames.delta_frames(df.filter("g = 2"), "g", "t", "v", 5, div("t", 2)), "frame_id") == []
 
 
 def test_grid_cells(spark):
@@ -256,7 +256,7 @@ def test_delta_frames_of_long_and_null_groups(spark):
                     expected.append((g, opened, t - 1))
                 start, opened = v, t
         expected.append((g, opened, 2999))
-    found = frames.delta_frames(spark.createDataFrame(values, "g long, t long, v double"), "g", "t", "v", 8.0)
+    found = frames.delta_frames(spark.createDataFrame(values, "g long, t long, v double"), "g", "t", "v", 8.0, div("t", 700))
     assert sorted(got_ := [(r["frame_group"], r["frame_start"], r["frame_end"]) for r in found.collect()], key=str) == sorted(expected, key=str) and got_
 
 
