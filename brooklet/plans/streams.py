@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brooklet.functions.columns import div
 from brooklet.operators.rows import apply
 from brooklet.plans.common import DAY, HOUR, START, events, folder, query, rounded
 from brooklet.sources.generated import file_stream
 from brooklet.streaming import streams as s
+from brooklet.streaming import timed
 
 _EV = "(SELECT event_id, ts, epoch_us(ts) AS t, user_id, event_type, value FROM events)"
 BATCHES = 3
@@ -132,3 +134,113 @@ def counted(spark: SparkSession, d: str) -> DataFrame:
         return s.counters(spark, running)
 
     return arrive(spark, d, where, run).filter("counter <> 'batches'")
+
+
+_PURCHASES, _CLICKS = "event_type = 'purchase'", "event_type = 'click'"
+
+
+@query(
+    "t_stream_join",
+    f"""SELECT l.event_id, l.user_id, l.t, r.event_id AS r_event_id, r.t AS r_t FROM {_EV} l JOIN {_EV} r ON l.user_id = r.user_id AND r.t BETWEEN l.t - {12 * HOUR} AND l.t + {HOUR}
+WHERE l.{_PURCHASES} AND r.{_CLICKS}""",
+)
+def stream_join(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t7")
+
+    def run(e: DataFrame) -> DataFrame:
+        joined = timed.join(e.filter(_PURCHASES), e.filter(_CLICKS), {"user_id": "user_id"}, ("t", "t"), 12 * HOUR, HOUR, "1 hour")
+        return s.run_once(joined.select("event_id", "user_id", "t", "r_event_id", "r_t"), where)
+
+    return arrive(spark, d, where, run)
+
+
+#: Which part a row comes with, and the last full six hours of each part and those before it.
+_ARRIVED = f"a AS (SELECT *, CASE WHEN {_LATE} THEN 2 ELSE least(greatest((t - {START}) // {10 * DAY}, 0), 2) END AS part, t // {6 * HOUR} * {6 * HOUR} // 1000 AS tick FROM {_EV})"
+
+
+@query(
+    "t_punctuate",
+    f"""WITH {_ARRIVED}, w AS (SELECT max(tick) FILTER (part = 0) AS w0, max(tick) FILTER (part <= 1) AS w1, max(tick) AS w2 FROM a),
+k AS (SELECT event_id, user_id % 8 AS lane, part, CASE part WHEN 1 THEN w0 ELSE w1 END AS tick FROM a, w WHERE part > 0 AND t >= (CASE part WHEN 1 THEN w0 ELSE w1 END + 1) * 1000),
+l AS (SELECT lane, min(part) AS first FROM k GROUP BY lane)
+SELECT event_id, lane, tick, NULL::BIGINT AS mark FROM k UNION ALL SELECT NULL, lane, w1, w0 FROM l, w WHERE first = 1 UNION ALL SELECT NULL, lane, w2, w1 FROM l, w""",
+)
+def punctuate(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t8")
+    late = (F.col("event_id") % 97 == 0) & (F.col("t") < START + 20 * DAY)
+
+    def run(e: DataFrame) -> DataFrame:
+        ticks = e.select((div(div("t", 6 * HOUR) * (6 * HOUR), 1000)).alias("tick"))
+        return s.run_once(timed.punctuate(e.select("event_id", "user_id", "t"), ticks, F.col("user_id") % 8, "t", "tick").select("event_id", "lane", "tick", "mark"), where)
+
+    with timed.rocks(spark):
+        return arrive(spark, d, where, run, late)
+
+
+def _released(marks: str) -> tuple[str, str]:
+    """When a row's day is over by ``marks`` (w0, w1, w2: how far the parts go, in milliseconds)."""
+    end = f"((t // {DAY} + 1) * {DAY // 1000})"
+    return f"CASE WHEN {end} <= w0 THEN w0 WHEN {end} <= w1 THEN w1 WHEN {end} <= w2 THEN w2 END", f"w AS (SELECT {marks} FROM p)"
+
+
+_PARTS = f"p AS (SELECT event_type, t, least(greatest((t - {START}) // {10 * DAY}, 0), 2) AS part FROM {_EV})"
+_BOTH, _W_BOTH = _released(", ".join(f"least(max(t) FILTER (part <= {k} AND {_PURCHASES}), max(t) FILTER (part <= {k} AND {_CLICKS})) // 1000 AS w{k}" for k in range(3)))
+_RIGHT, _W_RIGHT = _released(", ".join(f"max(t) FILTER (part <= {k} AND {_CLICKS}) // 1000 AS w{k}" for k in range(3)))
+
+
+@query(
+    "t_synchronize",
+    f"""WITH {_PARTS}, {_W_BOTH} SELECT * FROM (SELECT CASE WHEN {_PURCHASES} THEN 'left' ELSE 'right' END AS side, event_id, t, {_BOTH} AS released FROM {_EV}, w WHERE {_PURCHASES} OR {_CLICKS}) WHERE released IS NOT NULL""",
+)
+def synchronize(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t9")
+
+    def run(e: DataFrame) -> DataFrame:
+        e = e.select("event_id", "event_type", "t")
+        found = timed.synchronize(e.filter(_PURCHASES), e.filter(_CLICKS), "t", "t", DAY, lane=F.col("event_id") % 4)
+        return s.run_once(found.select("side", F.coalesce("left.event_id", "right.event_id").alias("event_id"), F.coalesce("left.t", "right.t").alias("t"), "released"), where)
+
+    with timed.rocks(spark):
+        return arrive(spark, d, where, run)
+
+
+@query("t_present", f"WITH {_PARTS}, {_W_RIGHT} SELECT * FROM (SELECT event_id, user_id, value, {_RIGHT} AS released FROM {_EV}, w WHERE {_PURCHASES}) WHERE released IS NOT NULL")
+def present(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t10")
+
+    def run(e: DataFrame) -> DataFrame:
+        found = timed.present(e.filter(_PURCHASES), e.filter(_CLICKS), "t", "t", DAY, lane=F.col("event_id") % 4)
+        return s.run_once(found.select("event_id", "user_id", "value", "released"), where)
+
+    with timed.rocks(spark):
+        return arrive(spark, d, where, run)
+
+
+#: Runs of at least three values over 20, by number, and what of them has come with each part.
+_LONG_RUNS = f"""p AS (SELECT *, (value > 20)::INTEGER AS p, least(greatest((t - {START}) // {10 * DAY}, 0), 2) AS part FROM {_EV}),
+c AS (SELECT *, CASE WHEN lag(p) OVER w IS NOT DISTINCT FROM p THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY user_id ORDER BY t)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t) AS island FROM c),
+f AS (SELECT user_id, island, min(t) AS s, max(t) AS e, row_number() OVER (PARTITION BY user_id ORDER BY min(t))::BIGINT AS frame_id FROM i WHERE p = 1 GROUP BY user_id, island HAVING count(*) >= 3)"""
+
+
+@query(
+    "t_fragments",
+    f"""WITH {_LONG_RUNS}, g AS (SELECT user_id, island, part, max(t) AS e, sum(count(*)) OVER (PARTITION BY user_id, island ORDER BY part)::BIGINT AS n FROM i WHERE p = 1 GROUP BY user_id, island, part)
+SELECT user_id AS frame_group, frame_id, coalesce(lag(g.e) OVER (PARTITION BY user_id, island ORDER BY part), f.s) AS frame_start, g.e AS frame_end, g.n AS length FROM g JOIN f USING (user_id, island) WHERE g.n >= 3""",
+)
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t11")
+    return arrive(spark, d, where, lambda e: s.run_once(s.threshold_frames(apply(e, F.col("value") > 20, "p").select("user_id", "t", "p"), "user_id", "t", "p", 3, fragments=True), where))
+
+
+@query("t_fill_frames", f"WITH {_LONG_RUNS} SELECT event_id, user_id, value, frame_id AS ff_frame_id FROM i JOIN f USING (user_id, island)")
+def fill_frames(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t12")
+
+    def run(e: DataFrame) -> DataFrame:
+        found = s.run_once(s.threshold_frames(apply(e, F.col("value") > 20, "p").select("user_id", "t", "p"), "user_id", "t", "p", 3, fragments=True, marks=True), f"{where}/frames")
+        frames = file_stream(spark, f"{where}/frames/out", found.schema, 1 << 20)
+        return s.run_once(timed.fill_frames(e.select("event_id", "user_id", "t", "value"), frames, "user_id", "t").select("event_id", "user_id", "value", "ff_frame_id"), f"{where}/filled")
+
+    with timed.rocks(spark):
+        return arrive(spark, d, where, run)

@@ -75,13 +75,14 @@ def _stateful(stream: DataFrame, group: str, step, out: str, state: str, idle: i
 _COLUMNS = ["frame_group", "frame_id", "frame_start", "frame_end", "length"]
 
 
-def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size: int, fragments: bool = False, idle: int | None = None) -> DataFrame:
+def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size: int, fragments: bool = False, idle: int | None = None, marks: bool = False) -> DataFrame:
     """Runs of 1 in a stream, put out when a 0 ends them; the open run is state, so a run over several micro-batches is one frame.
 
     With ``fragments`` a run that is long enough is put out at the end of each micro-batch as well: a fragment begins where the
     last one of its frame ended, and has its frame's id. Rows at or before the group's last row are late and are dropped. ``t`` is
     in microseconds; with ``idle`` (milliseconds), on a stream with a watermark, a group without rows for so long ends: its open run
-    is put out, its state goes, and its frames count from 1 if it comes again.
+    is put out, its state goes, and its frames count from 1 if it comes again. With ``marks`` each micro-batch of a group ends with a row without frame_id
+    whose frame_end is the time up to which the group's frames are complete: before an open run, or, with ``fragments``, at the end of what is out of it.
     """
 
     def step(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -113,11 +114,14 @@ def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size
                 n += not shown
                 out.append((key[0], n, first, last, length))
                 first, shown = last, True
+            if marks and seen is not None:
+                out.append((key[0], None, None, seen if not length else last if shown else first - 1, None))
             if seen is not None:
                 state.update((int(n), int(first), int(last), length, shown, int(seen)))
                 _ended(state, int(seen), idle)
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            found = pd.DataFrame(out, columns=_COLUMNS)
+            yield found.astype({c: "Int64" for c in _COLUMNS[1:]}) if marks else found
 
     return _stateful(stream, group, step, _FRAME, "n long, first long, last long, length long, shown boolean, seen long", idle)
 
@@ -153,7 +157,8 @@ def delta_frames(stream: DataFrame, group: str, t: str, value: str, delta: float
                 state.update((n, first, last, length, start))
                 _ended(state, last, idle)
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            found = pd.DataFrame(out, columns=_COLUMNS)
+            yield found.astype({c: "Int64" for c in _COLUMNS[1:]}) if marks else found
 
     return _stateful(stream, group, step, _FRAME, "n long, first long, last long, length long, start double", idle)
 
