@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from brooklet.functions.columns import div
 from brooklet.operators.rows import apply
 from brooklet.plans.common import DAY, HOUR, START, events, folder, query, rounded
+from brooklet.sources.firehose import Firehose
 from brooklet.sources.generated import file_stream
+from brooklet.streaming import feedback, timed
 from brooklet.streaming import streams as s
-from brooklet.streaming import timed
 
 _EV = "(SELECT event_id, ts, epoch_us(ts) AS t, user_id, event_type, value FROM events)"
 BATCHES = 3
@@ -244,3 +245,104 @@ def fill_frames(spark: SparkSession, d: str) -> DataFrame:
 
     with timed.rocks(spark):
         return arrive(spark, d, where, run)
+
+
+def part_of(t: str) -> Column:
+    return F.least(F.greatest(F.floor((F.col(t) - START) / (10 * DAY)), F.lit(0)), F.lit(BATCHES - 1))
+
+
+@query(
+    "t_pace_feedback",
+    f"""WITH {_PARTS.replace("event_type, t", "event_id, event_type, t")}, w AS (SELECT max(t) FILTER (part <= 1 AND {_PURCHASES}) AS l1, max(t) FILTER (part = 0 AND {_CLICKS}) AS r0 FROM p)
+SELECT event_id, t, 'left' AS side FROM p WHERE {_PURCHASES}
+UNION ALL SELECT event_id, t, 'right' FROM p, w WHERE {_CLICKS} AND (part = 0 OR l1 - r0 <= {5 * DAY} OR t >= l1)""",
+)
+def pace_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """The right input comes a part late; what it is told not to deliver any more lies in whole days."""
+    where = folder(spark, "t13")
+    rows = events(spark, d).select("event_id", "t", "event_type", div("t", DAY).alias("day"), part_of("t").alias("part"))
+    sides = {"left": rows.filter(_PURCHASES), "right": rows.filter(_CLICKS)}
+    schema = rows.select("event_id", "t", "day").schema
+    late = {0: [], 1: [0], 2: [1, 2]}
+    for k in range(BATCHES):
+        for side, parts in (("left", [k]), ("right", late[k])):
+            sides[side].filter(F.col("part").isin(parts)).select("event_id", "t", "day").write.mode("append").partitionBy("day").parquet(f"{where}/{side}")
+        found = feedback.pace(spark, {side: f"{where}/{side}" for side in sides}, schema, "t", 5 * DAY, f"{where}/paced", "day", DAY, 1 << 20)()
+    return found.select("event_id", "t", "side")
+
+
+def _archive(spark: SparkSession, d: str, where: str) -> DataFrame:
+    """The events as an archive in stretches of six hours."""
+    rows = events(spark, d).select("event_id", "t", "event_type", "value", div("t", 6 * HOUR).alias("stretch"))
+    rows.repartition("stretch").write.partitionBy("stretch").parquet(f"{where}/archive")
+    return spark.read.schema(rows.schema).parquet(f"{where}/archive")
+
+
+@query(
+    "t_archive_by_stream",
+    f"""WITH a AS (SELECT event_id, t, t // {6 * HOUR} AS stretch FROM {_EV} WHERE t // {6 * HOUR} + 28 IN (SELECT t // {6 * HOUR} FROM {_EV} WHERE {_PURCHASES}))
+SELECT event_id, t, NULL::BIGINT AS mark FROM a UNION ALL SELECT DISTINCT NULL, NULL, (stretch + 1) * {6 * HOUR} FROM a""",
+)
+def archive_by_stream(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t14")
+    archive = _archive(spark, d, where)
+
+    def answer(rows: DataFrame, found: DataFrame) -> DataFrame:
+        marks = found.select("stretch").distinct().select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("t"), ((F.col("stretch") + 1) * (6 * HOUR)).alias("mark"))
+        return found.select("event_id", "t", F.lit(None).cast("long").alias("mark")).unionByName(marks)
+
+    asks = lambda rows: div("t", 6 * HOUR) - 28
+    return arrive(spark, d, where, lambda e: feedback.asking(e.filter(_PURCHASES).select("event_id", "t"), archive, "stretch", asks, answer, where)())
+
+
+@query(
+    "t_impute_from_archive",
+    f"""WITH m AS (SELECT t // {6 * HOUR} AS stretch, event_type, avg(value) AS mean FROM {_EV} GROUP BY 1, 2)
+SELECT event_id, round(CASE WHEN event_id % 50 = 0 THEN mean ELSE value END + 1e-9, 6) AS value FROM {_EV} e LEFT JOIN m ON m.stretch = t // {6 * HOUR} - 4 AND m.event_type = e.event_type""",
+)
+def impute_from_archive(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t15")
+    archive = _archive(spark, d, where)
+
+    def answer(rows: DataFrame, found: DataFrame) -> DataFrame:
+        mean = found.groupBy((F.col("stretch") + 4).alias("place"), "event_type").agg(F.avg("value").alias("mean"))
+        return rows.withColumn("place", div("t", 6 * HOUR)).join(mean, ["place", "event_type"], "left").select("event_id", F.coalesce("value", "mean").alias("value"))
+
+    asks = lambda rows: F.when(rows["value"].isNull(), div("t", 6 * HOUR) - 4)
+    missing = F.when(F.col("event_id") % 50 != 0, F.col("value")).alias("value")
+    out = arrive(spark, d, where, lambda e: feedback.asking(e.select("event_id", "t", "event_type", missing), archive, "stretch", asks, answer, where)())
+    return out.select("event_id", rounded("value"))
+
+
+@query("s4_firehose", f"SELECT event_id, t, user_id, value, NULL::BIGINT AS control FROM {_EV} UNION ALL SELECT DISTINCT NULL, NULL, NULL, NULL, (t // {DAY} + 1) * {DAY} FROM {_EV}")
+def s4_firehose(spark: SparkSession, d: str) -> DataFrame:
+    """The events as lines in the order of time, each day ended by a control row."""
+    where, rows = folder(spark, "s4"), events(spark, d)
+    spark.dataSource.register(Firehose)
+    line = rows.select("t", F.concat_ws(",", F.col("event_id").cast("string"), F.col("t").cast("string"), F.col("user_id").cast("string"), F.coalesce(F.col("value").cast("string"), F.lit(""))).alias("line"))
+    day = ((div("t", DAY) + 1) * DAY).alias("t")
+    control = rows.select(day).distinct().select("t", F.concat(F.lit("*,"), F.col("t").cast("string")).alias("line"))
+    line.unionByName(control).repartitionByRange("t").sortWithinPartitions("t").select("line").write.text(f"{where}/lines")
+    stream = spark.readStream.format("firehose").schema("event_id long, t long, user_id long, value double, control long").option("path", f"{where}/lines").option("rate", 65536).option("least", 1 << 20).load()
+    running = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").start()
+    running.processAllAvailable()
+    running.stop()
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+
+
+@query(
+    "t_operator_counters",
+    f"""SELECT * FROM (SELECT 'scan' AS operator, count(*)::BIGINT AS rows, 1::BIGINT AS batches FROM {_EV} WHERE t >= {START + 20 * DAY}
+UNION ALL SELECT 'select', count(*), 1 FROM {_EV} WHERE t >= {START + 20 * DAY} AND {_PURCHASES} UNION ALL SELECT 'expensive', count(*), 1 FROM {_EV} WHERE t >= {START + 20 * DAY} AND {_PURCHASES} AND value > 20)""",
+)
+def operator_counters(spark: SparkSession, d: str) -> DataFrame:
+    where = folder(spark, "t16")
+
+    def run(e: DataFrame) -> DataFrame:
+        chosen = s.counted(s.counted(e, "scan").filter(_PURCHASES), "select")
+        last = s.counted(chosen.filter("value > 20"), "expensive")
+        running = last.writeStream.format("noop").queryName("counted").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+        return s.operator_counters(spark, running)
+
+    return arrive(spark, d, where, run).select("operator", "rows", "batches")

@@ -197,6 +197,27 @@ def counters(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     return spark.createDataFrame([(query.name or str(query.id), k, int(v)) for k, v in found.items()], "stream string, counter string, value long")
 
 
+def counted(df: DataFrame, operator: str) -> DataFrame:
+    """Counts the rows that leave an operator of a stream, by micro-batch; see ``operator_counters``."""
+    return df.observe(f"{_OPERATOR}{operator}", F.count(F.lit(1)).alias("rows"))
+
+
+_OPERATOR = "operator:"
+
+
+def operator_counters(spark: SparkSession, query: StreamingQuery) -> DataFrame:
+    """(operator, rows, batches, rows_per_second) of a stream's ``counted`` operators, over the micro-batches that ``recentProgress`` keeps; the rate is that of the time in which they ran."""
+    rows: dict[str, list[int]] = {}
+    spent = 0.0
+    for p in query.recentProgress:
+        spent += p.batchDuration / 1000
+        for name, metrics in p.observedMetrics.items():
+            if name.startswith(_OPERATOR):
+                rows.setdefault(name.removeprefix(_OPERATOR), []).append(int(metrics["rows"]))
+    found = [(name, sum(n), len(n), sum(n) / spent if spent else None) for name, n in sorted(rows.items())]
+    return spark.createDataFrame(found, "operator string, rows long, batches long, rows_per_second double")
+
+
 class Progress(StreamingQueryListener):
     """Counters of running streams, by stream name: rows in, batches, rows of state (open groups) and late rows dropped."""
 
