@@ -73,7 +73,7 @@ def reached(root: ElementTree.Element, steps: Sequence[str]) -> Iterator[Element
 def xml_nodes(xml: Column, steps: Sequence[str], kind: str = "content", type_: str = "string") -> Column:
     """What a path with closures reaches in an XML string: elements, their tags, or their own text, cast to a type where it can be.
 
-    XML that cannot be read reaches nothing. Spark's XPath has neither closures of tags nor elements, so batches go to Python.
+    XML that cannot be read reaches nothing, nor does XML with a document type, whose entities could grow without bound. Spark's XPath has neither closures of tags nor elements, so batches go to Python.
     """
     from pyspark.sql.pandas.functions import pandas_udf
 
@@ -84,6 +84,8 @@ def xml_nodes(xml: Column, steps: Sequence[str], kind: str = "content", type_: s
         def one(text: str | None) -> list[str] | None:
             if text is None:
                 return None
+            if "<!DOCTYPE" in text:
+                return []
             try:
                 root = ElementTree.fromstring(text)
             except ElementTree.ParseError:

@@ -137,17 +137,26 @@ def heat_map_of_samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query(
-    "f8_person_positions",
-    f"""WITH s AS (SELECT event_id, t, user_id % 40 AS k, (value * 100)::BIGINT AS x, (event_id % 1000) * 7 AS y FROM {_EV}),
+_POSITIONS = f"""WITH s AS (SELECT event_id, t, user_id % 40 AS k, (value * 100)::BIGINT AS x, (event_id % 1000) * 7 AS y FROM {_EV}),
 p AS (SELECT event_id, t, k, x, y, k // 2 AS pid, k % 2 AS side FROM s WHERE k < 34),
 l AS (SELECT *, last_value(CASE WHEN side = 0 THEN x END IGNORE NULLS) OVER w AS x0, last_value(CASE WHEN side = 0 THEN y END IGNORE NULLS) OVER w AS y0,
 last_value(CASE WHEN side = 1 THEN x END IGNORE NULLS) OVER w AS x1, last_value(CASE WHEN side = 1 THEN y END IGNORE NULLS) OVER w AS y1 FROM p
 WINDOW w AS (PARTITION BY pid ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT event_id, pid::INTEGER AS pid, CASE WHEN x0 IS NULL OR x1 IS NULL THEN x ELSE (x0 + x1) // 2 END AS x, CASE WHEN x0 IS NULL OR x1 IS NULL THEN y ELSE (y0 + y1) // 2 END AS y FROM l""",
-)
+SELECT event_id, pid::INTEGER AS pid, CASE WHEN x0 IS NULL OR x1 IS NULL THEN x ELSE (x0 + x1) // 2 END AS x, CASE WHEN x0 IS NULL OR x1 IS NULL THEN y ELSE (y0 + y1) // 2 END AS y FROM l"""
+
+
+@query("f8_person_positions", _POSITIONS)
 def f8(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("user_id") % 40
     sid = F.element_at(F.array(*[F.lit(s) for pair in g.SENSORS for s in pair]), (F.least(k, F.lit(33)) + 1).cast("int"))
     s = events(spark, d).select("event_id", "t", F.when(k < 34, sid).otherwise(-1).alias("sid"), F.round(F.col("value") * 100).cast("long").alias("x"), ((F.col("event_id") % 1000) * 7).alias("y"))
     return g.person_positions(s, "sid", "t", "x", "y", by_day()).select("event_id", "pid", "x", "y")
+
+
+@query("f9_positions_of_columns", f"SELECT event_id, pid, x AS across, y AS along FROM ({_POSITIONS})")
+def f9(spark: SparkSession, d: str) -> DataFrame:
+    """The coordinates are in columns of the caller's choice."""
+    k = F.col("user_id") % 40
+    sid = F.element_at(F.array(*[F.lit(s) for pair in g.SENSORS for s in pair]), (F.least(k, F.lit(33)) + 1).cast("int"))
+    s = events(spark, d).select("event_id", "t", F.when(k < 34, sid).otherwise(-1).alias("sensor"), F.round(F.col("value") * 100).cast("long").alias("across"), ((F.col("event_id") % 1000) * 7).alias("along"))
+    return g.person_positions(s, "sensor", "t", "across", "along", by_day()).select("event_id", "pid", "across", "along")

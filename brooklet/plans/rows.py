@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklet.functions.columns import any_pair, any_value, compare, compare_text, div, interval
-from brooklet.operators import nested, rows
+from brooklet.operators import nested, rows, variants
 from brooklet.plans.common import DAY, HOUR, MINUTE, START, by_arrival, events, folder, query
 from brooklet.session import table
 from brooklet.sources import archive, files, generated
@@ -350,6 +350,15 @@ def u1_closure(spark: SparkSession, d: str) -> DataFrame:
     return nested.unnest(built, nested.xml_nodes(F.col("xml"), ["nation", "group*", "old?", "name"]), "name").select("n_nationkey", "name")
 
 
+@query("u1_unnest_variant", "SELECT p_partkey, name FROM (SELECT p_partkey, unnest([p_name, p_brand, p_type]) AS name FROM part) WHERE name IS NOT NULL")
+def u1_variant(spark: SparkSession, d: str) -> DataFrame:
+    """Names at any depth of groups of a JSON document, without leaving the JVM."""
+    listed = lambda c: F.to_json(F.array(c))
+    document = F.concat(F.lit('{"name":'), listed("p_name"), F.lit(',"group":[{"name":'), listed("p_brand"), F.lit('},{"group":{"old":{"n":1,"name":'), listed("p_type"), F.lit('}}}],"other":{"name":"x"}}'))
+    parsed = table(spark, d, "part").withColumn("v", F.parse_json(document))
+    return nested.unnest(parsed, variants.values(F.col("v"), ["group*", "old?", "name"]), "name").select("p_partkey", "name")
+
+
 @query("u1_unnest_json", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def u1_json(spark: SparkSession, d: str) -> DataFrame:
     parsed = events(spark, d).withColumn("p", F.from_json("props", "k long"))

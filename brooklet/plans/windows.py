@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brooklet.operators import aggregates as a
 from brooklet.operators import windows as w
+from brooklet.operators.templates import Merge, merge
 from brooklet.plans.common import HOUR, MINUTE, START, by_arrival, events, query, rounded
 from brooklet.session import table
 
@@ -158,3 +159,25 @@ def a11_nested(spark: SparkSession, d: str) -> DataFrame:
     left, right = side("c_nationkey < 20 AND c_acctbal >= 5000", F.min(F.lit(None).cast("double"))), side("c_nationkey > 3 AND c_acctbal < 2000", F.min("c_acctbal"))
     merged = a.accumulate_nested(left, right, ["nation"], {"parts": "segment"})
     return merged.select("nation", F.col("whole.n").alias("whole"), F.col("whole.low").alias("lowest"), F.inline("parts"))
+
+
+@query(
+    "a11_merge_template",
+    """WITH l AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, c_custkey AS custkey, c_acctbal AS bal, c_name AS name FROM customer WHERE c_acctbal >= 2000),
+r AS (SELECT c_nationkey AS nation, c_mktsegment AS segment, c_custkey AS custkey, c_acctbal AS bal, upper(c_name) AS name FROM customer WHERE c_acctbal < 6000 AND c_nationkey > 3),
+ls AS (SELECT nation, segment, count(*)::BIGINT AS n, max(bal) AS best FROM l GROUP BY 1, 2), rs AS (SELECT nation, segment, count(*)::BIGINT AS n, max(bal) AS best FROM r GROUP BY 1, 2)
+SELECT nation, segment, coalesce(ls.n + rs.n, ls.n, rs.n) AS n, greatest(ls.best, rs.best) AS best, custkey, coalesce(r.name, l.name) AS name, round(coalesce(l.bal + r.bal, l.bal, r.bal), 2) AS bal
+FROM l FULL JOIN r USING (nation, segment, custkey) LEFT JOIN ls USING (nation, segment) LEFT JOIN rs USING (nation, segment) WHERE rs.n IS NOT NULL""",
+)
+def a11_template(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of nations, and people of segments: numbers are added up, names come from the right, segments without one on the right go."""
+
+    def side(condition: str, name: Column) -> DataFrame:
+        held = table(spark, d, "customer").filter(condition).select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_custkey").alias("custkey"), name.alias("name"), F.col("c_acctbal").alias("bal")).alias("person"))
+        parts = held.groupBy("nation", "segment").agg(F.count("*").alias("n"), F.max("person.bal").alias("best"), F.collect_list("person").alias("people"))
+        return parts.groupBy("nation").agg(F.collect_list(F.struct("segment", "n", "best", "people")).alias("segments"))
+
+    people = Merge(type="outer", key=("custkey",), children={"custkey": Merge(), "name": Merge(side="right"), "bal": Merge("sum")})
+    segments = Merge(type="right", key=("segment",), children={"segment": Merge(), "n": Merge("sum", type="outer"), "best": Merge("max", type="outer"), "people": people})
+    merged = merge(side("c_acctbal >= 2000", F.col("c_name")), side("c_acctbal < 6000 AND c_nationkey > 3", F.upper("c_name")), ["nation"], Merge(children={"segments": segments}))
+    return merged.select("nation", F.inline("segments")).select("nation", "segment", "n", "best", F.inline("people")).withColumn("bal", F.round("bal", 2))
