@@ -53,32 +53,32 @@ def _draw(n: str, salt: int, choices: int) -> str:
 
 @query(
     "s5_auction_generator",
-    f"""WITH b AS (SELECT id, floor(pow({_draw("id", 5, 10000)} / 10000.0, 3) * 2050)::BIGINT AS auction_id, {_draw("id", 7, 500)} + 1 AS bid FROM (SELECT unnest(range(20000)) AS id)),
-a AS (SELECT id AS auction_id, {_draw("id", 2, 20)} AS category FROM (SELECT unnest(range(2050)) AS id))
+    f"""WITH b AS (SELECT id, floor(pow({_draw("id", 5, 10000)} / 10000.0, 3) * (SELECT 50 + count(*) FROM customer))::BIGINT AS auction_id, {_draw("id", 7, 500)} + 1 AS bid FROM (SELECT unnest(range((SELECT 10 * count(*) FROM customer))) AS id)),
+a AS (SELECT id AS auction_id, {_draw("id", 2, 20)} AS category FROM (SELECT unnest(range((SELECT 50 + count(*) FROM customer))) AS id))
 SELECT category::BIGINT AS category, count(*)::BIGINT AS bids, max(bid)::BIGINT AS highest FROM b JOIN a USING (auction_id) GROUP BY category""",
 )
 def s5_auction(spark: SparkSession, d: str) -> DataFrame:
-    made = generated.auction(spark, 2000)
+    made = generated.auction(spark, table(spark, d, "customer").count())  # a call for each customer
     return made["bid"].join(made["open_auction"], "auction_id").groupBy("category").agg(F.count("*").alias("bids"), F.max("bid").alias("highest"))
 
 
 @query(
     "s5_traffic_generator",
     f"""SELECT (id % 360) // 40 AS segment_id, count(*)::BIGINT AS n, sum(CASE WHEN {_draw("id", 11, 100)} < 6 THEN 0 ELSE {_draw("id", 12, 60)} + 5 END)::BIGINT AS speed, sum({_draw("id", 13, 10)})::BIGINT AS volume
-FROM (SELECT unnest(range(36000)) AS id) GROUP BY 1""",
+FROM (SELECT unnest(range((SELECT count(*) // 100 * 360 FROM events))) AS id) GROUP BY 1""",
 )
 def s5_traffic(spark: SparkSession, d: str) -> DataFrame:
-    return generated.traffic(spark, reports=100).groupBy("segment_id").agg(F.count("*").alias("n"), F.sum("speed").alias("speed"), F.sum("volume").alias("volume"))
+    return generated.traffic(spark, reports=table(spark, d, "events").count() // 100).groupBy("segment_id").agg(F.count("*").alias("n"), F.sum("speed").alias("speed"), F.sum("volume").alias("volume"))
 
 
-@query("s5_temperature_generator", f"SELECT id % 10 AS station, max({_draw('id', 21, 400)} - 100)::BIGINT AS highest FROM (SELECT unnest(range(5000)) AS id) GROUP BY 1")
+@query("s5_temperature_generator", f"SELECT id % 10 AS station, max({_draw('id', 21, 400)} - 100)::BIGINT AS highest FROM (SELECT unnest(range((SELECT count(*) // 2 FROM events))) AS id) GROUP BY 1")
 def s5_temperature(spark: SparkSession, d: str) -> DataFrame:
-    return generated.temperature(spark, 5000).groupBy("station").agg(F.max("tenths").alias("highest"))
+    return generated.temperature(spark, table(spark, d, "events").count() // 2).groupBy("station").agg(F.max("tenths").alias("highest"))
 
 
-@query("s5_packet_generator", f"SELECT CASE {_draw('id', 33, 3)} WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' ELSE 'icmp' END AS protocol, count(*)::BIGINT AS n, sum({_draw('id', 34, 1460)} + 40)::BIGINT AS bytes FROM (SELECT unnest(range(20000)) AS id) GROUP BY 1")
+@query("s5_packet_generator", f"SELECT CASE {_draw('id', 33, 3)} WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' ELSE 'icmp' END AS protocol, count(*)::BIGINT AS n, sum({_draw('id', 34, 1460)} + 40)::BIGINT AS bytes FROM (SELECT unnest(range((SELECT 2 * count(*) FROM events))) AS id) GROUP BY 1")
 def s5_packets(spark: SparkSession, d: str) -> DataFrame:
-    return generated.packets(spark, 20000).groupBy("protocol").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return generated.packets(spark, 2 * table(spark, d, "events").count()).groupBy("protocol").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 @query("s5_subfile_generator", "SELECT n, r_regionkey, r_name FROM (SELECT unnest(range(23)) AS n) JOIN region ON r_regionkey = n % 5")
@@ -95,10 +95,10 @@ def _line(salt: int) -> str:
 @query(
     "s5_declared_generator",
     f"""SELECT n, '<order><id>' || {_draw("n", 42, 1000)} || '</id>' || {_line(45)} || CASE WHEN {_draw("n", 43, 2)} > 0 THEN {_line(49)} ELSE '' END
-|| CASE WHEN {_draw("n", 52, 2)} > 0 THEN '<note>' || {_draw("n", 53, 1000)} || '</note>' ELSE '' END || '</order>' AS xml FROM (SELECT unnest(range(500)) AS n)""",
+|| CASE WHEN {_draw("n", 52, 2)} > 0 THEN '<note>' || {_draw("n", 53, 1000)} || '</note>' ELSE '' END || '</order>' AS xml FROM (SELECT unnest(range((SELECT count(*) // 20 FROM events))) AS n)""",
 )
 def s5_declared(spark: SparkSession, d: str) -> DataFrame:
-    return generated.declared_documents(spark, 500, "order", {"order": ["id", "line+", "note?"], "line": ["part", "count?"]}, most=2)
+    return generated.declared_documents(spark, table(spark, d, "events").count() // 20, "order", {"order": ["id", "line+", "note?"], "line": ["part", "count?"]}, most=2)
 
 
 def _similar(kind: str, step: int, days: int, condition: str = "TRUE") -> str:
@@ -137,9 +137,12 @@ def s6_weather(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("for_stretch").agg(F.count("*").alias("n"), F.round(F.sum("value") + 1e-9, 4).alias("total"))
 
 
-@query("s8_constant_scan", "SELECT * FROM (VALUES (1, 'a', 1.5::DOUBLE), (2, 'b', 2.5::DOUBLE)) v(id, name, x)")
+@query("s8_constant_scan", f"SELECT id, sum(value * x)::DOUBLE AS weighted, count(*)::BIGINT AS n FROM (SELECT id, x, (value * 100)::BIGINT AS value FROM {_EV} JOIN (VALUES (1, 'click', 2), (2, 'view', 3)) v(id, name, x) ON name = event_type) GROUP BY 1")
 def s8(spark: SparkSession, d: str) -> DataFrame:
-    return files.constant(spark, [(1, "a", 1.5), (2, "b", 2.5)], "id name x", "int string double")
+    """Literal rows joined to the events."""
+    held = files.constant(spark, [(1, "click", 2), (2, "view", 3)], "id name x", "int string int")
+    met = events(spark, d).join(F.broadcast(held), F.col("name") == F.col("event_type"))  # two rows
+    return met.groupBy("id").agg(F.sum(F.round(F.col("value") * 100).cast("long") * F.col("x")).cast("double").alias("weighted"), F.count("*").alias("n"))
 
 
 @query("s9_documents", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey, r_name FROM region")
@@ -161,21 +164,38 @@ def s9_resource(spark: SparkSession, d: str) -> DataFrame:
     return files.resource(spark, "some_nations", where)
 
 
-@query("s10_timer_relative", f"SELECT x - x % {MINUTE} AS tick FROM (SELECT k * {90 * MINUTE} - 5000000 AS x FROM (SELECT unnest(range(20)) AS k))")
+@query(
+    "s10_timer_relative",
+    f"""WITH m AS (SELECT max(t) AS m FROM {_EV}), k AS (SELECT unnest(range((SELECT (m - {START} + {90 * MINUTE // 60} - 1) // {90 * MINUTE // 60} FROM m))) AS k)
+SELECT x - x % {MINUTE} AS tick FROM (SELECT k * {90 * MINUTE} - 5000000 AS x FROM k)""",
+)
 def s10_relative(spark: SparkSession, d: str) -> DataFrame:
-    return ticks(spark, START, START + 30 * MINUTE, interval("1 hour 30 minutes") * 1000, relative=START, slack=interval("5 seconds") * 1000, granularity=interval("1 minute") * 1000, warp=60)
+    """Ticks up to the last event."""
+    end = events(spark, d).agg(F.max("t")).first()[0]
+    return ticks(spark, START, end, interval("1 hour 30 minutes") * 1000, relative=START, slack=interval("5 seconds") * 1000, granularity=interval("1 minute") * 1000, warp=60)
 
 
-@query("s10_timer", f"SELECT {START} + k * {90 * MINUTE} AS tick FROM (SELECT unnest(range(16)) AS k)")
+@query(
+    "s10_timer",
+    f"""WITH k AS (SELECT {START} + unnest(range((SELECT (max(t) - {START}) // {90 * MINUTE} + 1 FROM {_EV}))) * {90 * MINUTE} AS tick)
+SELECT tick, (SELECT count(*) FROM {_EV} WHERE t >= tick AND t < tick + {90 * MINUTE})::BIGINT AS n FROM k""",
+)
 def s10(spark: SparkSession, d: str) -> DataFrame:
-    return ticks(spark, START, START + DAY, interval("1 hour 30 minutes") * 1000)
+    """Ticks up to the last event, and the events from each to the next."""
+    e, period = events(spark, d), interval("1 hour 30 minutes") * 1000
+    n = e.groupBy((F.lit(START) + div(F.col("t") - START, period) * period).alias("tick")).agg(F.count("*").alias("n"))
+    return ticks(spark, START, e.agg(F.max("t")).first()[0] + 1, period).join(n, "tick", "left").select("tick", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("s13_tunables", "SELECT * FROM (VALUES ('brooklet.page.rows', '30'), ('brooklet.stream.pages', '5'), ('brooklet.unset', NULL)) v(name, value)")
+@query("s13_tunables", f"SELECT name, value, CASE WHEN value IS NOT NULL THEN ((SELECT count(*) FROM {_EV}) + value::BIGINT - 1) // value::BIGINT END AS pages FROM (VALUES ('brooklet.page.rows', '30'), ('brooklet.stream.pages', '5'), ('brooklet.unset', NULL)) v(name, value)")
 def s13(spark: SparkSession, d: str) -> DataFrame:
+    """Settings, and how many pages of so many rows the events are."""
     spark.conf.set("brooklet.page.rows", "30")
     spark.conf.set("brooklet.stream.pages", "5")
-    return files.tunables(spark, ["brooklet.page.rows", "brooklet.stream.pages", "brooklet.unset"])
+    held = files.tunables(spark, ["brooklet.page.rows", "brooklet.stream.pages", "brooklet.unset"])
+    rows_ = events(spark, d).agg(F.count("*").alias("n"))  # one row
+    of = F.col("value").cast("long")
+    return held.crossJoin(F.broadcast(rows_)).select("name", "value", div(F.col("n") + of - 1, of).alias("pages"))
 
 
 @query("k1_store", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
@@ -409,11 +429,18 @@ def size(values: pd.Series) -> int:
     return int(values.count())
 
 
-def euro(dollars: pd.Series) -> pd.Series:
-    return dollars * 0.5
+#: What a price is worth: given prices, straight lines between them.
+PRICES, WORTH = (0.0, 1000.0, 10_000.0, 100_000.0, 1_000_000.0), (0.0, 50.0, 400.0, 2000.0, 5000.0)
+
+
+def worth(prices: pd.Series) -> pd.Series:
+    return pd.Series(np.interp(prices, PRICES, WORTH))
+
+
+_BETWEEN = " ".join(f"WHEN o_totalprice < {b} THEN {c} + (o_totalprice - {a}) * {e - c} / {b - a}" for a, b, c, e in zip(PRICES[:-1], PRICES[1:], WORTH[:-1], WORTH[1:], strict=True))
 
 
-@query("u7_user_function", "SELECT o_orderkey, o_totalprice * 0.5 AS euro FROM orders")
+@query("u7_user_function", f"SELECT o_orderkey, round(CASE {_BETWEEN} ELSE {WORTH[-1]} END + 1e-9, 6) AS worth FROM orders")
 def u7(spark: SparkSession, d: str) -> DataFrame:
-    convert = F.pandas_udf(euro, "double")
-    return table(spark, d, "orders").select("o_orderkey", convert("o_totalprice").alias("euro"))
+    convert = F.pandas_udf(worth, "double")
+    return table(spark, d, "orders").select("o_orderkey", F.round(convert("o_totalprice") + 1e-9, 6).alias("worth"))

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from brooklet.functions.columns import div
 
 DAY = 86_400_000_000
+#: Stretches asked for that are sent to all tasks, so that a stretch with many rows isn't moved to one; beyond, rows move by stretch.
+FEW = 100_000
+
+
+def _asked(archive: DataFrame, t: str, stretch: int, wanted: DataFrame) -> DataFrame:
+    """The archive's rows of the ``wanted`` stretches."""
+    few = wanted.limit(FEW + 1).count() <= FEW
+    return archive.withColumn("_s", div(t, stretch)).join(F.broadcast(wanted) if few else wanted, "_s").drop("_s")
 
 
 def database(spark: SparkSession, url: str, query: str, column: str, lower: int, upper: int, parts: int, **options: str) -> DataFrame:
@@ -23,7 +31,7 @@ def similar_days(stream: DataFrame, archive: DataFrame, t: str, kind: str, days:
     up, in stretches. Times are microseconds. A row comes once for each stretch of the stream that asks for it (``for_stretch``).
     """
     wanted = _earlier(stream, t, kind, days, offset, stretch)
-    return archive.withColumn("_s", div(t, stretch)).join(wanted, "_s").drop("_s")
+    return _asked(archive, t, stretch, wanted)
 
 
 def _earlier(stream: DataFrame, t: str, kind: str, days: int, offset: int, stretch: int) -> DataFrame:
@@ -52,4 +60,4 @@ def similar_conditions(stream: DataFrame, archive: DataFrame, conditions: DataFr
     # No stretch has more candidates than ``look_back``.
     rank = F.row_number().over(Window.partitionBy("for_stretch").orderBy(near, F.desc("_s")))
     wanted = held.filter(F.col("_far") <= tolerance).withColumn("_rank", rank).filter(F.col("_rank") <= days).select("for_stretch", "_s")
-    return archive.withColumn("_s", div(t, stretch)).join(wanted, "_s").drop("_s")
+    return _asked(archive, t, stretch, wanted)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,13 +105,16 @@ def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size
             close()
             state.remove()
         else:
-            for at, on in _in_time(parts, t, seen)[[t, predicate]].itertuples(index=False):
-                seen = at
-                if on:
-                    first = at if length == 0 else first
-                    last, length = at, length + 1
+            rows = _in_time(parts, t, seen)
+            times, held = rows[t].to_numpy(), rows[predicate].fillna(0).to_numpy() != 0
+            edges = np.flatnonzero(np.diff(held)) + 1
+            for a, b in zip([0, *edges], [*edges, len(held)], strict=True) if len(held) else ():  # stretches of rows alike
+                if held[a]:
+                    first = int(times[a]) if length == 0 else first
+                    last, length = int(times[b - 1]), length + int(b - a)
                 elif length:
                     close()
+            seen = int(times[-1]) if len(times) else seen
             if fragments and length >= size and (not shown or last > first):
                 n += not shown
                 out.append((key[0], n, first, last, length))
@@ -173,10 +178,13 @@ def running_max(stream: DataFrame, group: str, t: str, value: str, idle: int | N
             state.remove()
         else:
             rows = _in_time(parts, t, seen)
-            for v in rows[value].dropna():
-                if high is None or v > high:
-                    out.append((key[0], high, v))
-                    high = v
+            values = rows[value].dropna().to_numpy(dtype=float)
+            highs = np.maximum.accumulate(values if high is None else np.concatenate([[high], values]))
+            before = highs[:-1] if high is not None else np.concatenate([[np.nan], highs[:-1]]) if len(highs) else highs
+            after = highs if high is None else highs[1:]
+            rose = ~(after <= before)
+            out = [(key[0], None if math.isnan(o) else o, n) for o, n in zip(before[rose].tolist(), after[rose].tolist(), strict=True)]
+            high = float(highs[-1]) if len(highs) else high
             if len(rows):
                 seen = int(rows[t].iloc[-1])
                 state.update((None if high is None else float(high), seen))
