@@ -14,8 +14,8 @@ A shard is one file with the documents of a key range in ascending order::
 
 A lookup reads the footer, asks the filter, searches the index by bisection and unpacks one block.
 
-Nulls and odd rows: a null text is an empty one; repeated document ids stay, in the order of their texts; other columns are
-ignored; an empty table gives no shard and no row. A task that runs twice writes two files; the manifest, which Spark
+Nulls and odd rows: a null text is an empty one; repeated document ids stay, in the order of a hash of their texts, and
+many rows of one id or of none are dealt over several shards; other columns are ignored; an empty table gives no shard and no row. A task that runs twice writes two files; the manifest, which Spark
 commits once, names the file that counts.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -39,6 +40,8 @@ from brooklet.llm._text import batches, gather, mix
 from brooklet.session import shared_dir, table
 
 BLOCK = 1 << 18
+#: Bytes of text of a shard, about; keys that the filter takes in at once.
+SHARD, AT_ONCE = 1 << 28, 1 << 16
 BITS, PROBES = 10, 7
 MAGIC = b"BRKSST01"
 _FOOTER = struct.Struct("<8s4sBQQQQQQQ")
@@ -72,7 +75,7 @@ class Writer:
 
     def __init__(self, out, width: int):
         self.out, self.width, self.at = out, width, 0
-        self.block, self.index, self.keys = bytearray(), [], []
+        self.block, self.index, self.keys = bytearray(), [], array("Q")  # eight bytes a key, for the filter
         self.before, self.entries, self.values, self.total = b"", 0, 0, 0
 
     def add(self, key: bytes, values: np.ndarray) -> None:
@@ -97,11 +100,13 @@ class Writer:
 
     def close(self) -> tuple[int, int]:
         self._flush()
-        keys = np.array(self.keys, dtype=np.uint64)
+        keys = np.frombuffer(self.keys, dtype=np.uint64)
         bits = max(64, -(-BITS * len(keys) // 8) * 8)
-        bloom = np.zeros(bits, dtype=bool)
-        bloom[_probes(keys, bits).ravel()] = True
-        index, bloom = b"".join(self.index), np.packbits(bloom, bitorder="little").tobytes()
+        filter_ = np.zeros(bits // 8, dtype=np.uint8)
+        for i in range(0, len(keys), AT_ONCE):
+            where = _probes(keys[i : i + AT_ONCE], bits).ravel().astype(np.int64)
+            np.bitwise_or.at(filter_, where >> 3, np.left_shift(1, where & 7).astype(np.uint8))
+        index, bloom = b"".join(self.index), filter_.tobytes()
         self.out.write(index + bloom)
         self.out.write(_FOOTER.pack(MAGIC, b"zstd", self.width, self.at, len(index), self.at + len(index), len(bloom), len(keys), self.total, zlib.crc32(index)))
         self.out.close()
@@ -167,10 +172,15 @@ class Reader:
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | None = None, end_id: int = 0) -> DataFrame:
     """Encodes ``text`` and writes one shard for each range of ``doc_id``; returns the committed manifest.
 
+    There are as many shards as the texts' bytes ask for (``SHARD``), but no fewer than partitions of a shuffle.
+
     One shuffle moves the texts to their ranges; the ids are made where they are written.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if shards is None:
+        size = kept.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, to, part = encoder(tokenizer), None, TaskContext.get().partitionId()
@@ -193,8 +203,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, shards: int | Non
             row = {"shard": part, "path": path, "n_documents": n_documents, "n_values": n_values, "nulls": nulls, "min_id": least, "max_id": most}
             yield pa.RecordBatch.from_pylist([row], schema=_MANIFEST)
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = kept.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # An id that many rows have, or none, is dealt over ranges of its texts' hashes.
+    ranged = kept.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     ranged.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -208,13 +218,16 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for path, start in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-                keys, counts, sums = [], [], []
-                for key, values in Reader(_store.reader(path)):
-                    keys.append(id_of(key))
-                    counts.append(len(values))
-                    sums.append(zlib.crc32(values.astype("<u4").tobytes()))
-                n = np.array(counts, dtype=np.int64)
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                shard = Reader(_store.reader(path))
+                for i in range(len(shard.blocks)):
+                    keys, counts, sums = [], [], []
+                    for key, values in shard.block(i):
+                        keys.append(id_of(key))
+                        counts.append(len(values))
+                        sums.append(zlib.crc32(values.astype("<u4").tobytes()))
+                    n = np.array(counts, dtype=np.int64)
+                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    start += int(n.sum())
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("shard", "path", F.coalesce(F.sum("n_values").over(before), F.lit(0)).alias("start"))

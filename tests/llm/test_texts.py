@@ -44,6 +44,30 @@ def test_shard_of_odd_texts_and_lookup(llm, odd_docs, odd_texts, library, tmp_pa
     assert op4_sstable.read_shards(none).count() == 0
 
 
+def test_rows_of_one_id_or_of_none_are_dealt_over_shards(llm, tmp_path):
+    one = llm.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(-7)).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    manifest = op4_sstable.write_shards(one, PATH, f"{tmp_path}/a", shards=8)
+    sizes = [r["n_documents"] for r in manifest.collect()]
+    assert len(sizes) == 8 and max(sizes) < 8000 and sum(sizes) == 30_000
+    assert len(op4_sstable.lookup(manifest, -7)) == len(op4_sstable.lookup(manifest, None)) == 10_000
+    found = sorted(op4_sstable.read_shards(manifest).select("start", "n_tokens").collect())
+    assert [r["start"] for r in found] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in found])[:-1]]).tolist()
+
+
+def test_a_shard_for_so_many_bytes_and_a_batch_for_each_block(llm, monkeypatch, tmp_path):
+    monkeypatch.setattr(op4_sstable, "SHARD", 1 << 14)
+    docs = llm.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and "), F.col("id"), F.repeat(F.lit(" more of them"), 10)).alias("text"))
+    manifest = op4_sstable.write_shards(docs, PATH, f"{tmp_path}/a")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert manifest.count() >= 0.9 * (size // (1 << 14))
+    monkeypatch.setattr(op4_sstable, "BLOCK", 1 << 10)
+    monkeypatch.setattr(op4_sstable, "AT_ONCE", 3)
+    whole = op4_sstable.write_shards(docs.coalesce(1), PATH, f"{tmp_path}/b", shards=1)
+    shard = op4_sstable.Reader(op4_sstable._store.reader(whole.first()["path"]))
+    assert shard.may_hold(op4_sstable.key_of(5)) and sum(shard.may_hold(op4_sstable.key_of(k)) for k in range(10_000, 12_000)) < 100
+    assert op4_sstable.read_shards(whole).count() == 2000
+
+
 def test_added_tokens_in_texts(llm, library):
     mark = "<|endoftext|>"
     texts = ["", mark, f"a  {mark}  b{mark}{mark}", f"it{mark}'s", f"{mark[:5]}{mark}{mark[5:]} x", "no <| mark |> here", f"\n\n{mark}\n \n", "<|endof", "text|> split over two"]
