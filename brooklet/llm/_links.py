@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from brooklet.session import checkpointed
 
 BLOCK = 256
+#: Bytes of payloads of a block, about, where they are known.
+BLOCK_BYTES = 1 << 24
 HEAVY = 1000
 #: Rows of two or three numbers that make a task of their own; fewer tasks than the shuffle has partitions write fewer small files.
 TASK_ROWS = 1 << 18
@@ -123,12 +125,15 @@ def _unit(bucket: int, rows: list[tuple[int, int, int, np.ndarray, bytes]], veri
 def links(buckets: DataFrame, payloads: DataFrame, verify: Verify, block: int = BLOCK) -> DataFrame:
     """(node, links, component) of the rows that have a verified link.
 
-    ``buckets``: distinct (bucket, node); ``payloads``: (node, weight, payload). The pairs that share a bucket are verified.
+    ``buckets``: distinct (bucket, node), and ``bytes`` of the node's payload where blocks are to be bounded by them; ``payloads``: (node, weight, payload). The pairs that share a bucket are verified.
     ``links`` sums the weights of the rows linked. Two of n sets of members are taken for one with odds of about n^2 / 2^65.
     """
     mark = F.bit_xor(F.xxhash64("node"))
-    size = buckets.groupBy("bucket").agg(F.count("*").alias("n"), mark.alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    size = checkpointed(size.groupBy("n", "x", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("n") / block).cast("int").alias("k")))
+    heavy = F.sum("bytes") if "bytes" in buckets.columns else F.lit(0)
+    size = buckets.groupBy("bucket").agg(F.count("*").alias("n"), mark.alias("x"), F.min("node").alias("lo"), F.max("node").alias("hi"), heavy.alias("bytes")).filter("lo < hi")
+    k = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES))).cast("int")
+    size = checkpointed(size.groupBy("n", "x", "lo", "hi", "bytes").agg(F.min("bucket").alias("bucket")).select("bucket", "n", k.alias("k")))
+    buckets = buckets.drop("bytes")
     total = size.agg(F.sum("n")).first()[0] or 0
     # A node is in no more buckets than there are tables.
     mine = met(buckets, size, "bucket", total).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("bucket", "k"))).alias("mine"))

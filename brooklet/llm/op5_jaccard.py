@@ -98,7 +98,7 @@ def signatures(values: np.ndarray, edges: np.ndarray, bands: int, rows: int, see
 
 
 def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, bands, sketch) of each document; key and sketch are null without words."""
+    """(doc_id, key, bands, sketch, grams) of each document; key and sketch are null without words, ``grams`` counts the set."""
 
     def sketch(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -112,9 +112,9 @@ def sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 np.cumsum(full * bands, out=at[1:])
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(sign.view(np.int64).ravel()))
                 packed = pa.array([next(own).tobytes() if x else None for x in full], pa.binary())
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(key.view(np.int64), mask=~full), lists, packed], names=["doc_id", "key", "bands", "sketch"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(key.view(np.int64), mask=~full), lists, packed, pa.array(np.diff(edges), pa.int64())], names=["doc_id", "key", "bands", "sketch", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, key long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, key long, bands array<long>, sketch binary, grams long")
 
 
 def akin(threshold: float):
@@ -184,12 +184,13 @@ def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int
     """doc_id, key, class_id, n_links of each document."""
     sketched = checkpointed(sketches(docs, n, n_bands(threshold, rows, recall), rows))
     some = sketched.filter(F.col("key").isNotNull())
-    sets = checkpointed(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.min("sketch").alias("sketch")))
+    sets = checkpointed(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"), F.min("sketch").alias("sketch"), (8 * F.min("grams")).alias("bytes")))
     # Copies have the same bands: partial aggregation drops them before the shuffle.
     buckets = some.select(F.col("key").alias("node"), F.explode("bands").alias("bucket")).groupBy("bucket", "node").agg(F.count("*").alias("c")).select("bucket", "node")
     groups = links(buckets, sets.select(F.col("key").alias("node"), "weight", F.col("sketch").alias("payload")), akin(threshold)).select("node", F.col("component").alias("bucket"))
     groups = checkpointed(groups)
     wanted = groups.select(F.col("node").alias("key")).join(sets, "key").select("doc_id", F.col("key").alias("node"), "weight")
+    groups = groups.join(sets.select(F.col("key").alias("node"), "bytes"), "node")
     linked = links(groups, _sets(docs, wanted, n), similar(threshold))
     nodes = sets.join(linked.withColumnRenamed("node", "key"), "key", "left")
     nodes = nodes.select("key", "doc_id", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))

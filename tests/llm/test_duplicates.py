@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brooklet.llm import _links, op5_jaccard, op6_embeddings, registry
 from brooklet.llm._links import components
@@ -77,6 +78,21 @@ def test_families_of_several_blocks(llm, odd_texts, monkeypatch):
     assert found == _brute([(i, _set(t)) for i, t in rows], _near)
 
 
+def test_blocks_are_bounded_by_bytes(llm, monkeypatch):
+    monkeypatch.setattr(_links, "BLOCK_BYTES", 40_000)
+
+    def verify(payloads):
+        if sum(map(len, payloads)) > 200_000:  # two blocks of four on average, by hash
+            raise MemoryError("a unit is too large")
+        return np.ones((len(payloads), len(payloads)), dtype=bool)
+
+    nodes = llm.range(60).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("weight"), F.repeat(F.lit("x"), 10_000).cast("binary").alias("payload"))
+    buckets = nodes.select(F.lit(1).cast("long").alias("bucket"), "node", F.octet_length("payload").cast("long").alias("bytes"))
+    assert {r["links"] for r in _links.links(buckets, nodes, verify).collect()} == {59}
+    with pytest.raises(Exception, match="a unit is too large"):
+        _links.links(buckets.drop("bytes"), nodes, verify).collect()
+
+
 def test_one_of_each(llm, odd_docs, odd_texts):
     kept = op5_jaccard.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
