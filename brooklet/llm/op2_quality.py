@@ -35,8 +35,8 @@ from brooklet.session import table
 POSITIVES, UNLABELLED = 4000, 8000
 THRESHOLD = 0.7
 STEPS, RATE, RIDGE = 400, 0.05, 1e-4
-#: Share of positives among the high scores by which the prior is read off.
-LEAST_TAIL = 0.05
+#: Share of the positives that a score must be reached by for the prior to be read off at it; random splits that it is the mean of.
+LEAST_TAIL, SPLITS = 0.5, 3
 
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -125,25 +125,26 @@ def _descend(x: np.ndarray, slope, steps: int = STEPS) -> tuple[np.ndarray, floa
     return w, float(b)
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among unlabelled rows, from two-fold scores of positive against unlabelled."""
-    x, y = np.concatenate([p, u]), np.concatenate([np.ones(len(p)), np.zeros(len(u))])
-    weight = np.where(y == 1, 0.5 / max(len(p), 1), 0.5 / max(len(u), 1))
-    fold = np.concatenate([np.arange(len(p)) % 2, np.arange(len(u)) % 2])
-    found = []
-    for k in (0, 1):
-        on, off = fold == k, fold != k
-        w, b = _descend(x[on], lambda z, on=on: 2 * weight[on] * (_sigmoid(z) - y[on]), 150)
-        z = x[off] @ w + b
-        high = np.sort(z[y[off] == 1])[::-1]
-        other = np.sort(z[y[off] == 0])
-        share = np.arange(1, len(high) + 1) / max(len(high), 1)
-        above = 1 - np.searchsorted(other, high, "left") / max(len(other), 1)
-        # The bound counts a tail's sampling error in, so that a thin tail isn't taken at its luckiest.
-        slack = np.sqrt(1 / np.maximum(len(high) * share, 1) + 1 / np.maximum(len(other) * above, 1))
-        ok = share >= LEAST_TAIL
-        found.append(float(np.min((above * (1 + slack) / share)[ok])) if ok.any() else 1.0)
-    return float(np.clip(np.mean(found), 0.02, 0.98))
+def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 2) -> float:
+    """Share of positives among unlabelled rows, from two-fold scores of positive against unlabelled.
+
+    Above any score the share of unlabelled rows is at least the prior times that of the positives; the score at which that bound is least
+    tells the most. It is looked for among scores that at least ``LEAST_TAIL`` of the positives reach, since a thin tail would be taken at its luckiest, and
+    the mean is taken over ``SPLITS`` random splits.
+    """
+    rng, found = np.random.default_rng(seed), []
+    for _ in range(SPLITS if len(p) > 1 and len(u) > 1 else 0):
+        half_p, half_u = rng.permutation(len(p)) % 2, rng.permutation(len(u)) % 2
+        for k in (0, 1):
+            x, n_p = np.concatenate([p[half_p == k], u[half_u == k]]), int((half_p == k).sum())
+            n_u = len(x) - n_p
+            y, weight = np.arange(len(x)) < n_p, np.where(np.arange(len(x)) < n_p, 0.5 / n_p, 0.5 / n_u)
+            w, b = _descend(x, lambda z, y=y, weight=weight: 2 * weight * (_sigmoid(z) - y), 150)
+            high, other = np.sort(p[half_p != k] @ w + b)[::-1], np.sort(u[half_u != k] @ w + b)
+            share = np.arange(1, len(high) + 1) / len(high)
+            above = 1 - np.searchsorted(other, high, "left") / len(other)
+            found.append(float(np.min((above / share)[share >= LEAST_TAIL])))
+    return float(np.clip(np.mean(found), 0.02, 0.98)) if found else 0.5
 
 
 def pu_risk(z: np.ndarray, n_p: int, prior: float) -> tuple[float, np.ndarray]:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from brooklet.llm import op2_quality, op3_urls, op8_toxicity
+from brooklet.llm._text import batches
 from brooklet.session import table
 from tests.llm.conftest import SF
 
@@ -229,3 +230,32 @@ def test_no_pages(llm):
     pages = llm.createDataFrame([], "page_id long, url string")
     model = op3_urls.train(pages.selectExpr("url AS host", "url AS path"))
     assert op3_urls.judge(pages, model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def learnt(llm):
+    """Labels, features and folds of the larger table for the quality classifier; its fold 1 is left out of the fits here."""
+    where = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in table(llm, where, "labels").collect()}
+    docs = table(llm, where, "documents").select("doc_id", "text").toArrow()
+    x = np.concatenate([op2_quality.features(data, off) for _, _, data, off in batches(docs.column("text").combine_chunks())])
+    ids = docs.column("doc_id").to_pylist()
+    return x, np.array([zlib.crc32(str(i).encode()) % 4 for i in ids]), np.array([-1 if labels.get(i) is None else labels[i] for i in ids])
+
+
+def test_prior_and_recall_of_each_class_in_any_order(learnt):
+    x, fold, y = learnt
+    train, judged = np.isin(fold, (0, 3)), fold == 1
+    share = (y[train] == 1).sum() / (y[train] >= 0).sum()
+    for order in range(10):
+        rng = np.random.default_rng(order)
+        p, u = (part[rng.permutation(len(part))] for part in (x[train & (y == 1)], x[train]))
+        if order < 3:
+            model = op2_quality.fit(np.concatenate([p, u]).astype(np.float32), len(p))
+            good = op2_quality._sigmoid(x[judged] @ model.weights + model.bias) >= op2_quality.THRESHOLD
+            assert np.mean(~good[y[judged] == 0]) >= 0.95 and np.mean(good[y[judged] == 1]) >= 0.99
+            prior = model.prior
+        else:
+            mean, scale = u.mean(axis=0), u.std(axis=0) + 0.02
+            prior = op2_quality.estimate_prior((p - mean) / scale, (u - mean) / scale)
+        assert abs(prior - share) < 0.02
