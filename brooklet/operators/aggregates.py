@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brooklet.operators.templates import Merge, merge
 from brooklet.operators.ordered import last_rows, running_all
 
 _KINDS = {"count": F.count, "sum": F.sum, "average": F.avg, "max": F.max, "min": F.min, "variance": F.var_pop}
@@ -80,35 +81,26 @@ def accumulate(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return out.drop(*[f"_r_{c}" for c in shared])
 
 
-def _merged(left: Column, right: Column, kind: T.DataType, keys: dict[str, str], at: str) -> Column:
-    """Two values of one type joined; ``left`` is the dominant one."""
+def _template(kind: T.DataType, keys: dict[str, str], at: str) -> Merge:
+    """How two values of one type are joined, whichever side has them."""
     if isinstance(kind, T.StructType):
-        fields = [_merged(left[f.name], right[f.name], f.dataType, keys, f"{at}.{f.name}").alias(f.name) for f in kind]
-        return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.struct(*fields))
+        return Merge(type="outer", children={f.name: _template(f.dataType, keys, f"{at}.{f.name}") for f in kind})
     if isinstance(kind, T.ArrayType) and at in keys:
-        key, part = keys[at], kind.elementType
-        ours, theirs = (F.coalesce(x, F.array().cast(kind)) for x in (left, right))
-        match = lambda rows, e: F.get(F.filter(rows, lambda x: x[key] == e[key]), F.lit(0))
-        both = F.transform(ours, lambda e: _merged(e, match(theirs, e), part, keys, at))
-        rest = F.filter(theirs, lambda e: ~F.exists(ours, lambda x: F.coalesce(x[key] == e[key], F.lit(False))))
-        return F.when(left.isNotNull() | right.isNotNull(), F.concat(both, rest))
-    return F.coalesce(left, right)
+        return Merge(type="outer", key=(keys[at],), children=_template(kind.elementType, keys, at).children)
+    return Merge(type="outer")
 
 
 def accumulate_nested(left: DataFrame, right: DataFrame, keys: Sequence[str], local_keys: dict[str, str], how: str = "full", dominant: str = "left") -> DataFrame:
     """``accumulate`` for nested columns of equal types on both sides: structs are merged field by field.
 
     ``local_keys`` names, for a list of structs (``column`` or ``column.field``), the field by which its elements match; matched elements are merged, the
-    dominant side's come first and the other side's unmatched ones after them; of several with one key on the other side the first is merged. An element without a key matches none. Lists without a local key and
+    dominant side's come first and the other side's unmatched ones after them; of several with one key on a side the first is merged, the others stay as they are. An element without a key matches none. Lists without a local key and
     plain values are taken whole, from the dominant side unless null there.
     """
     shared = [c for c in left.columns if c in right.columns and c not in keys]
     differ = [c for c in shared if left.schema[c].dataType.simpleString() != right.schema[c].dataType.simpleString()]
     if differ:
         raise ValueError(f"types differ: {differ[0]}")
-    r = right.withColumnsRenamed({c: f"_r_{c}" for c in shared})
-    out = left.join(r, list(keys), how)
-    for c in shared:
-        pair = (F.col(c), F.col(f"_r_{c}"))
-        out = out.withColumn(c, _merged(*(pair if dominant == "left" else pair[::-1]), left.schema[c].dataType, local_keys, c))
-    return out.drop(*[f"_r_{c}" for c in shared])
+    kinds = {c: (left if c in left.columns else right).schema[c].dataType for c in dict.fromkeys([*left.columns, *right.columns]) if c not in keys}
+    root = {"full": "outer"}.get(how, how)
+    return merge(left, right, keys, Merge(type=root, side=dominant, children={c: _template(k, local_keys, c) for c, k in kinds.items()}))

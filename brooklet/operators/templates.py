@@ -61,43 +61,54 @@ def _field(value: Column, kind: T.StructType | None, name: str) -> tuple[Column,
     return (value[name], kind[name].dataType) if kind is not None and name in kind.names else (F.lit(None), None)
 
 
-def _keyed(rows: Column, key: Sequence[str]) -> Column:
-    """Struct of ``first`` (a map from key to the first element of it, in the list's order) and ``rest`` (elements without key, or not the first of theirs)."""
-    own = lambda e: F.struct(*[e[k].alias(k) for k in key])
+def _keyed(rows: Column, kind: T.StructType, key: Sequence[str]) -> Column:
+    """Struct of ``first`` (a map from key to place and element, for the first element of each key) and ``rest`` (place and element of those without key, or not the first of theirs).
+
+    Spark looks up maps of plain keys only by hash, and only where it joins two maps; so a key of several fields is their JSON, and nothing is looked up here.
+    """
+    plain = len(key) == 1 and isinstance(kind[key[0]].dataType, T.AtomicType)
+    own = (lambda e: e[key[0]]) if plain else (lambda e: F.to_json(F.struct(*[e[k].alias(k) for k in key])))
     whole = lambda e: F.forall(F.array(*[e[k].isNotNull() for k in key]), lambda x: x)
+    number = lambda rows: F.transform(rows, lambda e, i: F.struct(own(e).alias("k"), i.alias("i"), whole(e).alias("w")))
 
-    def first(rows: Column) -> Column:
-        numbered = F.transform(rows, lambda e, i: F.struct(own(e).alias("k"), i.alias("i"), whole(e).alias("w")))
-        sorted_ = F.array_sort(F.filter(numbered, lambda x: x["w"]))
-        heads = let(sorted_, lambda s: F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(x["k"])))
-        places = F.array_sort(F.transform(heads, lambda x: x["i"]))
-        head = let(places, lambda p: F.map_from_entries(F.transform(p, lambda i: F.struct(own(F.get(rows, i)).alias("k"), F.get(rows, i).alias("v")))))
-        taken = let(F.map_from_entries(F.transform(places, lambda i: F.struct(i.alias("k"), F.lit(True).alias("v")))), lambda t: F.filter(rows, lambda _, i: ~F.map_contains_key(t, i)))
-        return F.struct(head.alias("first"), taken.alias("rest"))
+    def parts(rows: Column, sorted_: Column) -> Column:
+        at = lambda x: F.struct(x["i"].alias("i"), F.get(rows, x["i"]).alias("v"))
+        again = lambda x, i: (i > 0) & F.get(sorted_, i - 1)["k"].eqNullSafe(x["k"])
+        heads = F.transform(F.filter(sorted_, lambda x, i: ~again(x, i)), lambda x: F.struct(x["k"].alias("k"), at(x).alias("v")))
+        rest = F.concat(F.filter(sorted_, again), F.filter(number(rows), lambda x: ~x["w"]))
+        return F.struct(F.map_from_entries(heads).alias("first"), F.transform(rest, at).alias("rest"))
 
-    return let(rows, first)
+    return let(rows, lambda rows: let(F.array_sort(F.filter(number(rows), lambda x: x["w"])), lambda s: parts(rows, s)))
 
 
 def _list(l: Column, r: Column, lk: T.StructType | None, rk: T.StructType | None, node: Merge, type_: str, side: str) -> Column:
     one = lambda a, b: _struct(a, b, lk, rk, node, type_, side)
     none = lambda kind: F.lit(None) if kind is None else F.lit(None).cast(kind)
     shape = lambda e, left: one(e, none(rk)) if left else one(none(lk), e)
-    stays = {"left": type_ in ("outer", "left"), "right": type_ in ("outer", "right")}
+    there = F.when(l.isNotNull() | r.isNotNull(), F.lit(True))
     if lk is None or rk is None:
-        return F.transform(r if lk is None else l, lambda e: shape(e, lk is not None)) if stays["right" if lk is None else "left"] else F.array()
+        return F.when(there, F.filter(F.transform(r if lk is None else l, lambda e: shape(e, lk is not None)), lambda e: e.isNotNull()))
     ours, theirs = (F.coalesce(l, F.array().cast(T.ArrayType(lk))), F.coalesce(r, F.array().cast(T.ArrayType(rk))))
+    placed = lambda n, i, e: F.struct(F.lit(n).alias("n"), i.alias("i"), e.alias("e"))
 
     def merged(pair: Column) -> Column:
-        a, b = pair["l"], pair["r"]
-        # The winning side's elements come first, and so it is the first map.
-        met = F.map_zip_with(a["first"], b["first"], lambda _, x, y: one(x, y)) if side == "left" else F.map_zip_with(b["first"], a["first"], lambda _, y, x: one(x, y))
-        both = F.filter(F.map_values(met), lambda e: e.isNotNull())
-        rest = {"left": F.transform(a["rest"], lambda e: shape(e, True)), "right": F.transform(b["rest"], lambda e: shape(e, False))}
-        order = ("left", "right") if side == "left" else ("right", "left")
-        return F.concat(both, *[rest[s] for s in order if stays[s]])
-
-    keyed = let(F.struct(_keyed(ours, node.key).alias("l"), _keyed(theirs, node.key).alias("r")), merged)
-    return F.when(l.isNotNull() | r.isNotNull(), keyed)
+        # The winning side's elements come first, in its order, then what the other side alone has.
+        a, b = (pair["l"], pair["r"]) if side == "left" else (pair["r"], pair["l"])
+        joined = lambda x, y: one(x["v"], y["v"]) if side == "left" else one(y["v"], x["v"])
+        met = F.map_zip_with(a["first"], b["first"], lambda _, x, y: F.struct(F.when(x.isNull(), 1).otherwise(0).alias("n"), F.coalesce(x["i"], y["i"]).alias("i"), joined(x, y).alias("e")))
+        rest = [_rest(x["rest"], n, left, placed, shape) for n, x, left in ((0, a, side == "left"), (1, b, side != "left"))]
+        return F.filter(F.concat(F.map_values(met), *rest), lambda x: x["e"].isNotNull())
+
+    def in_order(found: Column) -> Column:
+        places = F.array_sort(F.transform(found, lambda x, p: F.struct(x["n"].alias("n"), x["i"].alias("i"), p.alias("p"))))
+        return F.transform(places, lambda x: F.get(found, x["p"])["e"])
+
+    keyed = let(let(F.struct(_keyed(ours, lk, node.key).alias("l"), _keyed(theirs, rk, node.key).alias("r")), merged), in_order)
+    return F.when(there, keyed)
+
+
+def _rest(rest: Column, n: int, left: bool, placed, shape) -> Column:
+    return F.transform(rest, lambda x: placed(n, x["i"], shape(x["v"], left)))
 
 
 def _struct(l: Column, r: Column, lk: T.StructType | None, rk: T.StructType | None, node: Merge, type_: str, side: str) -> Column:
