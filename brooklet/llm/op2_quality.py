@@ -37,6 +37,8 @@ THRESHOLD = 0.7
 STEPS, RATE, RIDGE = 400, 0.05, 1e-4
 #: Share of the positives that a score must be reached by for the prior to be read off at it; random splits that it is the mean of.
 LEAST_TAIL, SPLITS = 0.5, 3
+#: How much of its sampling error is added to each bound, since the least of many is found too low.
+ERROR = 0.2
 
 _CLASS = np.zeros(256, dtype=np.int64)
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -129,8 +131,8 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 2) -> float:
     """Share of positives among unlabelled rows, from two-fold scores of positive against unlabelled.
 
     Above any score the share of unlabelled rows is at least the prior times that of the positives; the score at which that bound is least
-    tells the most. It is looked for among scores that at least ``LEAST_TAIL`` of the positives reach, since a thin tail would be taken at its luckiest, and
-    the mean is taken over ``SPLITS`` random splits.
+    tells the most. It is looked for among scores that at least ``LEAST_TAIL`` of the positives reach, since a thin tail would be taken at its luckiest; a part
+    ``ERROR`` of the sampling error is added, and the mean is taken over ``SPLITS`` random splits.
     """
     rng, found = np.random.default_rng(seed), []
     for _ in range(SPLITS if len(p) > 1 and len(u) > 1 else 0):
@@ -143,7 +145,8 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 2) -> float:
             high, other = np.sort(p[half_p != k] @ w + b)[::-1], np.sort(u[half_u != k] @ w + b)
             share = np.arange(1, len(high) + 1) / len(high)
             above = 1 - np.searchsorted(other, high, "left") / len(other)
-            found.append(float(np.min((above / share)[share >= LEAST_TAIL])))
+            error = np.sqrt(1 / np.maximum(len(high) * share, 1) + 1 / np.maximum(len(other) * above, 1))
+            found.append(float(np.min((above * (1 + ERROR * error) / share)[share >= LEAST_TAIL])))
     return float(np.clip(np.mean(found), 0.02, 0.98)) if found else 0.5
 
 
