@@ -21,7 +21,9 @@ def _with_ids(df: DataFrame, place: Column, span: int, slide: int, wid: str) ->
 def bucket(df: DataFrame, t: str, span: int, slide: int, start: int | None = None, wid: str = "w") -> DataFrame:
     """Adds the first and last window of each row by time; without ``start`` the least time is it."""
     if start is None:
-        start = df.agg(F.min(t)).first()[0] or 0
+        least = df.agg(F.coalesce(F.min(t), F.lit(0)).alias("_start"))  # one row
+        held = df.crossJoin(F.broadcast(least))
+        return _with_ids(held, F.coalesce(F.col(t), F.lit(0)) - F.col("_start"), span, slide, wid).drop("_start")
     return _with_ids(df, F.coalesce(F.col(t), F.lit(0)) - start, span, slide, wid)
 
 

@@ -23,6 +23,12 @@ def test_bucket_sliding(spark):
     assert got(w.bucket(df, "t", 60, 10, 0), "t", "wid_from_w", "wid_to_w") == [(0, 0, 5), (9, 0, 5), (10, 1, 6), (65, 6, 11)]
 
 
+def test_windows_from_the_least_time(spark):
+    df = spark.createDataFrame([(107,), (100,), (125,)], "t long")
+    assert got(w.bucket(df, "t", 20, 10), "t", "wid_from_w", "wid_to_w") == got(w.bucket(df, "t", 20, 10, 100), "t", "wid_from_w", "wid_to_w")
+    assert got(w.bucket(df.filter("false"), "t", 20, 10), "t") == []
+
+
 def test_bucket_with_gap_and_before_start(spark):
     df = spark.createDataFrame([(3,), (7,)], "t long")
     held = w.bucket(df, "t", 5, 10, 0)
