@@ -61,14 +61,16 @@ def sensor_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(sid, pid, side) for pid, pair in enumerate(SENSORS) for side, sid in enumerate(pair)], "sid int, pid int, side int")
 
 
-def person_positions(df: DataFrame, sid: str, t: str, x: str, y: str, by: Column) -> DataFrame:
+def person_positions(df: DataFrame, sid: str, t: str, x: str, y: str, by: Column, tie: str | None = None) -> DataFrame:
     """Adds ``pid`` and replaces x and y by the whole-number mean of the latest positions of the person's two sensors.
 
-    Rows of unknown sensors go; until the other foot is seen a row keeps its own position. Times must differ within a person.
+    Rows of unknown sensors go; until the other foot is seen a row keeps its own position. Rows of one person and time come in the order of ``tie``
+    (of arrival, say); without it times must differ within a person.
     """
     known = sensor_table(df.sparkSession).select(F.col("sid").alias("_sid"), "pid", F.col("side").alias("_side"))
     held = df.join(F.broadcast(known), df[sid] == known["_sid"])  # 34 rows
-    held = running_all(held, ["pid"], t, by, {f"_{side}": ("last", F.when(F.col("_side") == side, F.struct(x, y))) for side in (0, 1)})
+    held = held.withColumn("_order", F.struct(t, *([tie] if tie else [])))
+    held = running_all(held, ["pid"], "_order", by, {f"_{side}": ("last", F.when(F.col("_side") == side, F.struct(x, y))) for side in (0, 1)})
     both = F.col("_0").isNotNull() & F.col("_1").isNotNull()
     mean = {c: F.when(both, div(F.col(f"_0.{c}") + F.col(f"_1.{c}"), 2)).otherwise(F.col(c)) for c in (x, y)}
     return held.select(*[mean[c].alias(c) if c in mean else F.col(c) for c in df.columns], "pid")

@@ -150,7 +150,7 @@ def f8(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("user_id") % 40
     sid = F.element_at(F.array(*[F.lit(s) for pair in g.SENSORS for s in pair]), (F.least(k, F.lit(33)) + 1).cast("int"))
     s = events(spark, d).select("event_id", "t", F.when(k < 34, sid).otherwise(-1).alias("sid"), F.round(F.col("value") * 100).cast("long").alias("x"), ((F.col("event_id") % 1000) * 7).alias("y"))
-    return g.person_positions(s, "sid", "t", "x", "y", by_day()).select("event_id", "pid", "x", "y")
+    return g.person_positions(s, "sid", "t", "x", "y", by_day(), "event_id").select("event_id", "pid", "x", "y")
 
 
 @query("f9_positions_of_columns", f"SELECT event_id, pid, x AS across, y AS along FROM ({_POSITIONS})")
@@ -159,4 +159,4 @@ def f9(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("user_id") % 40
     sid = F.element_at(F.array(*[F.lit(s) for pair in g.SENSORS for s in pair]), (F.least(k, F.lit(33)) + 1).cast("int"))
     s = events(spark, d).select("event_id", "t", F.when(k < 34, sid).otherwise(-1).alias("sensor"), F.round(F.col("value") * 100).cast("long").alias("across"), ((F.col("event_id") % 1000) * 7).alias("along"))
-    return g.person_positions(s, "sensor", "t", "across", "along", by_day()).select("event_id", "pid", "across", "along")
+    return g.person_positions(s, "sensor", "t", "across", "along", by_day(), "event_id").select("event_id", "pid", "across", "along")

@@ -226,6 +226,13 @@ def test_person_positions(spark):
     assert got(grid.person_positions(df, "sid", "t", "x", "y", div("t", 2)), "t", "x", "y", "pid") == [(1, 10, 0, 0), (2, 15, 2, 0), (3, 16, 3, 0)]
 
 
+def test_person_positions_of_one_time_come_by_arrival(spark):
+    rows = [(k, (13, 14)[k % 2], k // 50, k * k, -k) for k in range(200)]
+    df = spark.createDataFrame(rows[::-1], "id int, sid int, t long, x int, y int").repartition(7)
+    expected = [(k, x, y) if k == 0 else (k, (x + (k - 1) ** 2) // 2, -((2 * k - 1) // 2)) for k, _, _, x, y in rows]
+    assert got(grid.person_positions(df, "sid", "t", "x", "y", div("t", 2), "id"), "id", "x", "y") == expected
+
+
 def test_archive_kinds(spark):
     day = archive.DAY
     e = spark.createDataFrame([(d * day,) for d in range(15)], "t long")
