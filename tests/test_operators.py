@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import pytest
@@ -358,3 +359,29 @@ def test_declared_documents_must_end(spark):
     assert max(r.xml.count("<a>") for r in deep) <= 4 and all(r.xml.count("<b>") == r.xml.count("<a>") for r in deep)
     with pytest.raises(ValueError):
         declared_documents(spark, 1, "a", {"a": ["a"]})
+
+
+def test_sums_of_windows_are_not_multiplied_before_they_are_made(spark):
+    rows = [(g, k * 37 % 1500 - 40, None if k % 5 == 0 else k % 11 - 5) for g in ("a", None, "b") for k in range(90 if g else 3)]
+    df = w.bucket(spark.createDataFrame(rows, "g string, t long, v long"), "t", 25, 2, 0)
+    expected = {}
+    for g, t, v in rows:
+        for i in range(int(t / 2), int((t + 25) / 2)):
+            expected.setdefault((g, i), []).append(v)
+    found = w.aggregate(df, ["g"], n=w.count("v"), s=w.long_total("v"))
+    known = {k: (sum(x is not None for x in v), sum(x for x in v if x is not None) if any(x is not None for x in v) else None) for k, v in expected.items()}
+    assert {(r["g"], r["wid_from_w"]): (r["n"], r["s"]) for r in found.collect()} == known and found.count() == len(known)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence(_from") < plan.index("Aggregate")  # above it
+    cells = w.shares(df.filter("g IS NOT NULL").withColumn("c", F.col("t") % 3), ["g"], "c")
+    by_cell = {}
+    for g, t, _ in rows:
+        for i in range(int(t / 2), int((t + 25) / 2)) if g else ():
+            by_cell[g, i, math.fmod(t, 3)] = by_cell.get((g, i, math.fmod(t, 3)), 0) + 1
+    assert {(r["g"], r["wid_from_w"], float(r["c"])): (r["n"], r["every"]) for r in cells.collect()} == {k: (n, len(expected[k[:2]])) for k, n in by_cell.items()}
+
+
+def test_panes_move_once_after_they_are_made(spark):
+    df = w.bucket(spark.range(100).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 2).cast("double").alias("x")), "id", 24, 1, 0)
+    for found, moves in ((w.aggregate(df, ["g", "x"], n=w.count()), 2), (w.shares(df, ["g"], "x"), 4)):
+        assert found.count() > 0 and found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == moves
