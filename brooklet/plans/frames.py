@@ -128,11 +128,10 @@ n AS (SELECT wid, user_id, cid, count(*)::BIGINT AS n FROM b GROUP BY 1, 2, 3),
 SELECT wid AS wid_from_w, user_id, cid, round(100.0 * n / every + 1e-9, 6) AS percent FROM n JOIN a USING (wid, user_id)""",
 )
 def heat_map_of_samples(spark: SparkSession, d: str) -> DataFrame:
-    """The windows-only variant: share of a window's samples in each cell, by a join of counts for each cell with counts of all cells."""
+    """The windows-only variant: share of a window's samples in each cell, by counts for each cell beside counts of all cells."""
     held = w.bucket(g.grid_cell(_points(spark, d), "x", "y", GRID), "t", _SPAN * HOUR, HOUR, START)
-    n = w.aggregate(held, ["user_id", "cid"], n=w.count())
-    every = n.groupBy("user_id", "wid_from_w").agg(F.sum("n").alias("every"))
-    return n.join(every, ["user_id", "wid_from_w"]).select("wid_from_w", "user_id", "cid", F.round(100.0 * F.col("n") / F.col("every") + NUDGE, 6).alias("percent"))
+    found = w.shares(held, ["user_id"], "cid")
+    return found.select("wid_from_w", "user_id", "cid", F.round(100.0 * F.col("n") / F.col("every") + NUDGE, 6).alias("percent"))
 
 
 
