@@ -3,7 +3,7 @@
 A frame is closed by the first row at least ``delta`` away from the value that opened it, and that row opens the next. So whatever frame is open
 before a stretch, one number of it matters: its first value. ``Change`` holds, for every such number, the frame that is open after the stretch: the
 row that closes a frame from below or above is one that no earlier row of the stretch exceeds, and from each of those rows on everything
-is settled. Two changes in a row are one change again, so a group's frames are found in three levels, none of which reads a group's rows in one task:
+is settled. Groups of up to ``WHOLE`` rows need none of that: a task cuts many of them in one pass. Two changes in a row are one change again, so a group's frames are found in three levels, none of which reads a group's rows in one task:
 stretches, ``COARSE`` stretches at a time, and those of the group. Then each stretch knows the frame open before it and cuts its own rows.
 """
 
@@ -185,6 +185,45 @@ def cut(t: np.ndarray, v: np.ndarray, entry: Entry | None, delta: float, closed_
     return out, Entry(start, opened, pos, number, entry.rows + len(v), int(t[-1]))
 
 
+#: Rows of a group that is cut whole, with others in one pass; groups of more rows are dealt over stretches.
+WHOLE = 1 << 16
+
+
+def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups (of the first column, by which the batches are sorted), and where their groups begin."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+        starts = _starts(held)
+        if starts[-1]:
+            yield held.slice(0, int(starts[-1])), starts[:-1]
+            held = held.slice(int(starts[-1])).combine_chunks()
+    if held is not None:
+        yield held, _starts(held)
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    codes = pa.concat_arrays(table.column(0).chunks).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
+
+
+def cut_groups(t: np.ndarray, v: np.ndarray, starts: np.ndarray, delta: float, closed_end: bool) -> tuple[np.ndarray, ...]:
+    """(row of the group's beginning, number, start, end, length) of all frames of whole groups, which begin at ``starts``."""
+    ends = np.append(starts[1:], len(v))
+    after = np.minimum(next_rows(v, delta), np.repeat(ends, ends - starts))
+    group, at, number, found = np.arange(len(starts)), starts, 1, []
+    while len(at):  # the frames of each group with one number at a time
+        found.append((starts[group], np.full(len(at), number), at, after[at], ends[group]))
+        more = after[at] < ends[group]
+        group, at, number = group[more], after[at][more], number + 1
+    first, number, at, after, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    last = t[np.where(after < ends, after, after - 1)] if closed_end else t[after - 1]
+    return first, number, t[at], last, after - at
+
+
 def dealt(df: DataFrame, group: str, t: str, value: str, by: Column) -> DataFrame:
     """(g, b, kind, t, v, entry) of the rows with a value, dealt by group and stretch and in order."""
     rows = df.filter(F.col(value).isNotNull() & F.col(t).isNotNull())
@@ -199,10 +238,30 @@ def _batch(values: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.record_batch(list(values.values()), names=list(values))
 
 
+_OUT = {"frame_id": pa.int64(), "frame_start": pa.int64(), "frame_end": pa.int64(), "length": pa.int64()}
+
+
 def frames(df: DataFrame, group: str, t: str, value: str, delta: float, by: Column, closed_end: bool = False) -> DataFrame:
     """(g, frame_id, frame_start, frame_end, length) of all frames, the last of a group too."""
     rows = dealt(df, group, t, value, by)
     g = dict(rows.dtypes)["g"]
+    schema = f"g {g}, frame_id long, frame_start long, frame_end long, length long"
+    large = checkpointed(rows.groupBy("g").count().filter(F.col("count") > WHOLE).select(F.col("g").alias("large")))  # fewer than one for each WHOLE rows
+    is_large = F.col("g").eqNullSafe(F.col("large"))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in complete(batches):
+            first, *found = cut_groups(table.column("t").to_numpy(), table.column("v").to_numpy(), starts, delta, closed_end)
+            yield _batch({"g": pa.concat_arrays(table.column("g").chunks).take(pa.array(first))} | {c: pa.array(x, k) for (c, k), x in zip(_OUT.items(), found, strict=True)})
+
+    small = rows.join(F.broadcast(large), is_large, "left_anti").select("g", "t", "v")
+    small = _sorted(small, ["g"], ["t", "v"]).mapInArrow(whole, schema)
+    return small if large.isEmpty() else small.unionByName(_of_stretches(rows.join(F.broadcast(large), is_large, "left_semi"), delta, closed_end))
+
+
+def _of_stretches(rows: DataFrame, delta: float, closed_end: bool) -> DataFrame:
+    """The frames of groups that are dealt over stretches."""
+    g = dict(rows.dtypes)["g"]
 
     def numbers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return table.column("t").to_numpy(), table.column("v").to_numpy()
@@ -253,11 +312,10 @@ def frames(df: DataFrame, group: str, t: str, value: str, delta: float, by: Colu
     inner = small.select("g", "c", F.lit(1).alias("kind"), "b", none.alias("entry"), "change").unionByName(given)
     inner = _sorted(inner, ["g", "c"], ["kind", "b"]).mapInArrow(entries(2, "b", False), f"g {g}, b long, entry binary")
 
-    out = {"frame_id": pa.int64(), "frame_start": pa.int64(), "frame_end": pa.int64(), "length": pa.int64()}
 
     def told(key: pa.Array, found: list[tuple]) -> pa.RecordBatch:
         columns = [list(x) for x in zip(*found, strict=True)] or [[]] * 4
-        return _batch({"g": pa.concat_arrays([key] * len(found)) if found else key.slice(0, 0)} | {c: pa.array(x, k) for (c, k), x in zip(out.items(), columns, strict=True)})
+        return _batch({"g": pa.concat_arrays([key] * len(found)) if found else key.slice(0, 0)} | {c: pa.array(x, k) for (c, k), x in zip(_OUT.items(), columns, strict=True)})
 
     def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in together(batches, 2):

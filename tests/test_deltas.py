@@ -96,3 +96,22 @@ def test_a_summary_of_noise_is_small():
     rng = np.random.default_rng(1)
     change = deltas.Change.of(np.arange(100_000), rng.standard_normal(100_000), 2.0)
     assert len(change.high) + len(change.low) < 60
+
+
+@pytest.mark.parametrize("whole", [0, 60, 1 << 16])
+def test_small_groups_are_cut_in_one_pass(spark, monkeypatch, whole):
+    monkeypatch.setattr(deltas, "WHOLE", whole)
+    rng = random.Random(whole)
+    sizes = {g: 1 + g % 90 for g in range(300)} | {None: 70}
+    rows = [(g, t, v) for g, n in sizes.items() for t, v in enumerate(_values(KINDS[(g or 0) % 6], rng, n))]
+    calls = []
+    monkeypatch.setattr(deltas, "_of_stretches", lambda *a, real=deltas._of_stretches: calls.append(1) or real(*a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        for closed in (False, True):
+            found = frames.delta_frames(spark.createDataFrame(rows, "g long, t long, v double"), "g", "t", "v", 4.0, div("t", 7), closed)
+            expected = [(g, *f) for g in sizes for f in _walk([(t, v) for k, t, v in rows if k == g], 4.0, closed)]
+            assert sorted(((r["frame_group"], r["frame_id"], r["frame_start"], r["frame_end"], r["length"]) for r in found.collect()), key=str) == sorted(expected, key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(calls) == (2 if whole < 90 else 0)
