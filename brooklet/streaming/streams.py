@@ -55,12 +55,30 @@ _FRAME = "frame_group long, frame_id long, frame_start long, frame_end long, len
 _MICROS = 1000
 
 
-def _in_time(parts: Iterator[pd.DataFrame], t: str, seen: int | None) -> pd.DataFrame:
-    """The rows of a micro-batch in the order of time, without those that are late: at or before what the group has ``seen``."""
-    rows = pd.concat(list(parts), ignore_index=True)
-    if seen is not None:
-        rows = rows[rows[t] > seen]
-    return rows.sort_values(t, kind="stable")
+def _in_time(parts: Iterator[pd.DataFrame], t: str, value: str, seen: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Times and values of a micro-batch's rows in the order of time, without those that are late: at or before what the group has ``seen``.
+
+    Groups are many and small, so that a step in pandas would cost more than the rows.
+    """
+    held = list(parts)
+    times, values = (held[0][c].to_numpy() if len(held) == 1 else np.concatenate([part[c].to_numpy() for part in held]) for c in (t, value))
+    if seen is not None and len(times) and times.min() <= seen:
+        late = times <= seen
+        times, values = times[~late], values[~late]
+    if (times[1:] < times[:-1]).any():
+        order = np.argsort(times, kind="stable")
+        times, values = times[order], values[order]
+    return times, values
+
+
+def _frames_of(key: Any, out: list[tuple], marks: bool = False) -> pd.DataFrame:
+    """Frames (id, start, end, length) of a group; with ``marks`` their numbers may be missing."""
+    columns = zip(*out, strict=True)
+    if not marks:
+        found = (np.array(c, dtype=np.int64) for c in columns)
+    else:
+        found = (pd.arrays.IntegerArray(np.array([x or 0 for x in c], dtype=np.int64), np.array([x is None for x in c])) for c in columns)
+    return pd.DataFrame(dict(zip(_COLUMNS, [[key] * len(out), *found], strict=True)), copy=False)
 
 
 def _ended(state: GroupState, seen: int, idle: int | None) -> None:
@@ -95,18 +113,18 @@ def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size
         def close() -> None:
             nonlocal n, length, shown
             if shown and last > first:
-                out.append((key[0], n, first, last, length))
+                out.append((n, first, last, length))
             elif not shown and length >= size:
                 n += 1
-                out.append((key[0], n, first, last, length))
+                out.append((n, first, last, length))
             length, shown = 0, False
 
         if state.hasTimedOut:
             close()
             state.remove()
         else:
-            rows = _in_time(parts, t, seen)
-            times, held = rows[t].to_numpy(), rows[predicate].fillna(0).to_numpy() != 0
+            times, held = _in_time(parts, t, predicate, seen)
+            held = held != 0 if held.dtype.kind in "iub" else pd.Series(held).fillna(0).to_numpy() != 0
             edges = np.flatnonzero(np.diff(held)) + 1
             for a, b in zip([0, *edges], [*edges, len(held)], strict=True) if len(held) else ():  # stretches of rows alike
                 if held[a]:
@@ -117,16 +135,15 @@ def threshold_frames(stream: DataFrame, group: str, t: str, predicate: str, size
             seen = int(times[-1]) if len(times) else seen
             if fragments and length >= size and (not shown or last > first):
                 n += not shown
-                out.append((key[0], n, first, last, length))
+                out.append((n, first, last, length))
                 first, shown = last, True
             if marks and seen is not None:
-                out.append((key[0], None, None, seen if not length else last if shown else first - 1, None))
+                out.append((None, None, seen if not length else last if shown else first - 1, None))
             if seen is not None:
                 state.update((int(n), int(first), int(last), length, shown, int(seen)))
                 _ended(state, int(seen), idle)
         if out:
-            found = pd.DataFrame(out, columns=_COLUMNS)
-            yield found.astype({c: "Int64" for c in _COLUMNS[1:]}) if marks else found
+            yield _frames_of(key[0], out, marks)
 
     return _stateful(stream, group, step, _FRAME, "n long, first long, last long, length long, shown boolean, seen long", idle)
 
@@ -141,11 +158,11 @@ def delta_frames(stream: DataFrame, group: str, t: str, value: str, delta: float
         n, first, last, length, start = state.get if state.exists else (0, 0, None, 0, 0.0)
         out = []
         if state.hasTimedOut:
-            out.append((key[0], n + 1, first, last, length))
+            out.append((n + 1, first, last, length))
             state.remove()
         else:
-            rows = _in_time(parts, t, last)
-            times, values = rows[t].to_numpy(), rows[value].to_numpy(dtype=float)
+            times, values = _in_time(parts, t, value, last)
+            values = values.astype(float)
             i = 0
             while i < len(values):
                 if length == 0:
@@ -155,14 +172,14 @@ def delta_frames(stream: DataFrame, group: str, t: str, value: str, delta: float
                     last, length = int(times[end - 1]), length + end - i
                 if end < len(values):
                     n += 1
-                    out.append((key[0], n, first, last, length))
+                    out.append((n, first, last, length))
                     length = 0
                 i = end
             if last is not None:
                 state.update((n, first, last, length, start))
                 _ended(state, last, idle)
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            yield _frames_of(key[0], out)
 
     return _stateful(stream, group, step, _FRAME, "n long, first long, last long, length long, start double", idle)
 
@@ -171,25 +188,22 @@ def running_max(stream: DataFrame, group: str, t: str, value: str, idle: int | N
     """A row whenever a group's maximum rises. Late rows and ``idle`` as in ``threshold_frames``."""
 
     def step(key: tuple[Any], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
         high, seen = state.get if state.exists else (None, None)
         if state.hasTimedOut:
             state.remove()
-        else:
-            rows = _in_time(parts, t, seen)
-            values = rows[value].dropna().to_numpy(dtype=float)
-            highs = np.maximum.accumulate(values if high is None else np.concatenate([[high], values]))
-            before = highs[:-1] if high is not None else np.concatenate([[np.nan], highs[:-1]]) if len(highs) else highs
-            after = highs if high is None else highs[1:]
-            rose = ~(after <= before)
-            out = [(key[0], None if math.isnan(o) else o, n) for o, n in zip(before[rose].tolist(), after[rose].tolist(), strict=True)]
-            high = float(highs[-1]) if len(highs) else high
-            if len(rows):
-                seen = int(rows[t].iloc[-1])
-                state.update((None if high is None else float(high), seen))
-                _ended(state, seen, idle)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "old_max", "new_max"])
+            return
+        times, values = _in_time(parts, t, value, seen)
+        values = values.astype(float)
+        values = values[~np.isnan(values)]
+        # A maximum that is not there yet is NaN, which Spark reads as null.
+        highs = np.fmax.accumulate(np.concatenate([[np.nan if high is None else high], values]))
+        rose = np.flatnonzero(~(highs[1:] <= highs[:-1]))
+        if len(times):
+            seen, high = int(times[-1]), float(highs[-1])
+            state.update((None if math.isnan(high) else high, seen))
+            _ended(state, seen, idle)
+        if len(rose):
+            yield pd.DataFrame({"key": [key[0]] * len(rose), "old_max": highs[rose], "new_max": highs[rose + 1]}, copy=False)
 
     return _stateful(stream, group, step, "key long, old_max double, new_max double", "high double, seen long", idle)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from brooklet.sources.generated import file_stream, rate_source
@@ -100,3 +102,21 @@ def test_a_batch_that_is_tried_again_counts_once(spark, tmp_path):
     for f in (done[-1], done[-1].with_name(f".{done[-1].name}.crc")):
         f.unlink(missing_ok=True)
     assert run().count() == before
+
+
+def test_a_groups_step_is_done_in_arrays(monkeypatch):
+    """Groups are many and small: no step joins, filters or sorts data frames."""
+    parts = [pd.DataFrame({"g": 1, "t": [5, 3, 9], "v": [1.0, np.nan, 4.0]}), pd.DataFrame({"g": 1, "t": [4, 9], "v": [2.0, 5.0]})]
+
+    def refused(*a, **k):
+        raise AssertionError("a data frame for each group")
+
+    monkeypatch.setattr(pd, "concat", refused)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", refused)
+    times, values = s._in_time(iter(parts), "t", "v", 3)
+    assert times.tolist() == [4, 5, 9, 9] and values.tolist() == [2.0, 1.0, 4.0, 5.0]
+    times, values = s._in_time(iter(parts[:1]), "t", "v", None)
+    assert times.tolist() == [3, 5, 9] and np.isnan(values[0])
+    assert [len(x) for x in s._in_time(iter(parts), "t", "v", 9)] == [0, 0]
+    found = s._frames_of(7, [(1, 2, 3, 4), (None, None, 5, None)], marks=True)
+    assert found["frame_group"].tolist() == [7, 7] and found["frame_end"].tolist() == [3, 5] and found["frame_id"].isna().tolist() == [False, True]
