@@ -195,21 +195,23 @@ class _Fill(StatefulProcessor):
         self.mark = handle.getValueState("mark", "t long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        own, framed, marks = (new[new["kind"] == k] for k in (_ROW, _FRAME, _MARK))
-        held, known = list(self.rows.get()) if self.rows.exists() else [], list(self.frames.get()) if self.frames.exists() else []
-        mark = self.mark.get()[0] if self.mark.exists() else None
+        parts = list(rows)
+        kind, t, end, number, row = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("kind", "t", "end", "id", "row"))
+        # What is not there is empty; asking whether it is would be one more call for each group.
+        held, known, mark = list(self.rows.get()), list(self.frames.get()), self.mark.get()
+        mark = None if mark is None else mark[0]
+        own, framed, marks = (np.flatnonzero(kind == k) for k in (_ROW, _FRAME, _MARK))
         if len(marks):
-            mark = max(int(marks["end"].max()), int(marks["end"].max()) if mark is None else mark)
+            mark = max(int(end[marks].max()), int(end[marks].max()) if mark is None else mark)
             self.mark.update((mark,))
-        frames = sorted({*known, *framed[["t", "end", "id"]].itertuples(index=False, name=None)})
-        every = held + list(own[["t", "row"]].itertuples(index=False, name=None))
+        frames = sorted({*known, *zip(t[framed].tolist(), end[framed].tolist(), number[framed].tolist(), strict=True)})
+        every = held + list(zip(t[own].tolist(), row[own].tolist(), strict=True))
         frame = first_frames(np.array([t for t, _ in every], dtype=np.int64), frames)
         hit = np.flatnonzero(frame >= 0)
         if len(hit):
             yield _emit(["frame_id", "row"], [frames[frame[k]][2] for k in hit], [every[k][1] for k in hit])
         left = [r for r, f in zip(every, frame, strict=True) if f < 0 and (mark is None or r[0] > mark)]
-        if len(left) != len(held) or len(own):
+        if left != held:
             self.rows.put(left) if left else self.rows.clear()
         # No row before the watermark comes any more.
         kept = [f for f in frames if f[1] >= timerValues.getCurrentWatermarkInMs() * MILLI]

@@ -6,6 +6,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from brooklet.sources.generated import file_stream
@@ -110,3 +111,34 @@ def test_marks_of_open_runs(spark, tmp_path):
     told = sorted(((r["frame_group"], r["frame_id"], r["frame_start"], r["frame_end"]) for r in found.collect()), key=str)
     marks = [(1, None, None, 2), (1, None, None, 4), (1, None, None, 4), (2, None, None, 0), (2, None, None, 2)]
     assert told == sorted([(1, 1, 1, 2), (1, 1, 2, 3), *marks], key=str)
+
+
+class _State:
+    """A list or a value of one group, without asking first whether it is there."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def get(self):
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def put(self, value):
+        self.value = list(value)
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = []
+
+
+def test_filling_asks_for_each_state_once():
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    fill = timed._Fill()
+    fill.rows, fill.frames, fill.mark = _State([]), _State([]), _State(None)
+    rows = pd.DataFrame({"kind": [0, 0, 0, 1, 2], "t": [5, 1, 30, 4, 0], "end": [0, 0, 0, 9, 20], "id": [0, 0, 0, 6, 0], "row": ["a", "b", "c", None, None]})
+    found = [tuple(r) for part in fill.handleInputRows((1,), iter([rows[:2], rows[2:]]), Timers()) for r in part.itertuples(index=False)]
+    assert found == [(6, "a")] and fill.rows.value == [(30, "c")] and fill.frames.value == [(4, 9, 6)] and fill.mark.value == (20,)
